@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 4096
-WORD_CACHE = 250_000
+WORD_CACHE = 100_000
+#: Totals of distinct words that a task keeps; they are small.
+TOTAL_CACHE = 1_000_000
 PAIR_CACHE = 500_000
 
 
@@ -38,11 +40,22 @@ class PrefixCounter:
         if any("▁" in p.strip("▁") or p[-1] == "▁" and p.strip("▁") for p in self.score):
             raise ValueError("tokens of this model reach over word starts")
         self.longest = max(map(len, self.score))
-        line = "" if any("\n" in p for p in self.score) else "\n"
-        self.unit = re.compile(f"▁+[^▁{line}]*" + (f"|{line}[^▁{line}]*" if line else ""))
+        self.unit = re.compile(self._units())
         self.reachable: dict[str, bool] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.totals: dict[str, int] = {}
+
+    def _units(self) -> str:
+        """A pattern for the parts of a text that no token reaches out of: besides words, they are cut before a line
+        end, and between a letter and punctuation that no piece has behind a letter."""
+        inner = {(p[i], p[i + 1]) for p in self.score for i in range(len(p) - 1)}
+        line = "" if any("\n" in pair for pair in inner) else "\n"
+        behind = {y for x, y in inner if x.isalpha()}
+        mark = "".join(re.escape(chr(c)) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in behind)
+        start = "|".join(["▁+", *([line] if line else []), *([f"[{mark}]"] if mark else [])])
+        rest = f"(?:[^▁{line}{mark}]+|(?<![A-Za-z])[{mark}])*" if mark else f"[^▁{line}]*"
+        return f"(?:{start}){rest}"
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair merging of a short string: the best-scored neighbours first, leftmost among equals."""
@@ -67,6 +80,10 @@ class PrefixCounter:
             got = self.pairs[key] = self.merge(left + token) == [left, token]
         return got
 
+    def total(self, unit: str) -> int:
+        """Token count of a whole unit, the last entry of its prefix table."""
+        return self.prefixes(unit)[-1]
+
     def prefixes(self, unit: str) -> tuple[int, ...]:
         """Token count of every prefix of a unit, by code points, the empty one first."""
         got = self.cache.get(unit)
@@ -118,9 +135,14 @@ class PrefixCounter:
 
     def measure(self, text: str, limit: int) -> tuple[int, int]:
         """(token count, code points of the longest prefix of at most limit tokens)."""
-        units = self.units(text)
-        cache, make = self.cache, self.prefixes
-        counts = [(cache.get(u) or make(u))[-1] for u in units]
+        units, totals, make = self.units(text), self.totals, self.prefixes
+        counts = list(map(totals.get, units))
+        if None in counts:
+            if len(totals) > TOTAL_CACHE:
+                totals.clear()
+            for i, u in enumerate(units):
+                if counts[i] is None:
+                    counts[i] = totals[u] = self.total(u)
         total = sum(counts)
         if total <= limit:
             return total, len(text)

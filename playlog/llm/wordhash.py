@@ -16,7 +16,7 @@ import pyarrow as pa
 
 SEPARATORS = (0x20, *range(0x09, 0x0E))
 #: Texts are hashed in slices of about this many bytes, which bounds the working memory.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(SEPARATORS)] = False
 # bytes that may open or close a word without being part of it: ASCII punctuation
@@ -88,7 +88,17 @@ class Words:
             self.starts, self.ends = starts, ends = letter[a[some]], letter[b[some] - 1] + 1
             self.first = np.searchsorted(starts, bounds)
         source = _LOWER[data] if lower or normal else data
-        self.hashes = [_range_hash(_byte_values(s)[source], starts, ends, int(_ODD[s % 2])) for s in seeds]
+        self.hashes = [self._hashes(source, s) for s in seeds]
+
+    def _hashes(self, source: np.ndarray, seed: int) -> np.ndarray:
+        """The words' hashes, worked out in blocks so that a very long text needs no more memory than a slice."""
+        values, out, i = _byte_values(seed), np.empty(len(self.starts), dtype=np.uint64), 0
+        while i < len(out):
+            base = int(self.starts[i])
+            j = max(i + 1, int(np.searchsorted(self.ends, base + SLICE_BYTES, side="right")))
+            out[i:j] = _range_hash(values[source[base : self.ends[j - 1]]], self.starts[i:j] - base, self.ends[i:j] - base, int(_ODD[seed % 2]))
+            i = j
+        return out
 
     def __len__(self) -> int:
         return len(self.bounds) - 1

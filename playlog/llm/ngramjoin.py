@@ -28,8 +28,7 @@ from playlog.llm.wordhash import mix, shingles, slices
 N, SHARE = 5, 75
 #: Frequent shingles are put last in the order; so many at most are known by name. This changes costs only.
 FREQUENT = 200_000
-SLICE = 8 << 20
-SHORT_LIST, HUBS = 12, 6
+SHORT_LIST, HUBS = 3, 2
 SALT = 1000
 BUCKET_TOKENS = 1_000_000
 
@@ -48,6 +47,17 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _sent(s: np.ndarray) -> bytes:
+    """A set as the upper 48 bits of its hashes, which keep their order."""
+    return np.ascontiguousarray((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _received(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -59,11 +69,11 @@ def describe(docs: DataFrame) -> DataFrame:
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             ids = batch.column("doc_id")
-            for base, words in slices(batch.column("text"), lower=True, limit=SLICE):
+            for base, words in slices(batch.column("text"), lower=True):
                 sets = shingles(words, N)
                 keys = [_key(s) if len(s) else (0, 0) for s in sets]
                 value, count = np.unique(np.concatenate(sets), return_counts=True)
-                often = count >= 4
+                often = count >= 3
                 k1 = np.concatenate([np.array([k[0] for k in keys], np.int64), value[often].view(np.int64)])
                 k2 = np.concatenate([np.array([k[1] for k in keys], np.int64), count[often]])
                 more = int(often.sum())
@@ -148,7 +158,7 @@ def list_pairs(tok: np.ndarray, pos: np.ndarray, n: np.ndarray, k: np.ndarray) -
             continue
         while a < b:  # blocks of sizes that can link with the block's smallest
             c = a + int(np.searchsorted(n[a:b], 100 * int(n[a]) // SHARE, side="right"))
-            rank = np.argsort(mix(k[a:c].view(np.uint64)), kind="stable")[:HUBS] + a
+            rank = np.lexsort((mix(k[a:c].view(np.uint64)), pos[a:c]))[:HUBS] + a  # few rare shingles: the likeliest original
             for r, h in enumerate(rank.tolist()):
                 j = np.setdiff1d(np.arange(a, c), rank[: r + 1])
                 j = j[_fits(n, pos, np.full(len(j), h), j)]
@@ -219,7 +229,8 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, folder: str, na
                 rows = []
                 for i, s in enumerate(shingles(words, N)):
                     if len(s) and _key(s)[0] == keys[base + i]:
-                        rows += [(q["a"], q["salt"], q["hub"], ids[base + i], s.tobytes()) for q in batch.column("ask")[base + i].as_py()]
+                        data = _sent(s)
+                        rows += [(q["a"], q["salt"], q["hub"], ids[base + i], data) for q in batch.column("ask")[base + i].as_py()]
                 for x in range(0, len(rows), 1000):
                     some = list(zip(*rows[x : x + 1000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(some, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["a", "salt", "hub", "doc", "set"])
@@ -232,7 +243,7 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, folder: str, na
         for batch in stream:
             out = []
             for a, is_hub, doc, data in zip(*(batch.column(c) for c in ("a", "hub", "doc", "set")), strict=True):
-                s = np.frombuffer(data.as_py(), dtype=np.uint64)
+                s = _received(data.as_py())
                 if is_hub.as_py():
                     hub, mine = a.as_py(), s
                 elif hub == a.as_py():
@@ -284,7 +295,7 @@ def _open_pairs(entries: DataFrame, answers: DataFrame) -> DataFrame:
         for e, found in enumerate(known):
             for f in found or ():
                 hubs.setdefault(f["hub"], np.full(len(n), -1, np.int64))[e] = f["both"]
-        some = sorted(hubs, key=lambda h: -(hubs[h] >= 0).sum())[: 2 * HUBS]
+        some = sorted(hubs, key=lambda h: -(hubs[h] >= 0).sum())[: 4 * HUBS]
         # entries outside the list's most common label meet those inside and later ones outside
         _, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
         inside = inverse == int(np.argmax(count))

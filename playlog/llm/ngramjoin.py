@@ -30,7 +30,8 @@ N, SHARE = 5, 75
 FREQUENT = 200_000
 SHORT_LIST, HUBS = 3, 2
 SALT = 1000
-BUCKET_TOKENS = 1_000_000
+#: Index buckets: about so many shingles each, and no fewer than LEAST_BUCKETS.
+BUCKET_TOKENS, LEAST_BUCKETS = 2_500_000, 24
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -72,8 +73,9 @@ def describe(docs: DataFrame) -> DataFrame:
             for base, words in slices(batch.column("text"), lower=True):
                 sets = shingles(words, N)
                 keys = [_key(s) if len(s) else (0, 0) for s in sets]
-                value, count = np.unique(np.concatenate(sets), return_counts=True)
-                often = count >= 3
+                once = {k: s for k, s in zip(keys, sets, strict=True)}
+                value, count = np.unique(np.concatenate(list(once.values())), return_counts=True)
+                often = count >= 2
                 k1 = np.concatenate([np.array([k[0] for k in keys], np.int64), value[often].view(np.int64)])
                 k2 = np.concatenate([np.array([k[1] for k in keys], np.int64), count[often]])
                 more = int(often.sum())
@@ -347,7 +349,7 @@ def join(docs: DataFrame) -> DataFrame:
     frequent = sorted(((r["k1"], r["c"]) for r in frequent), key=lambda x: (x[1], x[0]))
     sets = saved(own.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), folder, "classes")
     total = sets.agg(F.sum("n")).first()[0] or 0
-    buckets = parts_for(spark, total / 4, BUCKET_TOKENS)
+    buckets = parts_for(spark, total / 4, BUCKET_TOKENS, LEAST_BUCKETS)
     index = _index_rows(docs, frequent, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     compared = saved(_compare_lists(index), folder, "compared")
 

@@ -45,7 +45,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     """Write docs(doc_id, text) and return the description that read() takes.
 
     A null or empty text is a document of the end id alone.  Null doc_ids come first, rows with
-    equal ids stay side by side, ordered by their ids' bytes.
+    equal doc_ids stay side by side, ordered by a hash of their ids.
     """
     spark, path = docs.sparkSession, path or tokenizer_path()
     width = 2 if len(codec(path).pieces) <= 1 << 16 else 4
@@ -53,13 +53,17 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     size = tokens.agg(F.sum(F.length("ids") + width)).first()[0] or 0
     bounds = id_bounds(tokens, int(size / shard_bytes) + 1)
     placed = tokens.withColumn("shard", id_range(F.col("doc_id"), bounds))
-    order = [F.col("doc_id").asc_nulls_first(), "ids"]
-    parts = len(bounds) + 1
+    placed = placed.withColumns({"tie": F.xxhash64("ids"), "n": (F.length("ids") / width).cast("long") + 1})
+    order = [F.col("doc_id").asc_nulls_first(), "tie"]
+    parts = len(bounds) + 1 if size else 0
+    if not parts:  # no documents, no files
+        return {"folder": folder, "width": width, "shards": 0}
     (placed.repartition(parts, "shard").sortWithinPartitions("shard", *order)
         .select("shard", F.col("ids").cast("string").alias("value"))
         .write.partitionBy("shard").option("lineSep", end_id.to_bytes(width, "little").decode()).text(f"{folder}/ids"))
     at = Window.partitionBy("shard").orderBy(*order)
-    index = placed.select("shard", "doc_id", "ids", F.row_number().over(at).cast("long").alias("at"), (F.sum((F.length("ids") / width).cast("long") + 1).over(at.rowsBetween(Window.unboundedPreceding, -1))).alias("start"))
+    narrow = placed.select("shard", "doc_id", "tie", "n")  # the ids themselves are shuffled once, for their file
+    index = narrow.select("shard", "doc_id", F.row_number().over(at).cast("long").alias("at"), F.sum("n").over(at.rowsBetween(Window.unboundedPreceding, -1)).alias("start"))
     index = saved(index.select("shard", "doc_id", F.col("at") - 1, F.coalesce("start", F.lit(0)).cast("long").alias("start")).toDF("shard", "doc_id", "at", "start"), folder, "index")
     low = F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright("start", 8 * k).bitwiseAND(F.lit(255).cast("long"))), 2, "0")) for k in range(7)])
     (index.repartition(parts, "shard").sortWithinPartitions("shard", "at")
@@ -74,6 +78,8 @@ def read(spark: SparkSession, files: dict) -> DataFrame:
     The base of a shard is the prefix sum over the shard sizes: one number a shard reaches the driver.
     """
     width, folder = files["width"], files["folder"]
+    if not files["shards"]:
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
 
     def load(kind: str) -> DataFrame:
         return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/{kind}").select("shard", F.col("content").alias(kind), F.col("length").alias(f"{kind}_bytes"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 32 << 20
-WORD_CACHE = 400_000
+WORD_CACHE = 800_000
 # The letters and digits below U+0180, as Unicode classes them.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼½¾"
@@ -76,13 +76,15 @@ class WordCodec:
     def encode(self, text: str) -> bytes:
         """A text's ids; words are looked up in a bounded cache and encoded once when missing."""
         words, cache = self.words(text), self.cache
-        missing = list({w for w in words if w not in cache})
-        if missing:
-            if len(cache) + len(missing) > WORD_CACHE:
+        ids = list(map(cache.get, words))
+        if None in ids:
+            if len(cache) > WORD_CACHE:
                 cache.clear()
-                missing = list(set(words))
-            cache.update(zip(missing, self.encode_words(missing), strict=True))
-        return b"".join([cache[w] for w in words])
+            missing = list({w for w, i in zip(words, ids, strict=True) if i is None})
+            new = dict(zip(missing, self.encode_words(missing), strict=True))
+            cache.update(new)
+            ids = [new[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+        return b"".join(ids)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """What the library's decode gives without a decoder: the pieces joined by one space."""

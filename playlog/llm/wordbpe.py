@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 32 << 20
-WORD_CACHE = 800_000
+WORD_CACHE = 500_000
 # The letters and digits below U+0180, as Unicode classes them.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼½¾"

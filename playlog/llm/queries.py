@@ -83,8 +83,8 @@ n as (select doc_id, count(*) as n from s group by doc_id),
 o as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
 e as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 75 * (x.n + y.n - common)),
 sym as (select a, b from e union all select b, a from e),
-r as (select doc_id as id, doc_id as at from documents union select r.id, sym.b from r join sym on sym.a = r.at)
+r as (select doc_id as id, doc_id as node from documents union select r.id, sym.b from r join sym on sym.a = r.node)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id
 from documents d left join n using (doc_id)
-join (select id, min(at) as component_id from r group by id) c on c.id = d.doc_id""",
+join (select id, min(node) as component_id from r group by id) c on c.id = d.doc_id""",
 }

@@ -149,16 +149,26 @@ def _numbered(path: str, want_words: bool):
     return run
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids): every distinct word of words(word), encoded once."""
+def words_to_ids(spoken: DataFrame, path: str) -> DataFrame:
+    """(chunk, at, ids) of spoken(chunk, at, word): every distinct word is encoded once.
+
+    Words are dealt and sorted by word, so all rows of a word follow one another in one task: at
+    most one row for each chunk of the corpus.  The first of them encodes the word.
+    """
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c, word, held = codec(path), None, b""
         for batch in stream:
-            ids = c.encode_words(batch.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
+            if not batch.num_rows:
+                continue
+            found = batch.column("word").dictionary_encode()
+            distinct = found.dictionary.to_pylist()
+            known = distinct[0] == word
+            ids = [held] * known + c.encode_words(distinct[known:])
+            word, held = distinct[-1], ids[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("at"), pa.array(ids, pa.binary()).take(found.indices)], names=["chunk", "at", "ids"])
 
-    return words.select("word").distinct().mapInArrow(run, "word string, ids binary")
+    return spoken.repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, at int, ids binary")
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -172,7 +182,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
     spoken = source.mapInArrow(_numbered(path, True), "chunk long, at int, word string")
     coded = source.mapInArrow(_numbered(path, False), "chunk long, doc_id long, codes binary")
-    placed = spoken.join(word_table(spoken, path), "word").select("chunk", "at", F.lit(None).cast("long").alias("doc_id"), F.col("ids").alias("data"))
+    placed = words_to_ids(spoken, path).select("chunk", "at", F.lit(None).cast("long").alias("doc_id"), F.col("ids").alias("data"))
     both = placed.unionByName(coded.select("chunk", F.lit(None).cast("int").alias("at"), "doc_id", F.col("codes").alias("data")))
     dealt = both.repartition("chunk").sortWithinPartitions("chunk", F.col("at").asc_nulls_last())
 

@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,7 +105,7 @@ def _numbered(path: str, want_words: bool):
     """mapInArrow function: the chunks' distinct words, or the documents as word numbers."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, part = codec(path), 0
+        c, part, packer = codec(path), 0, zstandard.ZstdCompressor(level=3)
         chunk, size = 0, 0
         number: dict[str, int] = {}
 
@@ -139,8 +140,8 @@ def _numbered(path: str, want_words: bool):
                     codes[k] = n
                 ids.append(doc_id)
                 chunks.append((part << 24) + chunk)
-                # by planes: the high bytes are mostly zero and shrink well in the shuffle
-                coded.append(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes())
+                # by planes: the high bytes are mostly zero and shrink well
+                coded.append(packer.compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes()))
             if not want_words and ids:
                 yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(ids, pa.int64()), pa.array(coded, pa.binary())], names=["chunk", "doc_id", "codes"])
         if want_words and number:
@@ -187,7 +188,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     dealt = both.repartition("chunk").sortWithinPartitions("chunk", F.col("at").asc_nulls_last())
 
     def join_back(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, chunk = codec(path), None
+        c, chunk, packer = codec(path), None, zstandard.ZstdDecompressor()
         held: list[pa.Array] = []
         ids = starts = lengths = None
         for batch in stream:
@@ -209,7 +210,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                     held = []
                 got, text = [], []
                 for row in data:
-                    planes = np.frombuffer(row.as_py(), dtype=np.uint8).reshape(4, -1)
+                    planes = np.frombuffer(packer.decompress(row.as_py()), dtype=np.uint8).reshape(4, -1)
                     codes = np.ascontiguousarray(planes.T).view("<u4").ravel()
                     n = lengths[codes]
                     ends = np.cumsum(n)

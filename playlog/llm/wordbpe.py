@@ -6,8 +6,9 @@ word is encoded once, and the ids are joined back to the words' positions.
 
 To join by position without a row for each of the corpus's words, a task gives each
 distinct word of a chunk (at most CHUNK_BYTES of its text) a number in order of first
-appearance.  The chunk's words go through the word table; its documents travel as word
-numbers and meet the ids of their chunk's words in one shuffle on the chunk.
+appearance.  The chunks' words are dealt by word, where each distinct one is encoded; its
+documents travel as word numbers and meet the ids of their chunk's words in one shuffle on
+the chunk.
 """
 
 from __future__ import annotations

@@ -96,8 +96,8 @@ def removals(docs: DataFrame, folder: str) -> DataFrame:
             if rows:
                 yield _batch(rows, schema)
 
-    # a document's wishes are bounded by its own chunks
-    texts = source.join(asked, ["doc_id", "th"]).mapInArrow(pick, "key binary, doc_id long, th long, at int, is_first boolean, lines string")
+    # a document's wishes are bounded by its own chunks; both joins with the texts shuffle at every size, as the lists grow with the corpus
+    texts = source.join(asked.hint("merge"), ["doc_id", "th"]).mapInArrow(pick, "key binary, doc_id long, th long, at int, is_first boolean, lines string")
     kept = texts.where("is_first").dropDuplicates(["key"]).select("key", F.col("lines").alias("kept_lines"))
     return texts.where("not is_first").join(kept, "key").where("lines = kept_lines").select("doc_id", "th", "at").distinct()
 
@@ -113,7 +113,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     folder = work_folder(docs.sparkSession)
     gone = saved(removals(docs, folder), folder, "gone").groupBy("doc_id", "th").agg(F.collect_list("at").alias("__gone"))
     marked = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    rest = marked.join(gone.withColumnsRenamed({"doc_id": "__doc", "th": "__th"}), ["__doc", "__th"], "left").drop("__doc", "__th")
+    rest = marked.join(gone.withColumnsRenamed({"doc_id": "__doc", "th": "__th"}).hint("merge"), ["__doc", "__th"], "left").drop("__doc", "__th")
 
     @F.pandas_udf("struct<text:string,n:int>")
     def cut(text, at):

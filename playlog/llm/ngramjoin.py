@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ N, SHARE = 5, 75
 FREQUENT = 200_000
 SHORT_LIST, HUBS = 3, 2
 SALT = 1000
+#: Sets are sent in batches of about so many bytes.
+SENT_BYTES = 4 << 20
 #: Index buckets: about so many shingles each, and no fewer than LEAST_BUCKETS.
 BUCKET_TOKENS, LEAST_BUCKETS = 2_500_000, 24
 
@@ -233,9 +236,13 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, folder: str, na
                     if len(s) and _key(s)[0] == keys[base + i]:
                         data = _sent(s)
                         rows += [(q["a"], q["salt"], q["hub"], ids[base + i], data) for q in batch.column("ask")[base + i].as_py()]
-                for x in range(0, len(rows), 1000):
-                    some = list(zip(*rows[x : x + 1000], strict=True))
+                size = np.cumsum([0] + [len(r[-1]) + 28 for r in rows])
+                x = 0
+                while x < len(rows):
+                    y = max(x + 1, int(np.searchsorted(size, size[x] + SENT_BYTES, side="right")) - 1)
+                    some = list(zip(*rows[x:y], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(some, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["a", "salt", "hub", "doc", "set"])
+                    x = y
 
     sent = joined.mapInArrow(send, "a long, salt int, hub int, doc long, set binary")
     dealt = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("hub"))
@@ -285,19 +292,22 @@ def _open_pairs(entries: DataFrame, answers: DataFrame) -> DataFrame:
 
     entries: list, n, pos, rep, label.  answers: rep, known (array of hub and overlap).
     """
-    rows = entries.join(answers, "rep", "left").repartition("list").sortWithinPartitions("list", "n", "rep")
+    # lists of one label leave nothing open; they go before the answers are joined
+    mixed = entries.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list")
+    rows = entries.join(mixed, "list", "left_semi").join(answers, "rep", "left").repartition("list").sortWithinPartitions("list", "n", "rep")
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("n", "pos", "rep", "label")}
         n, pos, rep, label = columns["n"].astype(np.int64), columns["pos"].astype(np.int64), columns["rep"], columns["label"]
-        if len(np.unique(label)) < 2:
-            return
-        known = [x for b in held for x in b.column("known").to_pylist()]
-        hubs: dict[int, np.ndarray] = {}
-        for e, found in enumerate(known):
-            for f in found or ():
-                hubs.setdefault(f["hub"], np.full(len(n), -1, np.int64))[e] = f["both"]
-        some = sorted(hubs, key=lambda h: -(hubs[h] >= 0).sum())[: 4 * HUBS]
+        known = pa.chunked_array([b.column("known") for b in held]).combine_chunks()
+        owner, found = pc.list_parent_indices(known).to_numpy(), pc.list_flatten(known)
+        hub, both = found.field("hub").to_numpy(), found.field("both").to_numpy()
+        names, count = np.unique(hub, return_counts=True)
+        hubs = []  # the overlaps with the hubs that most entries were compared with; -1 where unknown
+        for h in names[np.argsort(-count, kind="stable")[: 4 * HUBS]]:
+            x = np.full(len(n), -1, np.int64)
+            x[owner[hub == h]] = both[hub == h]
+            hubs.append(x)
         # entries outside the list's most common label meet those inside and later ones outside
         _, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
         inside = inverse == int(np.argmax(count))
@@ -308,8 +318,7 @@ def _open_pairs(entries: DataFrame, answers: DataFrame) -> DataFrame:
             j = np.arange(lo, hi)
             j = j[(label[j] != label[o]) & (inside[j] | (j > o))]
             j = j[_fits(n, pos, np.full(len(j), o), j)]
-            for h in some:
-                x = hubs[h]
+            for x in hubs:
                 if x[o] >= 0 and len(j):
                     bound = np.minimum(x[o], x[j]) + np.minimum(n[o] - x[o], n[j] - x[j])
                     j = j[(x[j] < 0) | (bound >= needed(np.full(len(j), n[o]), n[j]))]

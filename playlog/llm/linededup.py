@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlog.llm.common import saved, work_folder
+from playlog.llm.common import saved, work_folder, trimmed
 
 LINES, EVERY, MOST = 2, 3, 16
 _MASK = (1 << 64) - 1
@@ -74,7 +74,7 @@ def removals(docs: DataFrame, folder: str) -> DataFrame:
                 yield _batch(rows, [("key", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32())])
 
     # rows that are repeated whole stand for one document
-    every = source.mapInArrow(places, "key binary, doc_id long, th long, at int")
+    every = source.mapInArrow(trimmed(places), "key binary, doc_id long, th long, at int")
     every = saved(every, folder, "places")
     first = every.groupBy("key").agg(F.min(F.struct("doc_id", "th", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     role = F.struct("doc_id", "th", "at") == F.col("first")
@@ -97,7 +97,7 @@ def removals(docs: DataFrame, folder: str) -> DataFrame:
                 yield _batch(rows, schema)
 
     # a document's wishes are bounded by its own chunks; both joins with the texts shuffle at every size, as the lists grow with the corpus
-    texts = source.join(asked.hint("merge"), ["doc_id", "th"]).mapInArrow(pick, "key binary, doc_id long, th long, at int, is_first boolean, lines string")
+    texts = source.join(asked.hint("merge"), ["doc_id", "th"]).mapInArrow(trimmed(pick), "key binary, doc_id long, th long, at int, is_first boolean, lines string")
     kept = texts.where("is_first").dropDuplicates(["key"]).select("key", F.col("lines").alias("kept_lines"))
     return texts.where("not is_first").join(kept, "key").where("lines = kept_lines").select("doc_id", "th", "at").distinct()
 

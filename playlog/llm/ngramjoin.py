@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlog.llm.common import BROADCAST_BYTES, parts_for, saved, work_folder
+from playlog.llm.common import BROADCAST_BYTES, parts_for, saved, work_folder, trimmed
 from playlog.llm.wordhash import mix, shingles, slices
 
 N, SHARE = 5, 75
@@ -86,7 +86,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 n = pa.array([len(s) for s in sets] + [None] * more, pa.int32())
                 yield pa.RecordBatch.from_arrays([own, n, pa.array(k1), pa.array(k2)], names=["doc_id", "n", "k1", "k2"])
 
-    return _source(docs).mapInArrow(run, "doc_id long, n int, k1 long, k2 long")
+    return _source(docs).mapInArrow(trimmed(run), "doc_id long, n int, k1 long, k2 long")
 
 
 def _index_rows(docs: DataFrame, frequent: list[tuple[int, int]], buckets: int) -> DataFrame:
@@ -117,7 +117,7 @@ def _index_rows(docs: DataFrame, frequent: list[tuple[int, int]], buckets: int)
                     continue
                 yield from _packed(toks, pos, n, k, buckets)
 
-    return _source(docs).where("doc_id is not null and text is not null").mapInArrow(run, "bucket int, k1 long, n int, toks binary, pos binary")
+    return _source(docs).where("doc_id is not null and text is not null").mapInArrow(trimmed(run), "bucket int, k1 long, n int, toks binary, pos binary")
 
 
 def _packed(toks: list, pos: list, n: list[int], k: list[int], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def _compare_lists(rows: DataFrame) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return rows.mapInArrow(run, "kind int, a long, b long, n int, pos int")
+    return rows.mapInArrow(trimmed(run), "kind int, a long, b long, n int, pos int")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, folder: str, name: str) -> DataFrame:
@@ -244,7 +244,7 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, folder: str, na
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(some, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["a", "salt", "hub", "doc", "set"])
                     x = y
 
-    sent = joined.mapInArrow(send, "a long, salt int, hub int, doc long, set binary")
+    sent = joined.mapInArrow(trimmed(send), "a long, salt int, hub int, doc long, set binary")
     dealt = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("hub"))
 
     def compare(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +262,7 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, folder: str, na
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=["a", "b", "both", "na", "nb", "linked"])
 
-    result = dealt.mapInArrow(compare, "a long, b long, both int, na int, nb int, linked boolean").dropDuplicates(["a", "b"])
+    result = dealt.mapInArrow(trimmed(compare), "a long, b long, both int, na int, nb int, linked boolean").dropDuplicates(["a", "b"])
     return saved(result, folder, f"verified_{name}")
 
 
@@ -339,7 +339,7 @@ def _open_pairs(entries: DataFrame, answers: DataFrame) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(trimmed(run), "a long, b long")
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from playlog.llm.common import trimmed
+
 CHUNK_BYTES = 32 << 20
 WORD_CACHE = 500_000
 # The letters and digits below U+0180, as Unicode classes them.
@@ -170,7 +172,7 @@ def words_to_ids(spoken: DataFrame, path: str) -> DataFrame:
             word, held = distinct[-1], ids[-1]
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("at"), pa.array(ids, pa.binary()).take(found.indices)], names=["chunk", "at", "ids"])
 
-    return spoken.repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, at int, ids binary")
+    return spoken.repartition("word").sortWithinPartitions("word").mapInArrow(trimmed(run), "chunk long, at int, ids binary")
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -182,8 +184,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or tokenizer_path()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
-    spoken = source.mapInArrow(_numbered(path, True), "chunk long, at int, word string")
-    coded = source.mapInArrow(_numbered(path, False), "chunk long, doc_id long, codes binary")
+    spoken = source.mapInArrow(trimmed(_numbered(path, True)), "chunk long, at int, word string")
+    coded = source.mapInArrow(trimmed(_numbered(path, False)), "chunk long, doc_id long, codes binary")
     placed = words_to_ids(spoken, path).select("chunk", "at", F.lit(None).cast("long").alias("doc_id"), F.col("ids").alias("data"))
     both = placed.unionByName(coded.select("chunk", F.lit(None).cast("int").alias("at"), "doc_id", F.col("codes").alias("data")))
     dealt = both.repartition("chunk").sortWithinPartitions("chunk", F.col("at").asc_nulls_last())
@@ -220,7 +222,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                     text.append(c.decode(own))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(got, pa.binary()), pa.array(text, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return dealt.mapInArrow(join_back, "doc_id long, ids binary, decoded binary")
+    return dealt.mapInArrow(trimmed(join_back), "doc_id long, ids binary, decoded binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

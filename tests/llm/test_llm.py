@@ -174,6 +174,33 @@ def test_line_dedup(docs, empty, null_ids):
     assert linededup.dedup(empty).count() == 0 and linededup.dedup(null_ids).count() == 2
 
 
+def test_line_dedup_runs(spark):
+    r = random.Random(9)
+    line = lambda: " ".join(r.choice("abcdefgh") * 3 for _ in range(6)) + str(r.random())
+    passages = [[line() for _ in range(n)] for n in (2, 2, 2, 3, 3, 4, 5, 8)]
+    passages += [[passages[0][0], "", passages[1][1], " \t", line()]]  # blank lines within
+    texts = []
+    for _ in range(60):
+        rows = [line() for _ in range(r.randint(1, 6))]
+        for p in r.sample(passages, r.randint(0, 3)):
+            at = r.randint(0, len(rows))
+            rows[at:at] = p
+        texts.append("\n".join(rows))
+    texts += [texts[0], texts[1] + "\n", "\n\n" + texts[2], "x y\nx y", "x y\nx y", "q\nx y\nx y\nx y", "v v\nv v\nw\nu\nv v\nv v\nv v\nw", "o\n" + "p\n" * 9 + "s", "1\n\n1\n\n1\n\n1\n2\n1\n\n1"]
+    got = {r.doc_id: r for r in linededup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    want = linededup.brute_force(list(enumerate(texts)))
+    assert {(d, texts[d]): x.text for d, x in got.items()} == want
+    assert all(x.n_removed == len(texts[d].split("\n")) - len(x.text.split("\n")) or not x.text for d, x in got.items())
+    assert not got[60].text and got[61].text == "" and got[62].text == "\n" and got[64].text == "" and got[65].text == "q"
+    assert got[66].text == "v v\nv v\nw\nu" and got[67].text == "o\np\np\ns" and got[68].text == "1\n\n1\n\n1\n\n1\n2"
+    # a repeated run inside otherwise different texts goes wherever its neighbours lie
+    first = {}
+    for d, t in enumerate(texts):
+        for n, p in enumerate(passages):
+            if "\n".join(p) in t and first.setdefault(n, d) != d:
+                assert "\n".join(p) not in got[d].text
+
+
 def test_token_counts(docs, empty, null_ids):
     import sentencepiece
 

@@ -19,9 +19,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks of lines; one that loses its whole text goes."""
+    """Documents without repeated runs of lines; one of which no more than white space of any kind is left goes."""
     done = linededup.dedup(docs)
-    return done.where("n_removed = 0 or trim(text) <> ''").select(*docs.columns)
+    return done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,6 +201,17 @@ def test_line_dedup_runs(spark):
                 assert "\n".join(p) not in got[d].text
 
 
+def test_pipeline_lines(spark):
+    import corpus_pipeline
+
+    texts = ["a b\nc d\ne f", "a b\nc d\ne f", "a b\nc d\ne f\n", "\u3000\na b\nc d\ne f\r\n\t\n\x1c", "a b\nc d\nnew", " \n", None]
+    left = corpus_pipeline.lines(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    assert sorted((r.doc_id, r.text) for r in left.where("text is not null").collect()) == [(0, texts[0]), (3, "\u3000\ne f\r\n\t\n\x1c"), (4, "new"), (5, " \n")]
+    assert left.where("text is null").count() == 1
+    same = spark.createDataFrame([(1, "a b\nc d"), (2, "a b\nc d\n\t\n"), (3, "\u3000\na b\nc d\n\x1c")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.lines(spark, same, "").collect()] == [1]
+
+
 def test_token_counts(docs, empty, null_ids):
     import sentencepiece
 

@@ -134,9 +134,14 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     skipped; repeated rows of an item or document give one row.  Whole texts are searched.  There
     is no shuffle but for the final removal of repeated pairs, which are few.
     """
+    return _found(docs.select("doc_id", F.lit(0).alias("th"), "text"), items).groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+
+
+def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, th, item_id, edits) of the hits of each block of items; th tells texts of one doc_id apart."""
     spark, found = docs.sparkSession, None
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    schema = "doc_id long, item_id long, edits int"
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("th").cast("long").alias("th"), "text").where("doc_id is not null and text is not null")
+    schema = "doc_id long, th long, item_id long, edits int"
     for block in _blocks(items):
         sent = spark.sparkContext.broadcast(block)
 
@@ -144,20 +149,20 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
             matcher = Matcher(sent.value)
             for batch in stream:
                 rows = []
-                ids = batch.column("doc_id")
+                ids, ths = batch.column("doc_id"), batch.column("th")
                 for base, words in slices(batch.column("text"), normal=True):
                     spots = matcher.spots(words)
                     busy = np.unique(np.concatenate([np.searchsorted(words.first, s, "right") - 1 for s in spots.values()])) if spots else []
                     for i in busy:
-                        rows += [(ids[base + int(i)].as_py(), matcher.ids[n], e) for n, e in matcher.hits(words, int(words.first[i]), int(words.first[i + 1]), spots)]
+                        rows += [(ids[base + int(i)].as_py(), ths[base + int(i)].as_py(), matcher.ids[n], e) for n, e in matcher.hits(words, int(words.first[i]), int(words.first[i + 1]), spots)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "item_id", "edits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "th", "item_id", "edits"])
 
         part = source.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema)
-    return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+    return found
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -166,5 +171,10 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the contaminated documents, all columns kept; rows with a null doc_id stay."""
-    return docs.join(contaminated(docs, items).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the contaminated documents, all columns kept; rows with a null doc_id stay.
+
+    A document is a doc_id with a text: a clean text stays when another one with its doc_id goes.
+    """
+    hit = _found(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), items).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).distinct()
+    marked = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
+    return marked.join(hit, ["__doc", "__th"], "left_anti").select(*docs.columns)

@@ -389,9 +389,23 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the smallest doc_id; rows with a null doc_id stay."""
-    found = join(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each component: the smallest doc_id; rows with a null doc_id stay.
+
+    Where doc_ids repeat, a document is a doc_id with a text: of several in a component the smallest (doc_id, hash of the
+    text) stays, and of rows that are alike in both one stays.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")).where("doc_id is not null")
+    if own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        found = join(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    folder = work_folder(docs.sparkSession)
+    ids = saved(own.distinct().withColumn("row", F.monotonically_increasing_id()), folder, "ids")
+    marked = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
+    marked = marked.join(ids.toDF("__doc", "__th", "__row").hint("merge"), ["__doc", "__th"])
+    found = join(marked.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    stay = found.join(ids, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "th", "row")).alias("least")).select(F.col("least.row").alias("__row"))
+    kept = marked.join(saved(stay, folder, "stay"), "__row", "left_semi").dropDuplicates(["__row"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> list[tuple[int, int, int]]:

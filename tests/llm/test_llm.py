@@ -141,6 +141,20 @@ def test_ngram_join(docs, empty, null_ids):
     assert {tuple(r) for r in ngramjoin.join(null_ids).collect()} == {(None, 1, None), (1, 0, 1)}
 
 
+def test_repeated_ids_go_by_text(spark):
+    r = random.Random(3)
+    a, b, c, d = (" ".join(f"{x}{r.random()}" for _ in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, c + " more"), (4, b), (5, ""), (5, ""), (5, d), (6, d), (None, a), (None, a)]
+    table = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    got = sorted(((x.doc_id or 0, x.text) for x in ngramjoin.keep_one(table).collect()))
+    third = [x for x in got if x[0] == 3]
+    assert [x for x in got if x[0] != 3] == sorted([(0, a), (0, a), (1, a), (2, b), (5, ""), (5, d)])
+    assert len(third) == 1 and third[0][1] in (c, c + " more")
+    items = spark.createDataFrame([(1, a)], "item_id long, text string")
+    left = sorted(((x.doc_id or 0, x.text) for x in decontam.clean(table, items).collect()))
+    assert left == sorted((i or 0, t) for i, t in rows if i is None or t != a)
+
+
 def test_bpe(docs, empty, null_ids):
     from tokenizers import Tokenizer
 

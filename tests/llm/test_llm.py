@@ -108,6 +108,15 @@ def test_substrings(docs, empty, null_ids):
     assert substrings.removed_words(empty).count() == 0 and substrings.removed_words(null_ids).count() == 2
 
 
+def test_substrings_compacted(docs, monkeypatch):
+    merged = []
+    compact = substrings.FingerprintIndex.compact
+    monkeypatch.setattr(substrings, "MAX_RUNS", 1)
+    monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self: (merged.append(len(self.runs)), compact(self)))
+    got = substrings.digests(substrings.removed_words(docs, 3))
+    assert sorted(map(tuple, got.collect())) == sorted(substrings.brute_force(listed())) and merged == [2, 2]
+
+
 def test_spotsigs(docs, empty, null_ids):
     rows = spotsigs.digests(spotsigs.compared(docs)).collect()
     order = sorted(((d, t or "") for d, t in listed()), key=lambda x: (-x[0], x[1]))

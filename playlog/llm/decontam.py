@@ -68,7 +68,7 @@ class Matcher:
             for i in range(len(w)):
                 a, b = int(w.first[i]), int(w.first[i + 1])
                 number = len(self.words)
-                self.words.append(w.hashes[0][a:b])
+                self.words.append(w.hashes[a:b])
                 for start, length in pieces(b - a, budget(b - a)):
                     q = min(length, KEY_WORDS)
                     keys[q].append((int(runs[q][a + start]), number, start))
@@ -97,7 +97,7 @@ class Matcher:
                         continue
                     tried.add((number, begin))
                     a, b = max(first, begin - k), min(last, begin + n + k)
-                    edits = best_distance(item.tolist(), words.hashes[0][a:b].tolist())
+                    edits = best_distance(item.tolist(), words.hashes[a:b].tolist())
                     if edits <= k and edits < best.get(number, n + 1):
                         best[number] = edits
         return iter(sorted(best.items()))

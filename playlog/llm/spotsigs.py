@@ -32,7 +32,7 @@ ANCHORS = (
 
 
 def _anchor_hashes() -> np.ndarray:
-    return np.unique(np.concatenate([w.hashes[0] for _, w in slices(pa.array(ANCHORS), normal=True)]))
+    return np.unique(np.concatenate([w.hashes for _, w in slices(pa.array(ANCHORS), normal=True)]))
 
 
 def signature(words: Words, i: int, is_anchor: np.ndarray) -> np.ndarray:
@@ -40,14 +40,14 @@ def signature(words: Words, i: int, is_anchor: np.ndarray) -> np.ndarray:
     a, b = int(words.first[i]), int(words.first[i + 1])
     if a == b:
         return np.zeros(0, dtype=np.uint32)
-    h, anchor = words.hashes[0][a:b], is_anchor[a:b]
+    h, anchor = words.hashes[a:b], is_anchor[a:b]
     content = np.flatnonzero(~anchor)
     spots = np.flatnonzero(anchor)
     after = np.searchsorted(content, spots)
     ok = after + CHAIN <= len(content)
     spots, after = spots[ok], after[ok]
     if not len(spots):
-        return (words.text_hash()[i : i + 1] >> np.uint64(32)).astype(np.uint32)
+        return (np.array([words.text_hash(i)]) >> np.uint64(32)).astype(np.uint32)
     value = h[spots]
     for k in range(CHAIN):
         value = mix(value * np.uint64(3) + h[content[after + k]])
@@ -57,8 +57,8 @@ def signature(words: Words, i: int, is_anchor: np.ndarray) -> np.ndarray:
 def signatures(texts: pa.Array) -> list[np.ndarray]:
     anchors, out = _anchor_hashes(), []
     for _, words in slices(texts, normal=True):
-        at = np.minimum(np.searchsorted(anchors, words.hashes[0]), len(anchors) - 1)
-        is_anchor = anchors[at] == words.hashes[0]
+        at = np.minimum(np.searchsorted(anchors, words.hashes), len(anchors) - 1)
+        is_anchor = anchors[at] == words.hashes
         out += [signature(words, i, is_anchor) for i in range(len(words))]
     return out
 

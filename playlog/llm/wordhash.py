@@ -2,13 +2,15 @@
 
 A batch of texts is one contiguous UTF-8 buffer, so words, their hashes and the
 hashes of runs of words are computed with a handful of NumPy passes over that
-buffer instead of a Python loop over words.  Words are maximal runs of bytes
+buffer instead of a Python loop over words.  Hashes are mixed at every step, so no regular pattern of letters or
+words makes two runs alike.  Words are maximal runs of bytes
 other than space and ``\\x09-\\x0D``; because those separators are ASCII this is
 the same as splitting on code points.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,10 @@ _IS_MARK = np.zeros(256, dtype=bool)
 _IS_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
-_powers: dict[tuple[int, int], np.ndarray] = {}
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,37 +41,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F + 2 * seed))
-
-
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, grown on demand and kept."""
-    have = _powers.get((base, 0))
-    if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES + 65536), base, dtype=np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        _powers[(base, 0)] = have
-    return have[:n]
-
-
-def _range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of values[start:end] for every pair, independent of where the range lies."""
-    up, down = _power_table(base, len(values) + 1), _power_table(_inverse(base), len(values) + 1)
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def _word_hashes(packed: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words packed[offsets[i]:offsets[i + 1]]: eight bytes at a time, each mixed into the last.
+
+    Long words are digested with BLAKE2b instead.
+    """
+    sizes = np.diff(offsets)
+    h = mix(sizes.astype(np.uint64) + _ODD)
+    padded = np.concatenate([packed, np.zeros(8, dtype=np.uint8)])
+    lanes = np.ndarray((len(packed) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    left, at, own = sizes, offsets[:-1], None  # own: the words that go on, all at first
+    for _ in range(0, LONG_WORD, 8):
+        value = lanes[at] & _TAIL[np.minimum(left, 8)]
+        if own is None:
+            h = mix(h * _ODD + value)
+        else:
+            h[own] = mix(h[own] * _ODD + value)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        own = more if own is None else own[more]
+        left, at = left[more] - 8, at[more] + 8
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(packed[offsets[i] : offsets[i + 1]], digest_size=8).digest(), "little")
+    return h
+
+
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of h[i : i + n] for every i, from hashes of runs of 1, 2, 4, .. elements.
+
+    Every join of two runs is mixed, so runs differ in their hash whatever regular pattern they follow
+    (a sum of powers would not tell some of them apart).
+    """
+    count = len(h) - n + 1
+    if count <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    power, size, done, out = h, 1, 0, None
+    while True:
+        if n & size:
+            part = power[done : done + count]
+            out = mix(part ^ _ODD) if out is None else mix(out * _ODD + part)
+            done += size
+        if 2 * size > n:
+            return out
+        power = mix(power[:-size] * _ODD + power[size:])
+        size *= 2
 
 
 class Words:
     """The words of a slice of texts: per word its byte range and hashes, per text its range of words."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False, seeds: tuple[int, ...] = (0,), normal: bool = False):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False, normal: bool = False):
         self.data, self.bounds = data, bounds
         word = np.zeros(len(data) + 2, dtype=np.int8)
         word[1:-1] = _IS_WORD[data]
@@ -88,31 +112,33 @@ class Words:
             self.starts, self.ends = starts, ends = letter[a[some]], letter[b[some] - 1] + 1
             self.first = np.searchsorted(starts, bounds)
         source = _LOWER[data] if lower or normal else data
-        self.hashes = [self._hashes(source, s) for s in seeds]
-
-    def _hashes(self, source: np.ndarray, seed: int) -> np.ndarray:
-        """The words' hashes, worked out in blocks so that a very long text needs no more memory than a slice."""
-        values, out, i = _byte_values(seed), np.empty(len(self.starts), dtype=np.uint64), 0
-        while i < len(out):
-            base = int(self.starts[i])
-            j = max(i + 1, int(np.searchsorted(self.ends, base + SLICE_BYTES, side="right")))
-            out[i:j] = _range_hash(values[source[base : self.ends[j - 1]]], self.starts[i:j] - base, self.ends[i:j] - base, int(_ODD[seed % 2]))
-            i = j
-        return out
+        sizes = self.ends - self.starts
+        self.packed = np.zeros(len(self.starts) + 1, dtype=np.int64)  # offsets of the words without what lies between
+        np.cumsum(sizes, out=self.packed[1:])
+        inside = np.zeros(len(data) + 1, dtype=np.int8)
+        inside[self.starts] += 1
+        inside[self.ends] -= 1
+        self.letters = source[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+        self.hashes = _word_hashes(self.letters, self.packed)
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
-    def runs(self, n: int, seed: int = 0) -> np.ndarray:
+    def runs(self, n: int) -> np.ndarray:
         """Hash of the n words from each word on (as many as the slice has; the caller drops those that cross texts)."""
-        h = self.hashes[seed]
-        count = max(0, len(h) - n + 1)
-        at = np.arange(count)
-        return _range_hash(h, at, at + n, int(_ODD[1 - seed % 2]))
+        return run_hashes(self.hashes, n)
+
+    def text_hash(self, i: int) -> np.uint64:
+        """Digest of text i's whole word sequence."""
+        data = self.hashes[self.first[i] : self.first[i + 1]].tobytes()
+        return np.uint64(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little"))
 
-    def text_hash(self, seed: int = 0) -> np.ndarray:
-        """Hash of each text's whole word sequence."""
-        return _range_hash(self.hashes[seed], self.first[:-1], self.first[1:], int(_ODD[1 - seed % 2]))
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words of the slice, each closed by one blank, and the n + 1 offsets of the words in that."""
+        offsets = self.packed + np.arange(len(self.packed))
+        out = np.full(int(offsets[-1]), 0x20, dtype=np.uint8)
+        out[np.arange(len(self.letters)) + np.repeat(np.arange(len(self.starts)), np.diff(self.packed))] = self.letters
+        return out.tobytes(), offsets
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +151,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def slices(texts: pa.Array, lower: bool = False, seeds: tuple[int, ...] = (0,), limit: int = SLICE_BYTES, normal: bool = False) -> Iterator[tuple[int, Words]]:
+def slices(texts: pa.Array, lower: bool = False, limit: int = SLICE_BYTES, normal: bool = False) -> Iterator[tuple[int, Words]]:
     """(index of its first text, Words) for consecutive slices; a longer text is a slice of its own."""
     if not len(texts):
         return
@@ -133,19 +159,18 @@ def slices(texts: pa.Array, lower: bool = False, seeds: tuple[int, ...] = (0,),
     i, n = 0, len(texts)
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
-        yield i, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower, seeds, normal)
+        yield i, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower, normal)
         i = j
 
 
 def shingles(words: Words, n: int = 5) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its n-word shingles; of fewer words the whole sequence is the one shingle."""
-    run, whole = words.runs(n), words.text_hash()
-    out = []
+    run, out = words.runs(n), []
     for i in range(len(words)):
         a, b = words.first[i], words.first[i + 1]
         if b - a >= n:
             x = np.sort(run[a : b - n + 1])
             out.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) > 1 else x)
         else:
-            out.append(whole[i : i + 1] if b > a else run[:0])
+            out.append(np.array([words.text_hash(i)]) if b > a else run[:0])
     return out

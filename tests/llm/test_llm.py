@@ -112,11 +112,51 @@ def test_substrings_compacted(docs, monkeypatch):
     merged = []
     compact = substrings.FingerprintIndex.compact
     monkeypatch.setattr(substrings, "MAX_RUNS", 1)
-    monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self: (merged.append(len(self.runs)), compact(self)))
+    monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self: (merged.append(len(self.paths("fps"))), compact(self)))
     got = substrings.digests(substrings.removed_words(docs, 3))
     assert sorted(map(tuple, got.collect())) == sorted(substrings.brute_force(listed())) and merged == [2, 2]
 
 
+def test_substrings_over_calls(spark, docs, tmp_path):
+    """An index is opened again, in a session of its own, for the second batch; runs meet without a shuffle of fingerprints."""
+    folder = str(tmp_path / "index")
+    index = substrings.FingerprintIndex.create(spark, folder, 4)
+    done = substrings.digests(substrings.removed_words(docs.where("doc_id < 45"), 1, index)).collect()
+    index.close()
+    other = spark.newSession()
+    index = substrings.FingerprintIndex.open(other, folder)
+    later = other.createDataFrame([(r.doc_id, r.text) for r in docs.where("doc_id >= 45").collect()], "doc_id long, text string")
+    done += substrings.digests(substrings.removed_words(later, 1, index)).collect()
+    assert sorted(map(tuple, done)) == sorted(substrings.brute_force(listed()))
+    old, new = index.paths("fps")
+    joined = index.table("fps", new).select("fp").hint("merge").join(index.table("fps", old).select("fp"), "fp")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() > 0
+    with pytest.raises(ValueError):
+        index.add(substrings._source(docs))
+    index.close()
+
+
+def doubled(k):
+    """Two words of 2**k letters that sums of powers modulo 2**64 do not tell apart."""
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_words(spark):
+    """Different texts of regularly built words are different: op3 removes nothing, op5 links nothing, op4 tells them apart."""
+    same, ends = [f"w{i}" for i in range(49)], doubled(10)
+    rows = [(i + 1, " ".join([*same, e])) for i, e in enumerate(ends)]
+    rows += [(i + 3, " ".join(x for x in doubled(8)[i])) for i in range(2)]  # the words follow the pattern
+    rows += [(i + 5, f"{e} x") for i, e in enumerate(ends)] + [(i + 7, "x y z " + e) for i, e in enumerate(ends)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substrings.digests(substrings.removed_words(table)).collect())) == sorted(substrings.brute_force(rows))
+    assert sorted(map(tuple, ngramjoin.join(table).collect())) == sorted(ngramjoin.brute_force(rows))
+    prints = {r.doc_id: r.fingerprint for r in spotsigs.fingerprints(table).collect()}
+    assert prints[1] != prints[2] and prints[5] != prints[6]
+
+
 def test_spotsigs(docs, empty, null_ids):
     rows = spotsigs.digests(spotsigs.compared(docs)).collect()
     order = sorted(((d, t or "") for d, t in listed()), key=lambda x: (-x[0], x[1]))

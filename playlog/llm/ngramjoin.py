@@ -10,12 +10,17 @@ Long lists come from groups of much alike sets.  There a few hubs are compared w
 component need no more comparison with one another, and for two sets of different components the
 overlaps with a common hub bound their own overlap; only pairs that the bound leaves open are compared.
 No link between different components is lost, so the components are exact.
+
+Before two sets are compared in full, short parity maps of both (each element flips one bit) give an
+upper bound of their overlap: the maps differ in no more places than the sets in elements.  Sets that
+are compared travel as 64-bit BLAKE2b digests of their shingles' words, which decide the link.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import count as steps
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlog.llm.common import BROADCAST_BYTES, parts_for, saved, work_folder, trimmed
-from playlog.llm.wordhash import mix, shingles, slices
+from playlog.llm.wordhash import Words, mix, shingles, slices
 
 N, SHARE = 5, 75
 #: Frequent shingles are put last in the order; so many at most are known by name. This changes costs only.
@@ -51,15 +56,30 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _sent(s: np.ndarray) -> bytes:
-    """A set as the upper 48 bits of its hashes, which keep their order."""
-    return np.ascontiguousarray((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _parity(s: np.ndarray) -> bytes:
+    """A map of at least two bits an element, a power of two; each element flips the bit that its hash names."""
+    size = max(256, 1 << (2 * len(s) - 1).bit_length())
+    bit = (s >> np.uint64(20)).astype(np.int64) & (size - 1)
+    return np.packbits((np.bincount(bit, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_common(n: int, m: int, x: bytes, y: bytes) -> int:
+    """The largest overlap that sets of n and m elements can have by their parity maps; a longer map is folded."""
+    while len(x) > len(y):
+        x = (int.from_bytes(x[: len(x) // 2], "little") ^ int.from_bytes(x[len(x) // 2 :], "little")).to_bytes(len(x) // 2, "little")
+    while len(y) > len(x):
+        y = (int.from_bytes(y[: len(y) // 2], "little") ^ int.from_bytes(y[len(y) // 2 :], "little")).to_bytes(len(y) // 2, "little")
+    return (n + m - (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()) // 2
 
 
-def _received(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _digests(words: Words, joined: tuple[bytes, np.ndarray], i: int) -> bytes:
+    """The sorted 64-bit digests of the distinct shingles of text i."""
+    data, offsets = joined
+    a, b = int(words.first[i]), int(words.first[i + 1])
+    n = min(N, b - a)
+    at = a + np.unique(words.five[a : b - N + 1], return_index=True)[1] if n == N else np.array([a])
+    digest = b"".join([hashlib.blake2b(data[x : y - 1], digest_size=8).digest() for x, y in zip(offsets[at].tolist(), offsets[at + n].tolist(), strict=True)])
+    return np.unique(np.frombuffer(digest, dtype="<u8")).tobytes()
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -67,8 +87,8 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, n, k1, k2): set size and a 128-bit key of the set; and, with a null n, counts (k2) of
-    shingles (k1) that repeat within a slice of documents."""
+    """Per document (doc_id, n, k1, k2, bits): set size, a 128-bit key and the parity map of the set; and, with a null
+    n, counts (k2) of shingles (k1) that repeat within a slice of documents."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -84,9 +104,10 @@ def describe(docs: DataFrame) -> DataFrame:
                 more = int(often.sum())
                 own = pa.concat_arrays([ids.slice(base, len(sets)), pa.nulls(more, pa.int64())])
                 n = pa.array([len(s) for s in sets] + [None] * more, pa.int32())
-                yield pa.RecordBatch.from_arrays([own, n, pa.array(k1), pa.array(k2)], names=["doc_id", "n", "k1", "k2"])
+                bits = pa.array([_parity(s) if len(s) else None for s in sets] + [None] * more, pa.binary())
+                yield pa.RecordBatch.from_arrays([own, n, pa.array(k1), pa.array(k2), bits], names=["doc_id", "n", "k1", "k2", "bits"])
 
-    return _source(docs).mapInArrow(trimmed(run), "doc_id long, n int, k1 long, k2 long")
+    return _source(docs).mapInArrow(trimmed(run), "doc_id long, n int, k1 long, k2 long, bits binary")
 
 
 def _index_rows(docs: DataFrame, frequent: list[tuple[int, int]], buckets: int) -> DataFrame:
@@ -211,6 +232,19 @@ def _compare_lists(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(trimmed(run), "kind int, a long, b long, n int, pos int")
 
 
+def bounded(pairs: DataFrame) -> DataFrame:
+    """(a, b, na, nb, most, open) of pairs(a, b, na, nb, xa, xb): the bound by the parity maps, and whether it allows a link."""
+
+    def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            na, nb = batch.column("na"), batch.column("nb")
+            most = np.array([most_common(n, m, x, y) for n, m, x, y in zip(na.to_pylist(), nb.to_pylist(), batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)], dtype=np.int64)
+            can = most >= needed(na.to_numpy(), nb.to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), na, nb, pa.array(most.astype(np.int32)), pa.array(can)], names=["a", "b", "na", "nb", "most", "open"])
+
+    return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, na int, nb int, most int, open boolean")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, folder: str, name: str) -> DataFrame:
     """(a, b, both, na, nb, linked) for pairs(a, b) of representatives, from the whole sets.
 
@@ -232,9 +266,10 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, folder: str, na
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("k1").to_pylist()
             for base, words in slices(batch.column("text"), lower=True):
                 rows = []
+                words.five, joined = words.runs(N), words.joined()
                 for i, s in enumerate(shingles(words, N)):
                     if len(s) and _key(s)[0] == keys[base + i]:
-                        data = _sent(s)
+                        data = _digests(words, joined, i)
                         rows += [(q["a"], q["salt"], q["hub"], ids[base + i], data) for q in batch.column("ask")[base + i].as_py()]
                 size = np.cumsum([0] + [len(r[-1]) + 28 for r in rows])
                 x = 0
@@ -252,7 +287,7 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, folder: str, na
         for batch in stream:
             out = []
             for a, is_hub, doc, data in zip(*(batch.column(c) for c in ("a", "hub", "doc", "set")), strict=True):
-                s = _received(data.as_py())
+                s = np.frombuffer(data.as_py(), dtype="<u8")
                 if is_hub.as_py():
                     hub, mine = a.as_py(), s
                 elif hub == a.as_py():
@@ -270,10 +305,11 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """(id, label) of every vertex with an edge(a, b), label the least id of its component.
 
     Large-star and small-star steps alternate until nothing changes; each is a few shuffles of the edges.
+    Their number grows with the logarithm of the edges; there is no other end.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), folder, f"{name}_0")
     state = None
-    for step in range(1, 100):
+    for step in steps(1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -290,7 +326,7 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
 def _open_pairs(entries: DataFrame, answers: DataFrame) -> DataFrame:
     """(a, b) of entries of one long list, of different labels, that size, position and known answers leave open.
 
-    entries: list, n, pos, rep, label.  answers: rep, known (array of hub and overlap).
+    entries: list, n, pos, rep, label.  answers: rep, known (array of hub, least and most overlap).
     """
     # lists of one label leave nothing open; they go before the answers are joined
     mixed = entries.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list")
@@ -301,27 +337,24 @@ def _open_pairs(entries: DataFrame, answers: DataFrame) -> DataFrame:
         n, pos, rep, label = columns["n"].astype(np.int64), columns["pos"].astype(np.int64), columns["rep"], columns["label"]
         known = pa.chunked_array([b.column("known") for b in held]).combine_chunks()
         owner, found = pc.list_parent_indices(known).to_numpy(), pc.list_flatten(known)
-        hub, both = found.field("hub").to_numpy(), found.field("both").to_numpy()
+        hub, least, most = (found.field(f).to_numpy() for f in ("hub", "least", "most"))
         names, count = np.unique(hub, return_counts=True)
-        hubs = []  # the overlaps with the hubs that most entries were compared with; -1 where unknown
+        hubs = []  # bounds of the overlaps with the hubs that most entries were compared with
         for h in names[np.argsort(-count, kind="stable")[: 4 * HUBS]]:
-            x = np.full(len(n), -1, np.int64)
-            x[owner[hub == h]] = both[hub == h]
-            hubs.append(x)
+            lo, hi = np.zeros(len(n), np.int64), n.copy()
+            lo[owner[hub == h]], hi[owner[hub == h]] = least[hub == h], most[hub == h]
+            hubs.append((lo, hi))
         # entries outside the list's most common label meet those inside and later ones outside
         _, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
         inside = inverse == int(np.argmax(count))
         outside = np.flatnonzero(~inside)
         for o in outside.tolist():
-            hi = int(np.searchsorted(n, 100 * n[o] // SHARE, side="right"))
-            lo = int(np.searchsorted(n, -(-SHARE * n[o] // 100), side="left"))
-            j = np.arange(lo, hi)
+            j = np.arange(int(np.searchsorted(n, -(-SHARE * n[o] // 100), side="left")), int(np.searchsorted(n, 100 * n[o] // SHARE, side="right")))
             j = j[(label[j] != label[o]) & (inside[j] | (j > o))]
             j = j[_fits(n, pos, np.full(len(j), o), j)]
-            for x in hubs:
-                if x[o] >= 0 and len(j):
-                    bound = np.minimum(x[o], x[j]) + np.minimum(n[o] - x[o], n[j] - x[j])
-                    j = j[(x[j] < 0) | (bound >= needed(np.full(len(j), n[o]), n[j]))]
+            for lo, hi in hubs:
+                bound = np.minimum(hi[o], hi[j]) + np.minimum(n[o] - lo[o], n[j] - lo[j])
+                j = j[bound >= needed(np.full(len(j), n[o]), n[j])]
             if len(j):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), rep[o])), pa.array(rep[j])], names=["a", "b"])
 
@@ -356,7 +389,7 @@ def join(docs: DataFrame) -> DataFrame:
     own = rows.where("n is not null")
     frequent = rows.where("n is null").groupBy("k1").agg(F.sum("k2").alias("c")).orderBy(F.desc("c"), "k1").limit(FREQUENT).collect()
     frequent = sorted(((r["k1"], r["c"]) for r in frequent), key=lambda x: (x[1], x[0]))
-    sets = saved(own.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), folder, "classes")
+    sets = saved(own.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), folder, "classes")
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = parts_for(spark, total / 4, BUCKET_TOKENS, LEAST_BUCKETS)
     index = _index_rows(docs, frequent, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -364,19 +397,25 @@ def join(docs: DataFrame) -> DataFrame:
 
     key = sets.select("k1", "rep")
     pairs = compared.where("kind = 0").select("a", "b").distinct()
-    pairs = pairs.join(key.toDF("a", "ra"), "a").join(key.toDF("b", "rb"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    once = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
-    pairs = saved(once.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), folder, "pairs_one")
-    one = verified(docs, pairs, sets, folder, "one")
+    side = lambda x: sets.select(F.col("k1").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb", "xa", "xb")
+    both = bounded(pairs).groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min(F.struct("a", "b", "na", "nb", "most", "open")).alias("p"))
+    pairs = saved(both.select("p.*"), folder, "pairs_one")
+    one = verified(docs, pairs.where("open").select("a", "b"), sets, folder, "one")
     labels = saved(components(one.where("linked"), folder, "labels_one"), folder, "labels_one")
 
     entries = compared.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("k1"), "n", "pos").join(key, "k1")
     entries = entries.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("list", "n", "pos", "rep", F.coalesce("label", "rep").alias("label"))
-    known = one.select(F.col("b").alias("rep"), F.col("a").alias("hub"), "both").unionByName(one.select(F.col("a").alias("rep"), F.col("a").alias("hub"), F.col("na").alias("both")).distinct())
-    answers = known.groupBy("rep").agg(F.collect_list(F.struct("hub", "both")).alias("known"))
+    answer = lambda least, most: F.struct(F.col("a").alias("hub"), F.col(least).cast("int").alias("least"), F.col(most).alias("most"))
+    known = one.select(F.col("b").alias("rep"), answer("both", "both").alias("x"))
+    known = known.unionByName(pairs.where("not open").withColumn("none", F.lit(0)).select(F.col("b").alias("rep"), answer("none", "most").alias("x")))
+    known = known.unionByName(pairs.select(F.col("a").alias("rep"), answer("na", "na").alias("x")).distinct())
+    answers = known.groupBy("rep").agg(F.collect_list("x").alias("known"))
     left = _open_pairs(entries, answers).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = saved(left.join(done, ["a", "b"], "left_anti"), folder, "pairs_two")
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"))
+    left = bounded(left.join(done, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b"))
+    left = saved(left.where("open").select("a", "b"), folder, "pairs_two")
     linked = one.where("linked").select("a", "b")
     if not left.isEmpty():
         linked = linked.unionByName(verified(docs, left, sets, folder, "two").where("linked").select("a", "b"))

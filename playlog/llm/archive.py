@@ -6,13 +6,17 @@ its last field declares, then a line end.  Conversion synthesises what WARC want
 ids, ISO timestamps, record types and payload digests; records with an equal payload of at least
 MIN_REVISIT bytes become revisits of the one with the smallest page id.
 
-Both kinds of file are written by Spark's text writer (a row is a record, the row separator is the
-format's own record end, compressed as one gzip stream per file) and read by its binaryFile source, so
-they may lie in any file system that Spark knows.
+Both kinds of file are written by Spark's text writer and read by its binaryFile source, so they may lie in any file
+system that Spark knows.  Every record is a gzip member of its own, so that it can be opened by its
+offset.  A row is a member without its last byte, which is the highest byte of the record's size and zero, and
+the row separator puts that byte back; a record of 16 MB or more is followed by an empty member.
+
+A record that does not parse is set aside with its place and the reason; reading goes on at the next header.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm.common import work_folder
+from playlog.llm.common import BROADCAST_BYTES, saved, trimmed, work_folder
 
 MIN_REVISIT = 100
 DATE = "20240101000000"
@@ -35,14 +39,27 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BATCH_BYTES = 4 << 20
-ARC_ROW = "file string, offset long, version int, url string, ip string, date string, mime string, page_id long, head binary, payload binary"
-WARC_ROW = "record_id string, record_type string, url string, date string, refers_to_id string, payload_digest string, page_id long, payload binary"
+GZIP_LEVEL = 2
+READ_BYTES = 64 << 10
+ARC_ROW = "file string, offset long, error string, version int, url string, ip string, date string, mime string, page_id long, record_id string, digest string, head binary, payload binary"
+WARC_ROW = "file string, offset long, error string, record_id string, record_type string, url string, date string, refers_to_id string, payload_digest string, page_id long, n long, payload binary"
+_ARC_LINE = re.compile(rb"^\S[^\n]* \S+ \d{12,14} \S+(?: \S+ \S+ \S+ \d+ \S+)? \d+$", re.M)
 
 
 def _url(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "urn:none"
 
 
+def _member(record: bytes) -> bytes:
+    """A record as a gzip member without the last zero byte."""
+    packer = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
+    out = packer.compress(record) + packer.flush()
+    if out[-1]:
+        packer = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
+        out += packer.flush()
+    return out[:-1]
+
+
 def _strings(rows: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
     """Batches of one binary column, each of about BATCH_BYTES."""
     held, size = [], 0
@@ -75,9 +92,9 @@ def write_arc(pages: DataFrame, folder: str, date: str = DATE) -> None:
             def record(url: str, mime: str, body: bytes) -> bytes:
                 nonlocal offset
                 middle = "" if version == 1 else f" 200 - - {offset} part-{part:05d}.arc"
-                out = f"{url} {IP} {date} {mime}{middle} {len(body)}\n".encode() + body
-                offset += len(out) + 1
-                return out
+                out = f"{url} {IP} {date} {mime}{middle} {len(body)}\n".encode() + body + b"\n"
+                offset += len(out)
+                return _member(out)
 
             yield record(f"filedesc://part-{part:05d}.arc", "text/plain", block)
             for batch in stream:
@@ -89,45 +106,73 @@ def write_arc(pages: DataFrame, folder: str, date: str = DATE) -> None:
         yield from _strings(rows())
 
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    source.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(folder)
+    _write(source.mapInArrow(trimmed(run), "value binary"), folder)
+
 
+def _write(members: DataFrame, folder: str) -> None:
+    members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").text(folder)
 
-def _unzipped(content: bytes) -> bytes:
-    """The bytes of a plain file, or of all members of a gzip file."""
+
+def members(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset in the file, bytes) of each member of a gzip file; a plain file is one."""
     if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content:
-        unzip = zlib.decompressobj(31)
-        out += [unzip.decompress(content), unzip.flush()]
-        content = unzip.unused_data
-    return b"".join(out)
-
-
-def arc_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, version, header fields, body) of each record after the version block."""
-    at, version, names = 0, 0, []
+        yield 0, content
+        return
+    at = 0
+    while content[at : at + 2] == b"\x1f\x8b":
+        unzip, begin, out = zlib.decompressobj(31), at, []
+        while not unzip.eof and at < len(content):
+            some = content[at : at + READ_BYTES]
+            out.append(unzip.decompress(some))
+            at += len(some) - len(unzip.unused_data)
+        yield begin, b"".join(out)
+
+
+def arc_records(data: bytes, state: dict) -> Iterator[tuple[int, str | None, int, dict[str, str], bytes]]:
+    """(offset, error, version, header fields, body) of each record; a version block is kept in state, not given out.
+
+    The URL may hold blanks: the other fields are counted from the end of the line.  Without a version block the
+    number of fields tells the version.  After a record that does not parse (error says why) the next line that
+    looks like a header is sought.
+    """
+    at = 0
     while at < len(data):
-        end = data.index(b"\n", at)
-        line = data[at:end].decode("utf-8", "replace")
+        end = data.find(b"\n", at)
+        end = len(data) if end < 0 else end
+        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
         if not line.strip():
             at = end + 1
             continue
-        length = int(line.rsplit(" ", 1)[1])
-        body = data[end + 1 : end + 1 + length]
-        if len(body) < length:
-            raise ValueError(f"record at {at} declares {length} bytes and has {len(body)}")
-        if line.startswith("filedesc://"):
-            first, fields = body.decode().split("\n")[:2]
-            version, names = int(first.split(" ", 1)[0]), fields.split(" ")
-            if version not in ARC_FIELDS:
-                raise ValueError(f"ARC version {version}")
+        body, error, version, fields = b"", None, state.get("version", 0), {}
+        size = line.rsplit(" ", 1)[-1]
+        if not size.isdecimal() or not size.isascii() or " " not in line:
+            error = "no header line"
+        elif end + 1 + int(size) > len(data):
+            error = f"declares {size} bytes and has {max(0, len(data) - end - 1)}"
         else:
-            values = line.split(" ")
-            if len(values) != len(names):
-                raise ValueError(f"record at {at} has {len(values)} fields, version {version} has {len(names)}")
-            yield at, version, dict(zip(names, values, strict=True)), body
-        at = end + 1 + length
+            body = data[end + 1 : end + 1 + int(size)]
+            if line.startswith("filedesc://"):
+                first, _, rest = body.decode("utf-8", "replace").partition("\n")
+                number, names = first.split(" ", 1)[0], rest.split("\n", 1)[0].strip().split(" ")
+                if number in ("1", "2") and len(names) >= 5:
+                    state |= {"version": int(number), "names": names}
+                    at = end + 1 + int(size)
+                    continue
+                error = f"version block of version {number[:20]!r}"
+            else:
+                names = state.get("names") or ARC_FIELDS[2 if len(line.split(" ")) >= 10 else 1].split(" ")
+                version = version or (2 if len(names) == 10 else 1)
+                values = line.rsplit(" ", len(names) - 1)
+                if len(values) == len(names):
+                    fields = dict(zip(names, values, strict=True))
+                else:
+                    error = f"{len(values)} header fields, version {version} has {len(names)}"
+        yield at, error, version, fields, body
+        if error is None:
+            at = end + 1 + int(size)
+        else:
+            after = _ARC_LINE.search(data, min(end + 1, len(data)))
+            at = after.start() if after else len(data)
 
 
 def _http(body: bytes) -> tuple[bytes, bytes]:
@@ -143,17 +188,20 @@ def _page_id(head: bytes) -> int | None:
 
 
 def _rows(stream: Iterable[pa.RecordBatch], parse, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
     held, size = [], 0
     for batch in stream:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            for row in parse(path.as_py(), _unzipped(content.as_py())):
+            for row in parse(path.as_py(), content.as_py()):
                 held.append(row)
-                size += 200 + len(row[-1])
+                size += 300 + len(row[-1] or b"")
                 if size >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+                    yield batch_of(held)
                     held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+        yield batch_of(held)
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -165,33 +213,51 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
 
 
+def parsed_arc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+    """Every record of every ARC file in a folder, those set aside with an error; a file is one task's, so files bound
+    the memory.  Without payloads only their digests are given."""
+
+    def parse(path: str, content: bytes) -> Iterator[tuple]:
+        state: dict = {}
+        for start, data in members(content):
+            for at, error, version, fields, body in arc_records(data, state):
+                if error:
+                    yield path, start + at, error, *[None] * 10
+                    continue
+                head, payload = _http(body)
+                place = "\n".join([path.rsplit("/", 1)[-1], str(start + at), fields["URL"], fields["Archive-date"]])
+                name = uuid.uuid5(uuid.NAMESPACE_URL, place).urn
+                yield path, start + at, None, version, fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], _page_id(head), name, hashlib.sha256(payload).hexdigest() if len(payload) >= MIN_REVISIT or payloads else None, head if payloads else None, payload if payloads else None
+
+    return _files(spark, folder).mapInArrow(trimmed(lambda s: _rows(s, parse, _schema(ARC_ROW))), ARC_ROW)
+
+
 def read_arc(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of every ARC file in a folder; a file is one task's, so files bound the memory."""
+    """The records of every ARC file in a folder that parse."""
+    return parsed_arc(spark, folder).where("error is null").drop("error")
 
-    def parse(path: str, data: bytes) -> Iterator[tuple]:
-        for offset, version, fields, body in arc_records(data):
-            head, payload = _http(body)
-            yield path, offset, version, fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], _page_id(head), head, payload
 
-    return _files(spark, folder).mapInArrow(lambda s: _rows(s, parse, _schema(ARC_ROW)), ARC_ROW)
+def faults(parsed: DataFrame) -> DataFrame:
+    """(file, offset, error) of the records that were set aside."""
+    return parsed.where("error is not null").select("file", "offset", "error")
 
 
-def converted(records: DataFrame) -> DataFrame:
-    """ARC records with the synthesised WARC fields: record_id, warc_date, digest, record_type, refers_to_id.
+def converted(spark: SparkSession, folder: str, work: str) -> DataFrame:
+    """The records of a folder's ARC files with the synthesised WARC fields: record_id, warc_date, digest, record_type, refers_to_id.
 
-    The decision which record others refer to is made on (file, offset, digest) rows alone; payloads
-    are moved once, by their unique place.
+    The decision which record others refer to is made on narrow rows.  Its answer is broadcast if
+    its counted rows are few, and joined by place otherwise.
     """
-    named = records.withColumns({
-        "digest": F.sha2("payload", 256),
-        "warc_date": F.regexp_replace("date", r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z"),
-        "record_id": F.regexp_replace(F.md5(F.concat_ws("\n", F.element_at(F.split("file", "/"), -1), F.col("offset").cast("string"), "url", "date")), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "urn:uuid:$1-$2-$3-$4-$5"),
-    })
-    places = named.where(F.length("payload") >= MIN_REVISIT).select("file", "offset", "digest", "page_id", "record_id")
-    first = places.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id")).alias("first"))
+    places = parsed_arc(spark, folder, payloads=False).where("digest is not null").select("file", "offset", "digest", "page_id", "record_id")
+    places = saved(places, work, "places")
+    first = places.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id")).alias("first"), F.count("*").alias("n")).where("n > 1")
     refers = places.join(first, "digest").where(F.col("record_id") != F.col("first.record_id")).select("file", "offset", F.col("first.record_id").alias("refers_to_id"))
+    refers = saved(refers, work, "refers")
+    size = refers.agg(F.sum(F.length("file") + 100)).first()[0] or 0
     kind = F.when(F.length("head") == 0, "resource").when(F.col("refers_to_id").isNull(), "response").otherwise("revisit")
-    return named.join(refers, ["file", "offset"], "left").withColumn("record_type", kind)
+    day = F.regexp_replace(F.rpad("date", 14, "0"), r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z")
+    joined = read_arc(spark, folder).join(F.broadcast(refers) if size < BROADCAST_BYTES else refers, ["file", "offset"], "left")
+    return joined.withColumns({"warc_date": day, "record_type": kind})
 
 
 def write_warc(records: DataFrame, folder: str) -> None:
@@ -204,7 +270,7 @@ def write_warc(records: DataFrame, folder: str) -> None:
 
         def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
             lines = "".join(f"{k}: {v}\r\n" for k, v in fields)
-            return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block
+            return _member(f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
 
         def rows() -> Iterator[bytes]:
             opened = False
@@ -225,40 +291,77 @@ def write_warc(records: DataFrame, folder: str) -> None:
         yield from _strings(rows())
 
     wanted = records.select("record_type", "url", "warc_date", "record_id", "ip", "digest", "refers_to_id", "mime", "head", "payload")
-    wanted.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
+    _write(wanted.mapInArrow(trimmed(run), "value binary"), folder)
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record."""
+def warc_records(data: bytes) -> Iterator[tuple[int, str | None, dict[str, str], bytes]]:
+    """(offset, error, header fields by lower-case name, block) of each record; errors as in arc_records."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at {at}")
-        fields = dict(line.split(": ", 1) for line in lines[1:])
-        start, length = end + 4, int(fields["Content-Length"])
-        block = data[start : start + length]
-        if len(block) < length or data[start + length : start + length + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at {at} does not have the length it declares")
-        yield fields, block
-        at = start + length + 4
+        if data[at : at + 2] == b"\r\n":
+            at += 2
+            continue
+        end, error, fields, block = data.find(b"\r\n\r\n", at), None, {}, b""
+        if not data.startswith(b"WARC/", at) or end < 0:
+            error = "no WARC record"
+        else:
+            lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+            size = fields.get("content-length", "")
+            if not (size.isascii() and size.isdecimal()):
+                error = "no Content-Length"
+            elif end + 4 + int(size) > len(data):
+                error = f"declares {size} bytes and has {len(data) - end - 4}"
+            elif missing := [f for f in ("warc-type", "warc-record-id") if not fields.get(f)]:
+                error = f"no {missing[0]}"
+            else:
+                block = data[end + 4 : end + 4 + int(size)]
+        yield at, error, fields, block
+        if error is None:
+            at = end + 4 + len(block)
+        else:
+            after = data.find(b"\r\nWARC/", at + 1)
+            at = after + 2 if after >= 0 else len(data)
 
 
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of every WARC file in a folder, but for warcinfo; the digests of payloads at hand are checked."""
+def _agrees(stated: str, payload: bytes, own: str) -> bool:
+    """Whether a stated digest (sha256 in hex, sha1 in base 32) is the payload's; other kinds are not judged."""
+    kind, _, value = stated.partition(":")
+    if kind == "sha256" and len(value) == 64:
+        return value.lower() == own
+    if kind == "sha1" and len(value) == 32:
+        return value.upper() == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return True
 
-    def parse(path: str, data: bytes) -> Iterator[tuple]:
-        for fields, block in warc_records(data):
-            if fields["WARC-Type"] == "warcinfo":
-                continue
-            head, payload = _http(block)
-            digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-            if fields["WARC-Type"] != "revisit" and hashlib.sha256(payload).hexdigest() != digest:
-                raise ValueError(f"{path}: the payload of {fields['WARC-Record-ID']} does not have its digest")
-            yield fields["WARC-Record-ID"].strip("<>"), fields["WARC-Type"], fields["WARC-Target-URI"], fields["WARC-Date"], fields.get("WARC-Refers-To", "").strip("<>") or None, digest, _page_id(head), payload
 
-    return _files(spark, folder).mapInArrow(lambda s: _rows(s, parse, _schema(WARC_ROW)), WARC_ROW)
+def parsed_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+    """Every record of every WARC file in a folder but for warcinfo, those set aside with an error.
+
+    payload_digest is the SHA-256 of the payload (n bytes), for a revisit the one that it states; a stated digest that a
+    payload at hand does not have is an error.
+    """
+
+    def parse(path: str, content: bytes) -> Iterator[tuple]:
+        for start, data in members(content):
+            for at, error, fields, block in warc_records(data):
+                kind, stated = fields.get("warc-type"), fields.get("warc-payload-digest", "")
+                if error is None and kind == "warcinfo":
+                    continue
+                head, payload = _http(block)
+                own = stated.removeprefix("sha256:") if kind == "revisit" else hashlib.sha256(payload).hexdigest()
+                if error is None and kind != "revisit" and not _agrees(stated, payload, own):
+                    error = "the payload does not have its digest"
+                if error:
+                    yield path, start + at, error, *[None] * 9
+                    continue
+                yield path, start + at, None, fields["warc-record-id"].strip("<>"), kind, fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("warc-refers-to", "").strip("<>") or None, own, _page_id(head), len(payload), payload if payloads else None
+
+    return _files(spark, folder).mapInArrow(trimmed(lambda s: _rows(s, parse, _schema(WARC_ROW))), WARC_ROW)
+
+
+def read_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of every WARC file in a folder that parse, but for warcinfo."""
+    return parsed_warc(spark, folder).where("error is null").drop("error")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -270,8 +373,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = work_folder(spark)
     write_arc(pages, f"{folder}/arc")
-    write_warc(converted(read_arc(spark, f"{folder}/arc")), f"{folder}/warc")
-    rows = read_warc(spark, f"{folder}/warc").select("record_id", "record_type", "refers_to_id", "payload_digest", "page_id", F.length("payload").cast("long").alias("n"))
+    write_warc(converted(spark, f"{folder}/arc", folder), f"{folder}/warc")
+    found = parsed_warc(spark, f"{folder}/warc", payloads=False).where("error is null")
+    rows = saved(found.select("record_id", "record_type", "refers_to_id", "payload_digest", "page_id", "n"), folder, "rows")
     whole = rows.where("refers_to_id is null")
     target = whole.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("n").alias("payload_bytes"))
     revisits = rows.where("refers_to_id is not null").join(target, "refers_to_id")

@@ -91,13 +91,47 @@ def test_archive(spark):
     assert archive.round_trip(pages.limit(0)).count() == 0
 
 
+BLOCK = b"1 0 org\nURL IP-address Archive-date Content-type Archive-length\n"
+VERSION_1 = b"filedesc://x 0.0.0.0 20240101000000 text/plain %d\n%s\n" % (len(BLOCK), BLOCK)
+
+
 def test_arc_versions_and_faults():
-    one = b"filedesc://x 0.0.0.0 20240101000000 text/plain 76\n1 0 org\nURL IP-address Archive-date Content-type Archive-length\n" + b" " * 11
-    one = one.replace(b" 76\n", f" {len(one.split(chr(10).encode(), 1)[1])}\n".encode())
-    ok = one + b"\nhttp://a 1.2.3.4 20240101000000 text/html 3\nabc\n"
-    assert [(v, f["URL"], b) for _, v, f, b in archive.arc_records(ok)] == [(1, "http://a", b"abc")]
-    with pytest.raises(ValueError):
-        list(archive.arc_records(one + b"\nhttp://a 1.2.3.4 20240101000000 text/html 9\nabc\n"))
+    ok = b"http://a 1.2.3.4 20240101000000 text/html 3\nabc\n"
+    parse = lambda data: [(error is None, v, f.get("URL"), b) for _, error, v, f, b in archive.arc_records(data, {})]
+    assert parse(VERSION_1 + ok) == [(True, 1, "http://a", b"abc")]
+    assert parse(ok) == [(True, 1, "http://a", b"abc")]  # no version block
+    assert parse(VERSION_1 + ok.replace(b"//a", b"//a b c")) == [(True, 1, "http://a b c", b"abc")]
+    broken = (b"junk\n", b"http://b 1.2.3.4 20240101000000 text/html 999\nabc\n", b"http://b text/html 3\nabc\n", b"\xff\xfe 7x\n")
+    for bad in broken:  # each is set aside, and the record behind it is read
+        got = parse(VERSION_1 + bad + ok)
+        assert [g[0] for g in got] == [False, True] and got[1][2:] == ("http://a", b"abc")
+    assert [g[0] for g in parse(VERSION_1 + ok + ok[:-3])] == [True, False]
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Broken records and foreign headers, in plain files and gzip members; every record of ours opens at its offset."""
+    import gzip
+
+    ok = b"http://a 1.2.3.4 20240101000000 text/html 3\nabc\n"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "part-1").write_bytes(VERSION_1 + b"junk\n" + ok)
+    (tmp_path / "arc" / "part-2").write_bytes(gzip.compress(VERSION_1) + gzip.compress(ok + ok) + gzip.compress(b"x y\n"))
+    parsed = archive.parsed_arc(spark, str(tmp_path / "arc"))
+    assert archive.faults(parsed).count() == 2 and archive.read_arc(spark, str(tmp_path / "arc")).count() == 3
+    archive.write_warc(archive.converted(spark, str(tmp_path / "arc"), str(tmp_path / "work")), str(tmp_path / "warc"))
+    rows = archive.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert len(rows) == 3 and {(r.record_type, bytes(r.payload)) for r in rows} == {("resource", b"abc")}
+    for r in rows:
+        data = open(r.file.removeprefix("file:"), "rb").read()
+        assert r.record_id.encode() in next(archive.members(data[r.offset :]))[1]
+    assert all(r.record_id[23] == "5" for r in rows)
+    foreign = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "part-1").write_bytes(foreign + b"WARC/1.0\r\nWARC-Type: response\r\n\r\nabc\r\n\r\n" + foreign.replace(b"urn:x", b"urn:y"))
+    assert sorted(r.record_id for r in archive.read_warc(spark, str(tmp_path / "other")).collect()) == ["urn:x", "urn:y"]
+    assert archive.faults(archive.parsed_warc(spark, str(tmp_path / "other"))).count() == 1
+    big = b"x" * (17 << 20)
+    assert next(archive.members(archive._member(big) + b"\0"))[1] == big
 
 
 def test_substrings(docs, empty, null_ids):

@@ -19,26 +19,47 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from playlog.llm.common import id_bounds, id_range, saved, work_folder
+from playlog.llm.common import id_bounds, saved, small_pieces, trimmed, work_folder
 from playlog.llm.wordbpe import codec, tokenizer_path
 
 END_ID = 2
 SHARD_BYTES = 16 << 20
+#: Files are read in blocks of so many bytes.
+BLOCK_BYTES = 1 << 20
+#: Bytes of text for a byte of ids, about; it sets the number of shards only.
+TEXT_PER_ID_BYTE = 2.5
 
 
-def tokenize(docs: DataFrame, width: int, path: str) -> DataFrame:
-    """doc_id and ids of each document as little-endian unsigned integers of width bytes, without the end id."""
+def tokenize(docs: DataFrame, width: int, path: str, bounds: list[int]) -> DataFrame:
+    """doc_id, shard, n and the n ids of each document without the end id, as little-endian unsigned integers of width bytes under zstd.
+
+    The shard is the number of the split points (ascending doc_ids) up to the doc_id; a null doc_id is in the first.
+    """
+    cuts = np.array(bounds, dtype=np.int64)
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for batch in stream:
-            ids = (np.frombuffer(c.encode(t.as_py() or ""), dtype="<u4").astype(f"<u{width}").tobytes() for t in batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(ids), pa.binary())], names=["doc_id", "ids"])
+        c, packer = codec(path), zstandard.ZstdCompressor(level=3)
+        for whole in stream:
+            for batch in small_pieces(whole, "text"):
+                ids = [np.frombuffer(c.encode(t.as_py() or ""), dtype="<u4").astype(f"<u{width}").tobytes() for t in batch.column("text")]
+                n = pa.array([len(x) // width for x in ids], pa.int64())
+                doc = batch.column("doc_id")
+                shard = np.where(np.asarray(doc.is_null()), 0, np.searchsorted(cuts, doc.fill_null(0).to_numpy(), "right"))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(shard.astype(np.int32)), n, pa.array(map(packer.compress, ids), pa.binary())], names=["doc_id", "shard", "n", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, shard int, n long, ids binary")
+
+
+def _unpacked(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdDecompressor()
+    for whole in stream:
+        for batch in small_pieces(whole, "ids"):
+            ids = pa.array([packer.decompress(x.as_py()) for x in batch.column("ids")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), batch.column("tie"), ids], names=["doc_id", "shard", "tie", "ids"])
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> dict:
@@ -47,18 +68,17 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     A null or empty text is a document of the end id alone.  Null doc_ids come first, rows with
     equal doc_ids stay side by side, ordered by a hash of their ids.
     """
-    spark, path = docs.sparkSession, path or tokenizer_path()
+    path = path or tokenizer_path()
     width = 2 if len(codec(path).pieces) <= 1 << 16 else 4
-    tokens = saved(tokenize(docs, width, path), folder, "tokens")
-    size = tokens.agg(F.sum(F.length("ids") + width)).first()[0] or 0
-    bounds = id_bounds(tokens, int(size / shard_bytes) + 1)
-    placed = tokens.withColumn("shard", id_range(F.col("doc_id"), bounds))
-    placed = placed.withColumns({"tie": F.xxhash64("ids"), "n": (F.length("ids") / width).cast("long") + 1})
-    order = [F.col("doc_id").asc_nulls_first(), "tie"]
-    parts = len(bounds) + 1 if size else 0
-    if not parts:  # no documents, no files
+    size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    if not rows:  # no documents, no files
         return {"folder": folder, "width": width, "shards": 0}
-    (placed.repartition(parts, "shard").sortWithinPartitions("shard", *order)
+    bounds = id_bounds(docs, int((size or 0) * width / 2 / TEXT_PER_ID_BYTE / shard_bytes) + 1)
+    parts = len(bounds) + 1
+    tokens = saved(tokenize(docs, width, path, bounds), folder, "tokens")
+    placed = tokens.withColumns({"tie": F.xxhash64("ids"), "n": F.col("n") + 1})
+    order = [F.col("doc_id").asc_nulls_first(), "tie"]
+    (placed.repartition(parts, "shard").mapInArrow(trimmed(_unpacked), "doc_id long, shard int, tie long, ids binary").sortWithinPartitions("shard", *order)
         .select("shard", F.col("ids").cast("string").alias("value"))
         .write.partitionBy("shard").option("lineSep", end_id.to_bytes(width, "little").decode()).text(f"{folder}/ids"))
     at = Window.partitionBy("shard").orderBy(*order)
@@ -72,36 +92,71 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     return {"folder": folder, "width": width, "shards": parts}
 
 
+def bases(spark: SparkSession, files: dict) -> DataFrame:
+    """(shard, base): ids in the shards before, by a prefix sum over one row a shard."""
+    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{files['folder']}/ids").select("shard", "length")
+    before = F.sum("length").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.select("shard", (F.coalesce(before, F.lit(0)) / files["width"]).cast("long").alias("base"))
+
+
 def read(spark: SparkSession, files: dict) -> DataFrame:
     """doc_id, start (ids before it in all documents), n_tokens and ids_crc32, from the files alone.
 
-    The base of a shard is the prefix sum over the shard sizes: one number a shard reaches the driver.
+    A task gets a shard's offsets and then its ids in blocks in their order, so it holds one block and the offsets;
+    documents that lie in several blocks carry their checksum over.
     """
     width, folder = files["width"], files["folder"]
     if not files["shards"]:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
 
-    def load(kind: str) -> DataFrame:
-        return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/{kind}").select("shard", F.col("content").alias(kind), F.col("length").alias(f"{kind}_bytes"))
+    def pack(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in stream:
+            data = pa.array([packer.compress(x.as_buffer()) for x in batch.column("data")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], data], names=["shard", "kind", "block", "data"])
+
+    def blocks(kind: str, number: int) -> DataFrame:
+        """(shard, kind, block, data) of every file, cut where it is read."""
+        rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/{kind}")
+        cut = rows.select("shard", "content", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(BLOCK_BYTES).cast("long"))).alias("block"))
+        data = F.expr(f"substring(content, cast(block + 1 as int), {BLOCK_BYTES})")
+        return cut.select("shard", F.lit(number).alias("kind"), "block", data.alias("data")).mapInArrow(trimmed(pack), "shard int, kind int, block long, data binary")
 
-    base, bases = 0, {}
-    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/ids").select("shard", "length").collect()
-    for shard, length in sorted(map(tuple, sizes)):
-        bases[shard] = base
-        base += length // width
+    def out(shard: int, starts: np.ndarray, total: int, crc: list[int]) -> pa.RecordBatch:
+        n = np.diff(np.append(starts, total))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), shard, np.int32)), *(pa.array(np.asarray(x), pa.int64()) for x in (np.arange(len(starts)), starts, n, crc))], names=["shard", "at", "start", "n_tokens", "ids_crc32"])
 
     def cut(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, offsets, starts, seen, doc, crc, packer = None, [], None, 0, 0, [], zstandard.ZstdDecompressor()
         for batch in stream:
-            for shard, content, offsets in zip(*(batch.column(c).to_pylist() for c in ("shard", "ids", "offsets")), strict=True):
-                ids, starts = np.frombuffer(content, dtype=f"<u{width}"), np.frombuffer(offsets, dtype="<i8")
-                ends = np.append(starts[1:], len(ids))
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), *(pa.array(x, pa.int64()) for x in (range(n), starts + bases[shard], ends - starts, crc))], names=["shard", "at", "start", "n_tokens", "ids_crc32"])
-
-    found = load("ids").join(load("offsets"), "shard").select("shard", "ids", "offsets").mapInArrow(cut, "shard int, at long, start long, n_tokens long, ids_crc32 long")
+            for number, kind, data in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+                if number != shard:
+                    if shard is not None:
+                        yield out(shard, starts, seen, crc)
+                    shard, offsets, starts, seen = number, [], None, 0
+                data = packer.decompress(data.as_buffer())
+                if kind == 0:
+                    offsets.append(data)
+                    continue
+                if starts is None:
+                    starts, doc = np.frombuffer(b"".join(offsets), dtype="<i8"), 0
+                    ends, crc = np.append(starts[1:], np.iinfo(np.int64).max).tolist(), [0] * len(starts)
+                ids = memoryview(np.frombuffer(data, dtype=f"<u{width}").astype("<u4")).cast("B")
+                here, size = 0, len(ids) // 4
+                while here < size:
+                    upto = min(size, ends[doc] - seen)
+                    crc[doc] = zlib.crc32(ids[4 * here : 4 * upto], crc[doc])
+                    here = upto
+                    doc += upto + seen == ends[doc]
+                seen += size
+        if shard is not None:
+            yield out(shard, starts, seen, crc)
+
+    rows = blocks("offsets", 0).unionByName(blocks("ids", 1))
+    dealt = rows.repartition(files["shards"], "shard").sortWithinPartitions("shard", "kind", "block")
+    found = dealt.mapInArrow(trimmed(cut), "shard int, at long, start long, n_tokens long, ids_crc32 long").join(bases(spark, files), "shard")
     index = spark.read.parquet(f"{folder}/index").select("shard", "at", "doc_id")
-    return found.join(index, ["shard", "at"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return found.join(index, ["shard", "at"]).select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def open_shard(folder: str | Path, shard: int, width: int) -> tuple[np.memmap, np.memmap]:

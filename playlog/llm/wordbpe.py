@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from playlog.llm.common import trimmed
 
 CHUNK_BYTES = 32 << 20
-WORD_CACHE = 500_000
+#: What a process keeps of words and their ids, in bytes, and the longest word kept.
+CACHE_BYTES, CACHED_WORD = 48 << 20, 200
 # The letters and digits below U+0180, as Unicode classes them.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼½¾"
@@ -59,6 +61,9 @@ class WordCodec:
         for piece, i in self.tok.get_vocab(True).items():
             self.pieces[i] = piece.encode()
         self.cache: dict[str, bytes] = {}
+        self.held = 0
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # byte-level BPE: other bytes go by 256, 257, ..
+        self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
     def words(self, text: str) -> list[str]:
         """The words of a text in order; a special string is a word of its own."""
@@ -73,21 +78,35 @@ class WordCodec:
                 out += [plain[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(plain)]
         return out
 
+    def _one(self, word: str) -> bytes:
+        if word in self.special:
+            return self.special[word].to_bytes(4, "little")
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tok.model.tokenize(word)]).tobytes()
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Each word's ids as little-endian unsigned 32-bit integers."""
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(words, add_special_tokens=False)]
+        return list(map(self._one, words))
 
     def encode(self, text: str) -> bytes:
-        """A text's ids; words are looked up in a bounded cache and encoded once when missing."""
+        """A text's ids; words are looked up in a cache of bounded size and encoded when missing."""
         words, cache = self.words(text), self.cache
         ids = list(map(cache.get, words))
         if None in ids:
-            if len(cache) > WORD_CACHE:
+            new: dict[str, bytes] = {}
+            for k, w in enumerate(words):
+                if ids[k] is None:
+                    if (got := new.get(w)) is None:
+                        got = new[w] = self._one(w)
+                    ids[k] = got
+            if self.held > CACHE_BYTES:
                 cache.clear()
-            missing = list({w for w, i in zip(words, ids, strict=True) if i is None})
-            new = dict(zip(missing, self.encode_words(missing), strict=True))
-            cache.update(new)
-            ids = [new[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+                self.held = 0
+            for w, i in new.items():
+                if len(w) <= CACHED_WORD:
+                    cache[w] = i
+                    self.held += 200 + 2 * len(w) + len(i)
         return b"".join(ids)
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from playlog.model import PlayLog
 from playlog.plans.catalog import QUERIES
 
 HEADLINES = ("co_links", "artist_stats", "gateway", "timeline", "rediscover", "lift_month", "love_timing", "velocity_weekly", "comeback", "album_age_median", "year_totals", "eras")
@@ -18,8 +19,12 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    QUERIES["clock"](spark, sf_dir).collect()  # start-up is not a query's time
+    spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count().collect()  # start-up is not a query's time
     took = {}
+    began = time.time()
+    for profile in ("part", "supp"):  # both libraries' stored tables, which the queries below read
+        PlayLog(spark, sf_dir, profile).rebuild().collect()
+    took["rebuild"] = round(time.time() - began, 3)
     for name in HEADLINES:
         began = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -12,13 +12,16 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from playlog.store import Store, store_of
+
 ORDER = ["ts", "artist_id", "track_id"]
 
 
 def local_parts(ts: Column, zone: str = "UTC") -> tuple[Column, Column, Column]:
     """Local day, hour and weekday (Monday is 0) of unix seconds."""
-    local = F.from_utc_timestamp(F.timestamp_seconds(ts), zone)
-    return F.to_date(local), F.hour(local).cast("int"), F.weekday(local).cast("int")
+    local = F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(ts), zone))  # seconds alone: the session's zone has no say
+    day = F.floor(local / 86400).cast("int")
+    return F.date_from_unix_date(day), F.floor(F.pmod(local, F.lit(86400)) / 3600).cast("int"), F.pmod(day + 3, F.lit(7)).cast("int")
 
 
 def with_calendar(rows: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -35,10 +38,17 @@ def ingest(raw: DataFrame, zone: str = "UTC") -> DataFrame:
     return with_calendar(rows.groupBy(*ORDER).agg(F.min("album_id").alias("album_id")), zone)
 
 
+def derive():
+    """The module of derivations, which itself needs this one."""
+    from playlog.operators import derive as module
+
+    return module
+
+
 def _raw(spark: SparkSession, sf_dir: str, a: str, b: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    day = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    day = F.unix_date(F.to_date("o_orderdate")).cast("long") * 86400
     first, second = F.col(a), F.col(b)
     return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         (day + (F.col("o_orderkey") * 7919) % 79200 + F.col("l_linenumber") * 210).alias("ts"),
@@ -50,16 +60,53 @@ def _raw(spark: SparkSession, sf_dir: str, a: str, b: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class PlayLog:
-    """The tables of one library: plays and what is known about artists, albums and loved tracks."""
+    """The tables of one library: plays and what is known about artists, albums and loved tracks.
+
+    What is derived from the raw tables is read from the library's store, which rebuild fills.
+    """
 
     spark: SparkSession
     sf_dir: str
     profile: str = "part"
 
+    @property
+    def store(self) -> Store:
+        return store_of(self.spark, self.sf_dir, self.profile)
+
     @cached_property
     def plays(self) -> DataFrame:
         pair = ("l_partkey", "l_suppkey") if self.profile == "part" else ("l_suppkey", "l_partkey")
-        return ingest(_raw(self.spark, self.sf_dir, *pair))
+        return self.store.kept("plays", lambda: ingest(_raw(self.spark, self.sf_dir, *pair)), by_year=True)
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return self.store.kept("sessions", lambda: derive().sessionize(self.plays), by_year=True)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self.store.kept("stats", lambda: derive().artist_stats(self.sessions))
+
+    @cached_property
+    def gateway(self) -> DataFrame:
+        return self.store.kept("gateway", lambda: derive().gateway(self.sessions))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return self.weak_links.where(F.col("shared") >= derive().MIN_SHARED)
+
+    @cached_property
+    def weak_links(self) -> DataFrame:
+        """Links down to two shared sessions."""
+        return self.store.kept("links", lambda: derive().co_links(self.sessions, min_shared=2))
+
+    def rebuild(self) -> DataFrame:
+        """Derive sessions, statistics, gateways and links from the plays; one row a table with its rows, and nothing volatile."""
+        tables = [("plays", self.plays), ("sessions", self.sessions), ("stats", self.stats), ("gateway", self.gateway), ("links", self.links), ("albums", self.albums), ("span", self.span)]
+        out = None
+        for name, table in tables:
+            row = table.agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
+            out = row if out is None else out.unionByName(row)
+        return out
 
     @cached_property
     def artists(self) -> DataFrame:
@@ -72,8 +119,8 @@ class PlayLog:
         """Albums with a release date of mixed precision: a year, a month or a day, as text."""
         day = F.date_add(F.lit("1965-01-01").cast("date"), ((F.col("album_id") * 37) % 13000).cast("int"))
         length = F.element_at(F.array(F.lit(4), F.lit(7), F.lit(10)), (F.col("album_id") % 3 + 1).cast("int"))
-        known = self.plays.where("album_id is not null").select("album_id", "artist_id").distinct()
-        return known.withColumn("release_date", F.substring(day.cast("string"), F.lit(1), length))
+        known = lambda: self.plays.where("album_id is not null").select("album_id", "artist_id").distinct()
+        return self.store.kept("albums", known).withColumn("release_date", F.substring(day.cast("string"), F.lit(1), length))
 
     @cached_property
     def tags(self) -> DataFrame:
@@ -91,4 +138,4 @@ class PlayLog:
     @cached_property
     def span(self) -> DataFrame:
         """One row: lo and hi, the oldest and newest play."""
-        return self.plays.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+        return self.store.kept("span", lambda: self.plays.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")))

@@ -18,6 +18,7 @@ def sessionize(plays: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
     of the day before in a table of one row per day, whose running sum of breaks gives each day its offset.
     """
     day = Window.partitionBy("lday").orderBy(*ORDER)
+    plays = plays.drop("lyear")
     inside = plays.withColumn("__gap", F.col("ts") - F.lag("ts").over(day)).withColumn("__break", F.coalesce(F.col("__gap") > gap, F.lit(False)).cast("long"))
     days = inside.groupBy("lday").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum("__break").alias("breaks"))
     order = Window.orderBy("lday")  # over one row per day
@@ -30,10 +31,14 @@ def sessionize(plays: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
 
 def artist_stats(sessions: DataFrame) -> DataFrame:
     """Per artist: plays, first and last play, distinct tracks, days, years and sessions, first track, prehistory."""
-    stats = sessions.groupBy("artist_id").agg(
-        F.count("*").alias("plays"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("lday").alias("first_lday"),
-        F.countDistinct("track_id").alias("n_tracks"), F.countDistinct("lday").alias("n_days"), F.countDistinct(F.year("lday")).alias("n_years"),
-        F.countDistinct("session_id").alias("n_sessions"), F.min(F.struct("ts", "track_id")).alias("f"))
+    n = F.count("*")
+    base = sessions.groupBy("artist_id").agg(n.alias("plays"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("lday").alias("first_lday"), F.min(F.struct("ts", "track_id")).alias("f"))
+    # a distinct count each from pairs that are made unique before they are shuffled, instead of one that copies every play
+    tracks = sessions.select("artist_id", "track_id").distinct().groupBy("artist_id").agg(n.alias("n_tracks"))
+    days = sessions.select("artist_id", "lday").distinct().groupBy("artist_id").agg(n.alias("n_days"), F.countDistinct(F.year("lday")).alias("n_years"))
+    visits = sessions.select("artist_id", "session_id").distinct().groupBy("artist_id").agg(n.alias("n_sessions"))
+    stats = base.join(tracks, "artist_id").join(days, "artist_id").join(visits, "artist_id")
+    stats = stats.select("artist_id", "plays", "first_ts", "last_ts", "first_lday", "n_tracks", "n_days", "n_years", "n_sessions", "f")
     start = sessions.agg(F.min("ts").alias("lo"))
     flagged = stats.crossJoin(F.broadcast(start)).withColumn("prehistory", (F.col("first_ts") < F.col("lo") + PREHISTORY_DAYS * 86400).cast("int"))
     return flagged.withColumn("first_track_id", F.col("f.track_id")).drop("f", "lo")

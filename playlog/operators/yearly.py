@@ -9,12 +9,13 @@ from playlog.operators.periods import streaks
 
 
 def of_year(plays: DataFrame, year: int) -> DataFrame:
-    """A range on lday, not a function of it, so that it reaches partition pruning."""
+    """A range on lday, not a function of it, which reaches the scan; stored plays are pruned to the year's partition."""
+    plays = plays.where(F.col("lyear") == year) if "lyear" in plays.columns else plays
     return plays.where(F.col("lday").between(F.lit(f"{year}-01-01").cast("date"), F.lit(f"{year}-12-31").cast("date")))
 
 
 def year_totals(plays: DataFrame, stats: DataFrame, year: int) -> DataFrame:
-    fresh = F.broadcast(stats.where((F.year("first_lday") == year) & (F.col("prehistory") == 0)).select("artist_id", F.lit(1).alias("new")))
+    fresh = stats.where((F.year("first_lday") == year) & (F.col("prehistory") == 0)).select("artist_id", F.lit(1).alias("new"))
     rows = of_year(plays, year).join(fresh, "artist_id", "left")
     return rows.agg(F.count("*").alias("plays"), F.countDistinct("artist_id").alias("artists"), F.countDistinct("track_id").alias("tracks"), F.countDistinct("lday").alias("active_days"), F.countDistinct(F.when(F.col("new") == 1, F.col("artist_id"))).alias("new_artists"), F.count("new").alias("new_plays"))
 

@@ -57,11 +57,11 @@ def _add(name: str, run: Callable[[PlayLog], DataFrame], parts: list[str] | None
 
 
 def _sessions(log: PlayLog) -> DataFrame:
-    return derive.sessionize(log.plays)
+    return log.sessions
 
 
 def _stats(log: PlayLog) -> DataFrame:
-    return derive.artist_stats(_sessions(log))
+    return log.stats
 
 
 def _timing(log: PlayLog) -> DataFrame:
@@ -78,9 +78,9 @@ _add("recompute_local_time", lambda x: x.plays.select("ts", "artist_id", "track_
 _add("ingest_dedup", lambda x: x.plays.select("ts", "artist_id", "track_id", "album_id"), [], "select ts, artist_id, track_id, album_id from p")
 _add("artist_stats", _stats, [SESSIONS, STATS], "select * from st")
 _add("prehistory", lambda x: _stats(x).where("prehistory = 1").select("artist_id", "first_ts"), [SESSIONS, STATS], "select artist_id, first_ts from st where prehistory = 1")
-_add("gateway", lambda x: derive.gateway(_sessions(x)), [SESSIONS, GATEWAY], "select * from gt")
-_add("co_links", lambda x: derive.co_links(_sessions(x)), [SESSIONS, LINKS], "select * from lk", profile="supp", least=3)
-_add("related", lambda x: derive.related(derive.co_links(_sessions(x))), [SESSIONS, LINKS],
+_add("gateway", lambda x: x.gateway, [SESSIONS, GATEWAY], "select * from gt")
+_add("co_links", lambda x: x.links, [SESSIONS, LINKS], "select * from lk", profile="supp", least=3)
+_add("related", lambda x: derive.related(x.links), [SESSIONS, LINKS],
      """, bo as (select a as artist_id, b as other_id, shared, score from lk union all select b, a, shared, score from lk)
 select artist_id, other_id, shared, score from bo qualify row_number() over (partition by artist_id order by round(score, 9) desc, other_id) <= 15""", profile="supp", least=3)
 # periods
@@ -138,23 +138,23 @@ select *, round((recent + 1) / (before * 90 / 365 + 1), 6) as growth from b wher
 _add("rising", lambda x: insights.rising(x.plays, x.span), [], RISING, profile="supp")
 _add("staying_power", lambda x: _stats(x).where("n_years >= 2").select("artist_id", "n_years", "plays"), [SESSIONS, STATS], "select artist_id, n_years, plays from st where n_years >= 2")
 _add("deep_dives", lambda x: _stats(x).orderBy(F.desc("n_tracks"), F.desc("plays"), "artist_id").limit(50).select("artist_id", "n_tracks", "plays"), [SESSIONS, STATS], "select artist_id, n_tracks, plays from st order by n_tracks desc, plays desc, artist_id limit 50")
-_add("gateways", lambda x: insights.gateways(_stats(x), derive.gateway(_sessions(x))), [SESSIONS, STATS, GATEWAY], "select gateway_id, count(*) as led_to, sum(plays)::bigint as downstream from gt join st using (artist_id) where gateway_id is not null group by 1")
-_add("led_to", lambda x: derive.gateway(_sessions(x)).where("gateway_id = 1").select("artist_id"), [SESSIONS, GATEWAY], "select artist_id from gt where gateway_id = 1")
+_add("gateways", lambda x: insights.gateways(_stats(x), x.gateway), [SESSIONS, STATS, GATEWAY], "select gateway_id, count(*) as led_to, sum(plays)::bigint as downstream from gt join st using (artist_id) where gateway_id is not null group by 1")
+_add("led_to", lambda x: x.gateway.where("gateway_id = 1").select("artist_id"), [SESSIONS, GATEWAY], "select artist_id from gt where gateway_id = 1")
 _add("love_timing", _timing, [LOVED, TIMING], "select * from lt")
 _add("instant_love", lambda x: insights.instant_love(_timing(x), x.span), [LOVED, TIMING], "select track_id, loved_at, plays_before from lt, sp where plays_before <= 2 and loved_at >= first_ts - 86400 and first_ts >= lo + 30 * 86400")
 _add("slow_burners", lambda x: insights.slow_burners(_timing(x), 5), [LOVED, TIMING], "select track_id, loved_at, plays_before from lt where plays_before >= 5", profile="supp")
 _add("loved_left", lambda x: insights.loved_left(_timing(x), x.span), [LOVED, TIMING], "select track_id, plays, last_ts from lt, sp where last_ts < hi - 365 * 86400")
 _add("unloved", lambda x: insights.unloved(x.plays, x.loved), [LOVED], "select track_id, count(*) as plays from p where track_id not in (select track_id from lv) and exists (from lv) group by 1 order by plays desc, track_id limit 50")
 _add("loved_by_artist", lambda x: insights.loved_by_artist(x.loved), [LOVED], "select artist_id, count(*) as loved, 1 + 0.5::double * least(count(*), 4) as boost from lv group by 1")
-_add("rediscover", lambda x: insights.rediscover(x.plays, derive.co_links(_sessions(x), min_shared=2), x.loved, x.span), [SESSIONS, LINKS, LOVED], """, c as (select artist_id as core_id from p, sp where ts > hi - 90 * 86400 group by 1 order by count(*) desc, artist_id limit 20),
+_add("rediscover", lambda x: insights.rediscover(x.plays, x.weak_links, x.loved, x.span), [SESSIONS, LINKS, LOVED], """, c as (select artist_id as core_id from p, sp where ts > hi - 90 * 86400 group by 1 order by count(*) desc, artist_id limit 20),
 q as (select artist_id, count(*) as plays, max(ts) as last_ts from p group by 1), l as (select artist_id, count(*) as loved from lv group by 1),
 z as (select q.artist_id, plays, coalesce(loved, 0) as loved from q left join l using (artist_id), sp where last_ts < hi - 365 * 86400 and (plays >= 5 or coalesce(loved, 0) > 0)),
 bo as (select a as artist_id, b as core_id, score from lk union all select b, a, score from lk),
 n as (select artist_id, sum(score) as link from bo where core_id in (from c) group by 1)
 select artist_id, plays, loved, round(link * ln(1 + plays) * (1 + 0.5::double * case when plays < 5 then least(loved, 1) else least(loved, 4) end), 6) as rank from n join z using (artist_id) order by rank desc, artist_id limit 50""", least=2)
-_add("graph_edges", lambda x: insights.graph_edges(derive.co_links(_sessions(x)), _stats(x)), [SESSIONS, STATS, LINKS], """, t as (select artist_id from st order by plays desc, artist_id limit 120)
+_add("graph_edges", lambda x: insights.graph_edges(x.links, _stats(x)), [SESSIONS, STATS, LINKS], """, t as (select artist_id from st order by plays desc, artist_id limit 120)
 select a, b, shared, score from lk where a in (from t) and b in (from t)""", profile="supp", least=3)
-_add("label_propagation", lambda x: insights.label_propagation(insights.graph_edges(derive.co_links(_sessions(x)), _stats(x)), _stats(x)), profile="supp")
+_add("label_propagation", lambda x: insights.label_propagation(insights.graph_edges(x.links, _stats(x)), _stats(x)), profile="supp")
 _add("artist_monthly", lambda x: insights.artist_monthly(x.plays, periods.months(x.plays), 1), [], """, m as (select unnest(generate_series(date_trunc('month', min(lday)), date_trunc('month', max(lday)), interval 1 month))::date as month from p)
 select month, (select count(*) from p where artist_id = 1 and date_trunc('month', lday)::date = m.month) as plays from m""")
 _add("artist_hours", lambda x: x.plays.where("artist_id = 1").groupBy("lhour").agg(F.count("*").alias("plays")), [], "select lhour, count(*) as plays from p where artist_id = 1 group by 1")

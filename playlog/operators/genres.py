@@ -45,8 +45,12 @@ def lift(counts: DataFrame, shares: DataFrame, prior: float = PRIOR) -> DataFram
     shrunk by prior. Buckets and keys are grouped before the grid is built, which has years x buckets x keys rows.
     """
     seen = counts.join(shares, "artist_id")
-    observed = seen.groupBy("year", "bucket", F.col("tag").alias("key")).agg(F.sum(F.col("n") * F.col("share")).alias("o"))
-    covered = counts.join(shares.select("artist_id").distinct(), "artist_id", "left_semi").groupBy("year", "bucket").agg(F.sum("n").alias("b"))
+    return lift_cells(seen.groupBy("year", "bucket", F.col("tag").alias("key")).agg(F.sum(F.col("n") * F.col("share")).alias("o")), prior)
+
+
+def lift_cells(observed: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """lift from observed(year, bucket, key, o). The shares of a play sum to one, so a bucket's plays are the sum of its cells."""
+    covered = observed.groupBy("year", "bucket").agg(F.round(F.sum("o")).alias("b"))
     keys = observed.groupBy("year", "key").agg(F.sum("o").alias("k"))
     grid = covered.withColumn("t", F.sum("b").over(Window.partitionBy("year"))).join(keys, "year").join(observed, ["year", "bucket", "key"], "left")
     cells = grid.select("bucket", "key", "t", F.coalesce("o", F.lit(0.0)).alias("o"), (F.col("b") * F.col("k") / F.col("t")).alias("e"))
@@ -99,3 +103,31 @@ def seasonal_artists(plays: DataFrame, strength: float = 0.5, least: int = 30, y
     agree = vectors.withColumn("own", own).select("artist_id", "own").join(found.select("artist_id", "peak", "r", "valid"), "artist_id").withColumn("close", F.least(apart, 365.25 - apart) <= 30)
     near = agree.groupBy("artist_id", "peak", "r", "valid").agg(F.count_if("close").alias("agree")).where("agree >= 0.6 * valid")
     return near.join(by, "artist_id").select("artist_id", "plays", "n_years", "r", "peak", "agree")
+
+
+def season_artists(plays: DataFrame, least: int = 30, lift_least: float = 1.3, top: int = 5) -> DataFrame:
+    """Artists that stand out in a season, each its own key with share one."""
+    counts = dim_counts(plays, "season")
+    own = counts.groupBy("artist_id").agg(F.sum("n").alias("p")).where(F.col("p") >= least).select("artist_id", F.col("artist_id").alias("tag"), F.lit(1.0).alias("share"))
+    cells = lift(counts, own).where((F.col("plays") >= least) & (F.col("lift") >= lift_least) & (F.col("years") > 0) & (F.col("up") * 2 >= F.col("years")))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("lift"), "key"))
+    return cells.withColumn("r", rank).where(F.col("r") <= top).select("bucket", F.col("key").alias("artist_id"), "lift")
+
+
+def tag_months(cells: DataFrame, tag: str) -> DataFrame:
+    """The twelve months of one tag from month cells; a month without a cell is null, and no month at all gives no rows."""
+    own = cells.where(F.col("key") == tag).select(F.col("bucket").alias("month"), "lift", "plays")
+    axis = cells.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month"))
+    some = own.limit(1).select(F.lit(1).alias("one"))
+    return axis.join(own, "month", "left").crossJoin(F.broadcast(some)).select("month", "lift", "plays")
+
+
+def diversity_by_month(monthly: DataFrame) -> DataFrame:
+    """The mean diversity of each calendar month of rows (month, diversity)."""
+    return monthly.groupBy(F.month("month").alias("month")).agg(F.round(F.avg("diversity"), 5).alias("diversity"), F.count("*").alias("months"))
+
+
+def matrix(cells: DataFrame, rows: int = 12) -> DataFrame:
+    """The cells of the keys with most plays, in long form."""
+    top = F.broadcast(cells.groupBy("key").agg(F.round(F.sum("plays"), 4).alias("s")).orderBy(F.desc("s"), "key").limit(rows).select("key"))
+    return cells.join(top, "key").select("key", "bucket", "lift")

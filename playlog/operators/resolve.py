@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from playlog.functions.text import keyed, loose_key
 from playlog.model import ingest
+from playlog.store import saved
 
 
 def loose_dups(names: DataFrame) -> DataFrame:
@@ -15,15 +16,21 @@ def loose_dups(names: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("artists"), F.min("artist_id").alias("first_id")).where("artists > 1")
 
 
-def resolved_rules(rules: DataFrame, rounds: int = 10) -> DataFrame:
-    """rules(from_id, to_id) followed to their ends; a chain of merges doubles its reach each round."""
-    for _ in range(rounds):
+def resolved_rules(rules: DataFrame) -> DataFrame:
+    """rules(from_id, to_id) followed to their ends; a chain of merges doubles its reach each round.
+
+    As many rounds as it takes: a chain is no longer than the rules are many. Rules that go round in a circle have no end
+    and raise a ValueError.
+    """
+    from_count, rounds = rules.count(), 0
+    while True:
         step = rules.toDF("via", "end")
         moved = rules.join(step, F.col("to_id") == F.col("via"), "left").select("from_id", F.coalesce("end", "to_id").alias("to_id"))
+        if not moved.where("from_id = to_id").isEmpty() or 1 << rounds > 2 * from_count + 1:
+            raise ValueError("the merge rules go round in a circle")
         if moved.exceptAll(rules).isEmpty():
-            break
-        rules = moved
-    return rules.where("from_id <> to_id")
+            return rules
+        rules, rounds = saved(moved), rounds + 1
 
 
 def merge_artists(plays: DataFrame, rules: DataFrame) -> DataFrame:

@@ -87,3 +87,30 @@ def one_song(plays: DataFrame, year: int) -> DataFrame:
     """Artists heard with one song only and at most three plays, of all artists."""
     by = of_year(plays, year).groupBy("artist_id").agg(F.countDistinct("track_id").alias("t"), F.count("*").alias("n"))
     return by.agg(F.count_if((F.col("t") == 1) & (F.col("n") <= 3)).alias("artists"), F.count("*").alias("of_artists"))
+
+
+def genre_months(plays: DataFrame, shares: DataFrame, year: int, top: int = 8) -> DataFrame:
+    """The year's biggest genres in each of its twelve months."""
+    by = of_year(plays, year).groupBy("artist_id", F.month("lday").alias("month")).agg(F.count("*").alias("n")).join(shares, "artist_id")
+    cells = by.groupBy("tag", "month").agg(F.sum(F.col("n") * F.col("share")).alias("o"))
+    biggest = cells.groupBy("tag").agg(F.round(F.sum("o"), 6).alias("s")).orderBy(F.desc("s"), "tag").limit(top).select("tag")
+    axis = plays.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month"))
+    return F.broadcast(biggest).crossJoin(axis).join(cells, ["tag", "month"], "left").select("tag", "month", F.round(F.coalesce("o", F.lit(0.0)), 6).alias("score"))
+
+
+def release_years(plays: DataFrame, albums: DataFrame, year: int) -> DataFrame:
+    """One row: dated and all plays of the year, the share released in it, and the lower median release year."""
+    rows = of_year(plays, year)
+    known = albums.select("album_id", F.substring("release_date", 1, 4).cast("int").alias("release_year")).where("release_year between 1900 and 2100")
+    hist = rows.where("album_id is not null").groupBy("album_id").agg(F.count("*").alias("n")).join(known, "album_id").groupBy("release_year").agg(F.sum("n").alias("n"))
+    running = hist.withColumns({"c": F.sum("n").over(Window.orderBy("release_year")), "t": F.sum("n").over(Window.partitionBy())})  # a row a year
+    out = running.agg(F.max("t").alias("dated"), F.coalesce(F.sum(F.when(F.col("release_year") == year, F.col("n"))), F.lit(0)).alias("own"), F.min(F.when(F.col("c") * 2 >= F.col("t"), F.col("release_year"))).alias("median"))
+    return out.crossJoin(rows.agg(F.count("*").alias("total"))).select("dated", "total", F.round(F.col("own") / F.col("dated"), 6).alias("this_year_share"), "median")
+
+
+def year_loved(loved: DataFrame, year: int, zone: str = "UTC", limit: int = 10) -> DataFrame:
+    """The newest loves of a local year, with the count of all of them."""
+    from playlog.model import local_parts
+
+    own = loved.where(F.year(local_parts(F.col("loved_at"), zone)[0]) == year)
+    return own.orderBy(F.desc("loved_at"), "track_id").limit(limit).select("track_id", "loved_at").crossJoin(F.broadcast(own.agg(F.count("*").alias("total"))))

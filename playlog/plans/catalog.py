@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.functions.text import ascii_key, csv_guard, parse_date
+from playlog.functions.text import csv_guard, keyed, parse_date
 from playlog.model import PlayLog
-from playlog.operators import cohorts, derive, genres, insights, periods, resolve, yearly
+from playlog.operators import cohorts, derive, genres, insights, library, periods, resolve, taste, yearly
 from playlog.streaming import ingest as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,8 +213,8 @@ _add("one_song", lambda x: yearly.one_song(x.plays, YEAR), [], f", c as (select
 _add("gap_genres", lambda x: yearly.gap_genres(x.plays, x.loved, _shares(x)), [LOVED, TAGS], ", q as (select artist_id, count(*) as n from p group by 1), l as (select artist_id, count(*) as l from lv group by 1), c as (select tag, sum(n * share) as p, sum(coalesce(l, 0) * share) as l from q left join l using (artist_id) join sh using (artist_id) group by 1), e as (select *, sum(l) over () * p / sum(p) over () as e from c) select tag, round(l, 6) as loved, round(e, 6) as expected, round((l + 5) / (e + 5), 6) as ratio from e")
 _add("gap_artists", lambda x: yearly.gap_artists(x.plays, x.loved, 1), [LOVED], ", q as (select artist_id, count(*) as plays from p group by 1), l as (select artist_id, count(*) as loved from lv group by 1), c as (select artist_id, plays, coalesce(loved, 0) as loved from q left join l using (artist_id)), e as (select *, sum(loved) over () * plays / sum(plays) over () as e from c) select artist_id, plays, loved::bigint as loved, round(e, 6) as expected, round((loved + 2) / (e + 2), 6) as ratio from e where loved >= 1 or round(e, 6) >= 1", profile="supp")
 # names and rules
-_add("norm_key", lambda x: x.artists.select("artist_id", ascii_key(F.col("name")).alias("key")), [], "select p_partkey as artist_id, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) as key from part")
-_add("csv_guard", lambda x: x.spark.read.parquet(f"{x.sf_dir}/customer.parquet").select("c_custkey", csv_guard(F.col("c_acctbal").cast("string").substr(1, 1)).alias("cell")), [], "select c_custkey, case when c_acctbal < 0 then '''-' else substr(c_acctbal::varchar, 1, 1) end as cell from customer")
+_add("norm_key", lambda x: keyed(x.artists, "name").select("artist_id", "key"), [], "select p_partkey as artist_id, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) as key from part")
+_add("csv_guard", lambda x: x.spark.read.parquet(f"{x.sf_dir}/customer.parquet").select("c_custkey", csv_guard(F.col("c_acctbal").cast("decimal(14,2)").cast("string")).alias("cell"), csv_guard(F.col("c_name")).alias("name")), [], "select c_custkey, case when c_acctbal < 0 then '''' else '' end || c_acctbal::decimal(14,2)::varchar as cell, c_name as name from customer")
 _add("parse_date", lambda x: x.spark.read.parquet(f"{x.sf_dir}/orders.parquet").select("o_orderkey", parse_date(F.date_format("o_orderdate", "d MMM yyyy, HH:mm")).alias("a"), parse_date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("b"), parse_date(F.lit("soon")).alias("c")), [], "select o_orderkey, epoch(o_orderdate)::bigint as a, epoch(o_orderdate)::bigint as b, null::bigint as c from orders")
 _add("loose_dups", lambda x: resolve.loose_dups(x.artists), [], "select regexp_replace(regexp_replace(replace(lower(p_name), '0', 'o'), '^the ', ''), '[^a-z0-9]', '', 'g') as key, count(*) as artists, min(p_partkey) as first_id from part group by 1 having count(*) > 1")
 
@@ -227,7 +227,121 @@ def _rules(log: PlayLog) -> DataFrame:
 MERGED = "mg as (select ts, case when artist_id % 10 = 3 then artist_id - 2 when artist_id % 10 = 7 then artist_id - 6 else artist_id end as artist_id, track_id, min(album_id) as album_id from p group by 1, 2, 3)"
 _add("merge_artists", lambda x: resolve.merge_artists(x.plays, _rules(x)).select("ts", "artist_id", "track_id", "album_id"), [MERGED], "select * from mg")
 _add("merge_preview", lambda x: resolve.merge_preview(x.plays, _rules(x)), [MERGED], "select count(*) filter (where artist_id % 10 in (3, 7)) as moved, count(*) - (select count(*) from mg) as duplicates from p")
-_add("check_library", lambda x: resolve.check_library(x.spark.read.parquet(f"{x.sf_dir}/nation.parquet").select(F.col("n_name").alias("candidate")).unionByName(x.artists.where("artist_id <= 20").select(F.upper("name").alias("candidate"))).distinct(), x.artists, _stats(x)), [SESSIONS, STATS], """, k as (select lower(p_name) as k, max({'a': plays, 'b': artist_id, 'c': first_ts, 'd': last_ts}) as m from st join part on p_partkey = artist_id group by 1),
-c as (select n_name as candidate from nation union select upper(p_name) from part where p_partkey <= 20) select candidate, m is not null as known, m.a as plays, m.c as first_ts, m.d as last_ts from c left join k on lower(candidate) = k""")
+_add("check_library", lambda x: resolve.check_library(x.spark.read.parquet(f"{x.sf_dir}/nation.parquet").select(F.col("n_name").alias("candidate")).unionByName(x.artists.select(F.upper("name").alias("candidate"))).distinct(), x.artists, _stats(x)), [SESSIONS, STATS], """, k as (select lower(p_name) as k, max({'a': plays, 'b': artist_id, 'c': first_ts, 'd': last_ts}) as m from st join part on p_partkey = artist_id group by 1),
+c as (select n_name as candidate from nation union select upper(p_name) from part) select candidate, m is not null as known, m.a as plays, m.c as first_ts, m.d as last_ts from c left join k on lower(candidate) = k""")
 _add("event_sessions", lambda x: streams.sessions(streams.event_plays(x.spark.read.parquet(f"{x.sf_dir}/events.parquet"))).select("listener_id", F.unix_seconds("start_ts").alias("start_s"), "plays"), [], """, e as (select user_id as listener_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hour then 0 else 1 end as b from events),
 i as (select *, sum(b) over (partition by listener_id order by ts rows unbounded preceding) as g from e) select listener_id, floor(epoch(min(ts)))::bigint as start_s, count(*) as plays from i group by listener_id, g""")
+# the stored library
+_add("rebuild", lambda x: x.rebuild(), [SESSIONS, STATS, GATEWAY, LINKS, ALBUMS], """, r as (select 'plays' as t, count(*) as n from p union all select 'sessions', count(*) from s union all select 'stats', count(*) from st
+union all select 'gateway', count(*) from gt union all select 'links', count(*) from lk where shared >= 3 union all select 'albums', count(*) from al union all select 'span', 1) select t as table, n as rows from r""", least=2)
+# summaries, cards, lists and pages
+FROM, TO = "1996-01-01", "1996-06-30"
+_add("clip_range", lambda x: library.clip_range(x.plays, "1990-01-01", "1995-06-30"), [], "select greatest(date '1990-01-01', min(lday)) as start_day, least(date '1995-06-30', max(lday)) as end_day, greatest(date '1990-01-01', min(lday)) > least(date '1995-06-30', max(lday)) as empty from p")
+
+
+def _periods(log: PlayLog) -> DataFrame:
+    rows = periods.months(log.plays).select(F.explode(F.array(F.struct(F.col("month").alias("a"), F.last_day("month").alias("b")), F.struct(F.date_add("month", 3).alias("a"), F.last_day("month").alias("b")), F.struct(F.col("month").alias("a"), F.last_day(F.add_months("month", 2)).alias("b")))).alias("r"))
+    return rows.select("r.a", "r.b", *[c.alias(n) for c, n in zip(library.previous_period(F.col("r.a"), F.col("r.b")), ("c", "d"), strict=True)])
+
+
+_add("previous_period", _periods, [], """, m as (select unnest(generate_series(date_trunc('month', min(lday)), date_trunc('month', max(lday)), interval 1 month))::date as m from p),
+r as (select m as a, last_day(m) as b, 1 as k from m union all select m + 3, last_day(m), 0 from m union all select m, last_day((m + interval 2 month)::date), 3 from m)
+select a, b, (case when k = 0 then a - ((b - a)::int + 1) else a - to_months(k) end)::date as c, a - 1 as d from r""")
+_add("summary", lambda x: library.summary(x.plays, x.stats, FROM, TO), [SESSIONS, STATS], f""", r as (select * from p where lday between date '{FROM}' and date '{TO}'), b as (select count(*) as n from p where lday between date '1995-07-01' and date '1995-12-31')
+select count(*) as plays, count(distinct artist_id) as artists, count(distinct track_id) as tracks, count(distinct album_id) as albums, count(distinct lday) as days,
+(select count(*) from st where prehistory = 0 and first_lday between date '{FROM}' and date '{TO}') as new_artists, (select n from b) as before, count(*) - (select n from b) as change, (select min(lday) from p) > date '1995-07-01' as partial from r""")
+_add("discoveries", lambda x: library.discoveries(x.plays, x.stats, x.gateway, "1995-01-01", "1995-12-31"), [SESSIONS, STATS, GATEWAY], """, n as (select artist_id from st where prehistory = 0 and first_lday between date '1995-01-01' and date '1995-12-31'),
+t as (select artist_id, count(*) as plays from p where lday between date '1995-01-01' and date '1995-12-31' and artist_id in (from n) group by 1 order by plays desc, artist_id limit 10) select t.artist_id, plays, gateway_id from t left join gt using (artist_id)""")
+_add("artist_card", lambda x: library.artist_card(x.stats, x.gateway, 7), [SESSIONS, STATS, GATEWAY], "select st.artist_id, plays, first_ts, last_ts, n_tracks, n_days, first_track_id, plays / (select sum(plays) from st) as share, 1 + (select count(*) from st b where b.plays > st.plays) as rank, gateway_id from st left join gt using (artist_id) where st.artist_id = 7")
+_add("peak_month", lambda x: library.peak_month(insights.artist_monthly(x.plays, periods.months(x.plays), 7)), [], "select date_trunc('month', lday)::date as month, count(*) as plays from p where artist_id = 7 group by 1 order by plays desc, month limit 1")
+_add("artist_tracks", lambda x: library.artist_tracks(x.plays, x.loved, 7), [LOVED], ", t as (select track_id, count(*) as plays, min(ts) as first_ts, max(ts) as last_ts from p where artist_id = 7 group by 1 order by plays desc, track_id limit 50) select t.*, (select min(loved_at) from lv where lv.track_id = t.track_id) as loved_at from t")
+_add("artist_albums", lambda x: library.artist_albums(x.plays, x.albums, 7), [ALBUMS], ", t as (select album_id, count(*) as plays, min(ts) as first_ts, max(ts) as last_ts from p where artist_id = 7 and album_id is not null group by 1 order by plays desc, album_id limit 30) select t.*, release_date from t left join al using (album_id)")
+_add("item_tags", lambda x: library.item_tags(x.tags, 7), [TAGS], "select tag, weight from tg where artist_id = 7 and tag <> 'other' order by weight desc, tag limit 12")
+_add("album_card", lambda x: library.album_card(x.plays, 700), [], "select track_id, count(*) as plays, min(ts) as first_ts, max(ts) as last_ts from p where album_id = 700 group by 1", profile="supp")
+_add("track_card", lambda x: library.track_card(x.plays, 700), [], ", o as (select * from p where track_id = 700), b as (select lday as best_day, count(*) as best_plays from o group by 1 order by 2 desc, 1 limit 1) select count(*) as plays, min(ts) as first_ts, max(ts) as last_ts, any_value(best_day) as best_day, any_value(best_plays) as best_plays from o, b", profile="supp")
+_add("track_years", lambda x: library.track_years(x.plays, 700), [], "select year(lday)::int as year, count(*) as plays from p where track_id = 700 group by 1", profile="supp")
+_add("library_track", lambda x: library.library_tracks(x.plays, x.loved), [LOVED], ", r as (select track_id, artist_id, count(*) as plays from p group by 1, 2) select r.*, (track_id in (select track_id from lv))::int as loved, (select count(*) from r) as total from r order by plays desc, track_id limit 100")
+_add("library_album", lambda x: library.library_albums(x.plays, x.albums), [ALBUMS], ", r as (select album_id, count(*) as plays, count(distinct track_id) as tracks from p where album_id is not null group by 1) select r.*, al.artist_id, release_date, (select count(*) from r) as total from r join al using (album_id) order by plays desc, album_id limit 100")
+_add("library_genre", lambda x: library.library_genres(x.plays, _shares(x)), [TAGS], ", q as (select artist_id, count(*) as n from p group by 1), r as (select tag, round(sum(n * share), 6) as score, count(*) as artists from q join sh using (artist_id) group by 1) select *, (select count(*) from r) as total from r order by score desc, tag limit 100")
+_add("insights_page", lambda x: library.page(x.stats.where("n_years >= 2").select("artist_id", "n_years", "plays"), [F.desc("n_years"), F.desc("plays"), "artist_id"], 20, 20), [SESSIONS, STATS], "select artist_id, n_years, plays, (select count(*) from st where n_years >= 2) > 40 as has_more from st where n_years >= 2 order by n_years desc, plays desc, artist_id limit 20 offset 20")
+_add("tag_detail", lambda x: library.tag_detail(x.plays, _shares(x), "Brand#13"), [TAGS], ", q as (select artist_id, count(*) as plays from p group by 1) select artist_id, plays, round(plays * share, 6) as score from q join sh using (artist_id) where tag = 'Brand#13' order by score desc, artist_id limit 20")
+_add("tag_monthly", lambda x: library.tag_monthly(x.plays, _shares(x), periods.months(x.plays), "Brand#13"), [TAGS], """, m as (select unnest(generate_series(date_trunc('month', min(lday)), date_trunc('month', max(lday)), interval 1 month))::date as month from p),
+c as (select date_trunc('month', lday)::date as month, round(sum(share), 6) as score from p join sh using (artist_id) where tag = 'Brand#13' group by 1) select month, coalesce(score, 0) as score from m left join c using (month)""")
+_add("pace", lambda x: library.pace(x.plays), [], """, n as (select max(lday) as today from p), b as (select artist_id, count(*) as n, count(*) filter (where today - lday < 365) as late, max(today) - min(lday) + 1 as span from p, n group by 1)
+select artist_id, case when span >= 30 then round(n / (span / 30.4375::double), 6) end as lifetime, case when span >= 365 then round(late / (365 / 30.4375::double), 6) end as recent from b""", profile="supp")
+_add("cover_targets", lambda x: library.cover_targets(x.plays, FROM, TO), [], f", c as (select artist_id, album_id, count(*) as plays from p where album_id is not null and lday between date '{FROM}' and date '{TO}' group by 1, 2) select * from c qualify row_number() over (partition by artist_id order by plays desc, album_id) = 1")
+for _name, _least, _share, _day in (("double_life", 5, 1 / 3, 0.15), ("double_life_relaxed", 3, 0.15, 0.0)):
+    _add(_name, lambda x, a=_least, b=_share, c=_day: library.double_life(x.plays, f"{YEAR}-01-01", f"{YEAR}-12-31", a, b, c), [], f""", b as (select artist_id, lwday, count(*) as plays, count(distinct lday) as days from p where year(lday) = {YEAR} group by 1, 2),
+w as (select *, sum(plays) over (partition by artist_id) as ever, sum(plays) over (partition by lwday) as wd from b),
+k as (select row_number() over (order by plays desc, artist_id, lwday) as r, artist_id, lwday, plays from w where plays >= {_least} and days >= 2 and round(plays / ever, 9) >= round({_share}, 9) and round(plays / wd, 9) >= {_day}),
+q as (select x.r as r, y.r as r2 from k x join k y on x.r < y.r and x.artist_id <> y.artist_id and x.lwday <> y.lwday order by 1, 2 limit 1) select lwday, artist_id, plays from k where r in (select r from q) or r in (select r2 from q)""")
+_add("release_window", lambda x: x.plays.select("lday").distinct().select("lday", library.release_friday(F.col("lday")).alias("friday"), *[c.alias(n) for c, n in zip(library.release_window(F.col("lday")), ("start_day", "end_day"), strict=True)]), [], ", d as (select distinct lday, lday + ((5 - isodow(lday)::int + 7) % 7) as friday from p) select lday, friday, friday - 6 as start_day, friday + 42 as end_day from d")
+# taste
+TRENDS = """wt as (select artist_id, sum(pow(0.5::double, ((hi - ts) // 86400) / 90)) as now, count(*) as ever from p, sp group by 1),
+tc as (select tag, sum(now * share) as n, sum(ever * share) as e from wt join sh using (artist_id) group by 1),
+tr as (select tag, round(n / (select sum(now) from wt), 6) as shown, round(e / sum(e) over (), 6) as ever, round((n / sum(n) over () + 0.005::double) / (e / sum(e) over () + 0.005::double), 6) as ratio, round(n, 6) as weight, round(e, 6) as plays, round(sum(n) over () / (select sum(now) from wt), 6) as coverage from tc)"""
+
+
+def _trends(log: PlayLog) -> DataFrame:
+    return taste.genre_trends(taste.weights(log.plays, log.span), _shares(log))
+
+
+_add("taste_now", lambda x: taste.now(_trends(x)), [TAGS, TRENDS], "select tag, shown from tr where shown >= 0.005 order by shown desc, tag limit 15")
+_add("taste_core", lambda x: taste.core(_trends(x)), [TAGS, TRENDS], "select tag, ever from tr order by ever desc, tag limit 8")
+for _name, _bar in (("taste_rising", 1.5), ("taste_rising_relaxed", 1.0)):
+    _add(_name, lambda x, b=_bar: taste.rising(_trends(x), b), [TAGS, TRENDS], f"select tag, ratio from tr where coverage >= 0.5 and shown >= 0.02 and weight >= 10 and ratio >= {_bar} order by ratio desc, tag limit 6")
+for _name, _bar in (("taste_fading", 0.5), ("taste_fading_relaxed", 1.0)):
+    _add(_name, lambda x, b=_bar: taste.fading(_trends(x), b), [TAGS, TRENDS], f"select tag, ratio from tr where coverage >= 0.5 and ever >= 0.02 and plays >= 10 and ratio <= {_bar} order by ratio, tag limit 5")
+_add("taste_discoveries", lambda x: taste.discoveries(x.stats, x.span), [SESSIONS, STATS], "select artist_id, plays from st, sp where first_ts > hi - 180 * 86400 and prehistory = 0 and plays >= 5 order by plays desc, artist_id limit 8")
+_add("taste_discoveries_relaxed", lambda x: taste.discoveries(x.stats, x.span, 2200, 1), [SESSIONS, STATS], "select artist_id, plays from st, sp where first_ts > hi - 2200 * 86400 and prehistory = 0 and plays >= 1 order by plays desc, artist_id limit 8")
+_add("taste_staples", lambda x: taste.staples(taste.weights(x.plays, x.span)), [], "select artist_id, count(*) as plays from p group by 1 order by plays desc, artist_id limit 8")
+_add("taste_seeds", lambda x: taste.seeds(taste.weights(x.plays, x.span)), [TAGS, TRENDS], "select artist_id, round(round(now, 6) / (select sum(now) from wt), 6) as weight from wt order by round(now, 6) desc, artist_id limit 150")
+_add("gap_decades", lambda x: taste.gap_decades(x.plays, x.albums, x.loved), [LOVED, ALBUMS], """, k as (select track_id, p.album_id, ry, count(*) as n from p join ad on ad.album_id = p.album_id where track_id in (select track_id from lv) group by all),
+b as (select track_id, ry from k qualify row_number() over (partition by track_id order by n desc, ry, album_id) = 1), l as (select (ry // 10 * 10)::int as decade, count(*) as loved from b group by 1), q as (select (ry // 10 * 10)::int as decade, sum(n) as plays from dp group by 1),
+r as (select decade, coalesce(loved, 0) as loved, coalesce(plays, 0) as plays, sum(loved) over () as tl, sum(plays) over () as tp from q full join l using (decade))
+select decade, loved, round(tl * plays / tp, 6) as expected, round((loved + 5) / (tl * plays / tp + 5), 6) as ratio from r where tl >= 10 and (round(loved / tl, 9) >= 0.02 or round(plays / tp, 9) >= 0.02)""")
+_add("sparse_cosine", lambda x: taste.sparse_cosine(_shares(x), 7), [TAGS], ", o as (select tag, share as w from sh where artist_id = 7), n as (select artist_id, sqrt(sum(share * share)) as norm from sh group by 1), d as (select artist_id, sum(share * w) as dot from sh join o using (tag) where artist_id <> 7 group by 1) select artist_id, round(dot / (norm * (select norm from n where artist_id = 7)), 6) as cosine from d join n using (artist_id)")
+_add("album_overlap", lambda x: taste.overlap(x.plays.where("album_id is not null").select("artist_id", "album_id", "track_id")), [], ", o as (select distinct artist_id, album_id, track_id from p where album_id is not null), z as (select album_id, count(*) as n from o group by 1), q as (select x.album_id as a, y.album_id as b, count(*) as shared from o x join o y on x.artist_id = y.artist_id and x.track_id = y.track_id and x.album_id < y.album_id group by 1, 2) select a, b, shared, round(shared / least(u.n, v.n), 6) as overlap from q join z u on u.album_id = a join z v on v.album_id = b")
+# rhythms
+_add("season_artists", lambda x: genres.season_artists(x.plays, lift_least=1.02), ["own as (select artist_id from p group by 1 having count(*) >= 30), sh as (select artist_id, artist_id as tag, 1.0::double as share from own)", LIFT.replace("{y}", _BUCKETS["season"][0]).replace("{b}", _BUCKETS["season"][1])], "select bucket, key as artist_id, lift from lf where plays >= 30 and lift >= 1.02 and years > 0 and up * 2 >= years qualify row_number() over (partition by bucket order by lift desc, key) <= 5", profile="supp")
+_add("season_artists_default", lambda x: genres.season_artists(x.plays), ["own as (select artist_id from p group by 1 having count(*) >= 30), sh as (select artist_id, artist_id as tag, 1.0::double as share from own)", LIFT.replace("{y}", _BUCKETS["season"][0]).replace("{b}", _BUCKETS["season"][1])], "select bucket, key as artist_id, lift from lf where plays >= 30 and lift >= 1.3 and years > 0 and up * 2 >= years qualify row_number() over (partition by bucket order by lift desc, key) <= 5", profile="supp")
+_MONTHS = LIFT.replace("{y}", _BUCKETS["month"][0]).replace("{b}", _BUCKETS["month"][1])
+_add("tag_months", lambda x: genres.tag_months(genres.lift(genres.dim_counts(x.plays, "month"), _shares(x)), "ECONOMY"), [TAGS, _MONTHS], "select m::int as month, lift, plays from range(1, 13) r(m) left join lf on bucket = m and key = 'ECONOMY' where exists (from lf where key = 'ECONOMY')")
+_add("matrix", lambda x: genres.matrix(genres.lift(genres.dim_counts(x.plays, "month"), _shares(x))), [TAGS, _MONTHS], "select key, bucket, lift from lf where key in (select key from lf group by 1 order by round(sum(plays), 4) desc, key limit 12)")
+_add("diversity_by_month", lambda x: genres.diversity_by_month(genres.diversity(x.plays, _shares(x))), [TAGS], """, c as (select date_trunc('month', lday)::date as month, tag, sum(share) as o from p join sh using (artist_id) group by 1, 2),
+q as (select *, o / sum(o) over (partition by month) as q, sum(o) over (partition by month) as t from c), d as (select month, round(exp(-sum(q * ln(q))), 6) as diversity from q where round(t, 6) >= 50 group by 1) select month(month)::int as month, round(avg(diversity), 5) as diversity, count(*) as months from d group by 1""")
+# decades
+LAGS = """fa as (select album_id, count(*) as plays, min(lday) as first from p where album_id is not null group by 1),
+lg as (select album_id, ad.artist_id, release_date, fa.plays, first, greatest(0, first - mid) as lag, coalesce(prehistory, 0) as prehistory,
+  case when lo >= (select min(lday) from p) then 'tracked' when case length(release_date) when 4 then (release_date || '-12-31')::date when 7 then last_day(lo) else lo end >= (select min(lday) from p) then null when ry < 1980 then 'before_birth' else 'pre_tracking' end as era
+  from fa join ad using (album_id) left join st on st.artist_id = ad.artist_id where ry between 1900 and (select year(max(lday)) + 1 from p))"""
+
+
+def _lags(log: PlayLog) -> DataFrame:
+    return cohorts.lag_albums(log.plays, log.albums, log.stats, 1980)
+
+
+_LAG = [SESSIONS, STATS, ALBUMS, LAGS]
+_add("lag_eras", lambda x: cohorts.lag_eras(_lags(x)), _LAG, "select era, count(*) as albums, sum(plays)::bigint as plays, case when era is not null then round(sum(plays) / (select sum(plays) from lg where era is not null), 6) end as share from lg group by 1")
+_add("lag_dug_up", lambda x: cohorts.lag_dug_up(_lags(x)), _LAG, ", o as (select year(first)::int as year, era, count(*) as n from lg where era <> 'tracked' and prehistory = 0 group by 1, 2) select y::int as year, e.era, coalesce(n, 0)::bigint as albums from range((select min(year) from o), (select max(year) + 1 from o)) r(y) cross join (select distinct era from o) e left join o on o.year = y and o.era = e.era")
+_add("lag_late", lambda x: cohorts.lag_late(_lags(x)), _LAG, "select album_id, plays, lag from lg where era = 'tracked' and plays >= 5 order by lag desc, plays desc, album_id limit 10")
+_add("lag_on_release", lambda x: cohorts.lag_on_release(_lags(x)), _LAG, "select album_id, plays, lag from lg where era = 'tracked' and plays >= 5 and length(release_date) = 10 and lag <= 30 order by plays desc, album_id limit 10")
+_add("lag_on_release_relaxed", lambda x: cohorts.lag_on_release(_lags(x), 1, 400), _LAG, "select album_id, plays, lag from lg where era = 'tracked' and plays >= 1 and length(release_date) = 10 and lag <= 400 order by plays desc, album_id limit 10")
+_add("median_upper", lambda x: cohorts.median_upper(_lags(x)), _LAG, ", k as (select lag, row_number() over (order by lag) as r, count(*) over () as n from lg where era = 'tracked') select min(lag)::int as median_days, min(n) as albums from k where r = n // 2 + 1")
+_add("decade_matrix", lambda x: cohorts.decade_matrix(x.plays, x.albums), [ALBUMS], """, c as (select year(lday)::int as year, (ry // 10 * 10)::int as decade, sum(n) as o from dp group by 1, 2), d as (select decade, sum(o) as n, (select sum(n) from dp) as covered from c group by 1), k as (select * from d where round(n / covered, 9) >= 0.02 order by n desc, decade limit 8),
+g as (select y.year, k.decade, coalesce(o, 0) as o, t * n / covered as e from (select year, sum(o) as t from c group by 1) y cross join k left join c on c.year = y.year and c.decade = k.decade) select year, decade, o::bigint as plays, round(e, 6) as expected, case when round(e, 6) >= 30 then round((o + 20) / (e + 20), 6) end as lift from g""")
+for _dim in ("season", "daypart", "weekpart"):
+    _y, _b = _BUCKETS[_dim]
+    _add(f"decade_lift_{_dim}", lambda x, d=_dim: genres.lift_cells(cohorts.decade_observed(x.plays, x.albums, *genres.bucket(d))), [ALBUMS, f"od as (select ({_y})::int as year, ({_b})::int as bucket, (ry // 10 * 10)::int as key, count(*) as o from p join ad on ad.album_id = p.album_id group by 1, 2, 3)", """cv as (select year, bucket, sum(o) as b from od group by 1, 2), kk as (select year, key, sum(o) as k from od group by 1, 2),
+ce as (select cv.bucket, kk.key, t, coalesce(o, 0) as o, b * k / t as e from (select *, sum(b) over (partition by year) as t from cv) cv join kk on kk.year = cv.year left join od on od.year = cv.year and od.bucket = cv.bucket and od.key = kk.key)"""], "select bucket, key, round(sum(o)::double, 6) as plays, round(sum(e), 6) as expected, round((sum(o) + 20) / (sum(e) + 20), 6) as lift, count(*) filter (where t >= 200 and round(e, 9) >= 3 and round(o - e, 9) > 0) as up, count(*) filter (where t >= 200 and round(e, 9) >= 3) as years from ce group by 1, 2 having round(sum(e), 6) >= 30")
+MIX = """mx as (select (ry // 10 * 10)::int as decade, tag, sum(n * share) as o from dp join sh using (artist_id) group by 1, 2), de as (select decade, sum(o) as d from mx group by 1), gn as (select tag, sum(o) as g from mx group by 1),
+gd as (select de.decade, gn.tag, coalesce(o, 0) as o, d * g / (select sum(o) from mx) as e from de cross join gn left join mx on mx.decade = de.decade and mx.tag = gn.tag),
+gb as (select decade, tag, round(o, 6) as plays, round(e, 6) as expected, case when round(e, 6) >= 30 then round((o + 20) / (e + 20), 6) end as lift from gd)"""
+_add("genre_by_decade", lambda x: cohorts.genre_by_decade(x.plays, x.albums, _shares(x)), [TAGS, ALBUMS, MIX], "select * from gb")
+for _name, _bar in (("decade_signature", 1.2), ("decade_signature_relaxed", 1.02)):
+    _add(_name, lambda x, b=_bar: cohorts.decade_signature(cohorts.genre_by_decade(x.plays, x.albums, _shares(x)), b), [TAGS, ALBUMS, MIX], f"select decade, tag, lift from gb where lift >= {_bar} qualify row_number() over (partition by decade order by lift desc, tag) <= 3")
+# yearly rest
+_add("year_genres", lambda x: genres.genre_profile(yearly.of_year(x.plays, YEAR), _shares(x)).orderBy(F.desc("score"), "tag").limit(8), [TAGS], f"select tag, round(sum(share), 6) as score from p join sh using (artist_id) where year(lday) = {YEAR} group by 1 order by score desc, tag limit 8")
+_add("genre_months", lambda x: yearly.genre_months(x.plays, _shares(x), YEAR), [TAGS], f", c as (select tag, month(lday) as month, sum(share) as o from p join sh using (artist_id) where year(lday) = {YEAR} group by 1, 2), t as (select tag from c group by 1 order by round(sum(o), 6) desc, tag limit 8) select t.tag, m::int as month, round(coalesce(o, 0), 6) as score from t cross join range(1, 13) r(m) left join c on c.tag = t.tag and c.month = m")
+_add("release_years", lambda x: yearly.release_years(x.plays, x.albums, YEAR), [ALBUMS], f", h as (select ry, sum(n) as n from dp where year(lday) = {YEAR} group by 1), w as (select *, sum(n) over (order by ry) as c, sum(n) over () as t from h) select max(t)::bigint as dated, (select count(*) from p where year(lday) = {YEAR}) as total, round(coalesce(sum(n) filter (where ry = {YEAR}), 0) / max(t), 6) as this_year_share, (min(ry) filter (where c * 2 >= t))::int as median from w")
+_add("year_loved", lambda x: yearly.year_loved(x.loved, YEAR), [LOVED], f", o as (select * from lv where year(make_timestamp(loved_at * 1000000)) = {YEAR}) select track_id, loved_at, (select count(*) from o) as total from o order by loved_at desc, track_id limit 10")

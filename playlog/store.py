@@ -61,3 +61,10 @@ def store_of(spark: SparkSession, *key: str) -> Store:
 def forget(spark: SparkSession, *key: str) -> None:
     """Let the next query rebuild: the data below the library has changed."""
     _stores.pop((spark.sparkContext.applicationId, *key), None)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written to a new table in the shared folder and read again, which cuts its lineage."""
+    path = f"{base_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,10 +1,11 @@
 """Operators on tiny tables with known answers."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from playlog.functions.text import csv_guard, loose_key, norm_key, parse_date
 from playlog.model import ingest, local_parts
-from playlog.operators import cohorts, derive, insights, periods, resolve
+from playlog.operators import cohorts, derive, insights, library, periods, resolve
 from playlog.sources.csvlog import read_csv, write_csv
 from playlog.streaming import ingest as streams
 
@@ -23,6 +24,21 @@ def test_parse_date(spark):
     assert got == [1400789460, 1400789483, 1400789483, 1400789460, None, None, None]
 
 
+def test_parse_date_forms(spark):
+    texts = ["  1 January 1970, 00:01 ", "2 Sept 1970 10:00:07", "2 jan 1970, 24:00", "31 Feb 2014, 10:00", "1970-01-02", "1970-01-02 00:00", "1970-01-02T00:00:00+01:00", "1970-01-02T00:00:00.5", "2 Foo 1970, 10:00"]
+    want = [60, 21117607, None, None, 86400, 86400, 82800, 86400, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert values(df.select(parse_date(F.col("t")).alias("v")), "v") == want
+            day, hour, weekday = local_parts(F.lit(0).cast("long"), "UTC")
+            assert [(str(r.d), r.h, r.w) for r in df.limit(1).select(day.alias("d"), hour.alias("h"), weekday.alias("w")).collect()] == [("1970-01-01", 0, 3)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_local_time_over_daylight_saving(spark):
     df = spark.createDataFrame([(1743294600,), (1743298200,), (1767220200,)], "ts long")
     day, hour, weekday = local_parts(F.col("ts"), "Europe/Helsinki")
@@ -77,6 +93,33 @@ def test_merges_follow_chains_and_drop_collisions(spark):
     assert sorted((r.ts, r.artist_id) for r in resolve.merge_artists(log, rules).collect()) == [(60, 3), (120, 3)]
 
 
+def test_merge_chains_have_no_bound_and_circles_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1500)], "from_id long, to_id long")
+    assert {r.to_id for r in resolve.resolved_rules(chain).collect()} == {1500}
+    for circle in ([(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 1)], [(1, 1)]):
+        with pytest.raises(ValueError):
+            resolve.resolved_rules(spark.createDataFrame(circle, "from_id long, to_id long"))
+
+
+def test_csv_keeps_an_artist_named_like_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("artistname,song,played at,mbid\nArtist,T,1400789483,\n\nB,U,1400789484,x\n")
+    got, skipped = read_csv(spark, str(tmp_path / "a.csv"))
+    assert sorted((r.artist, r.track_mbid) for r in got.collect()) == [("Artist", None), ("B", "x")] and skipped.first().skipped == 0
+
+
+def test_double_life(spark):
+    week = 7 * 86400
+    log = plays(spark, [(week * i + 86400 * d + 3600, d + 1, 1, None) for i in range(6) for d in (0, 2)])
+    got = library.double_life(log, "1970-01-01", "1970-12-31").orderBy("lwday").collect()
+    assert [(r.lwday, r.artist_id, r.plays) for r in got] == [(3, 1, 6), (5, 3, 6)]
+
+
+def test_pages(spark):
+    rows = spark.range(5).select(F.col("id").alias("x"))
+    assert [(r.x, r.has_more) for r in library.page(rows, ["x"], 2, 2).collect()] == [(2, True), (3, True)]
+    assert [(r.x, r.has_more) for r in library.page(rows, ["x"], 2, 3).collect()] == [(3, False), (4, False)]
+
+
 def test_csv_round_trip(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿Artist,Album,Track,Date\nA,"x ""y""",T,"22 May 2014, 20:11"\n=B,,U,1400789483\nC,,,1400789483\n', encoding="utf-8")
     got, skipped = read_csv(spark, str(tmp_path / "a.csv"))

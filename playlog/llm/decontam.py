@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from playlog.llm.common import trimmed
 from playlog.llm.wordhash import slices
 
 WORDS_PER_EDIT = 6
@@ -158,7 +159,7 @@ def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "th", "item_id", "edits"])
 
-        part = source.mapInArrow(run, schema)
+        part = source.mapInArrow(trimmed(run), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playlog.llm.common import batches
+from playlog.llm.common import batches, trimmed
 
 DEPTH = 300
 FOLDS = 5
@@ -26,7 +26,7 @@ _letters: list[np.ndarray] = []
 def _is_letter() -> np.ndarray:
     if not _letters:
         table = np.zeros(0x110000, dtype=bool)
-        table[[c for c in range(0x30000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]] = True
+        table[[c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]] = True
         _letters.append(table)
     return _letters[0]
 
@@ -83,20 +83,21 @@ def profiles(labelled: DataFrame, depth: int = DEPTH) -> list[tuple[str, int, in
             yield out()
 
     known = labelled.select("text", "lang").where("text is not null and lang is not null")
-    counted = known.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = known.mapInArrow(trimmed(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), (F.col("code") < 0).cast("int"), "code"))
     rows = counted.withColumn("rank", rank).where(F.col("rank") <= depth).collect()
     return sorted((r["lang"], r["rank"] - 1, r["code"]) for r in rows)
 
 
-def predict(docs: DataFrame, profile: list[tuple[str, int, int]], depth: int = DEPTH) -> DataFrame:
-    """docs(text, ...) with lang_pred and score added; no shuffle, the other columns pass through.
+def predict(docs: DataFrame, profile: list[tuple[str, int, int]], depth: int = DEPTH, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs(text, ...) with lang_pred and score added, under other names if wished; no shuffle, the other columns pass through.
 
+    A column of docs that has one of the two names already is replaced.
     ``score`` is one minus the nearest profile's distance over the largest possible one.
     A null text, a text without a letter, or an empty profile gives ('und', 0).
     Ties go to the language that is first in alphabetical order.
     """
-    langs = sorted({x[0] for x in profile})
+    docs, langs = docs.drop(*names), sorted({x[0] for x in profile})
     codes = np.unique(np.array([x[2] for x in profile], dtype=np.int64).view(np.uint64))
     ranks = np.full((len(codes) + 1, max(1, len(langs))), -1, dtype=np.int64)
     for lang, rank, code in profile:
@@ -117,10 +118,10 @@ def predict(docs: DataFrame, profile: list[tuple[str, int, int]], depth: int = D
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [one(t.as_py()) for t in batch.column("text")]
         extra = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-        return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(batches(run), f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(trimmed(batches(run)), f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(doc_id="doc_id"):

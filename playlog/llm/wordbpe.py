@@ -54,6 +54,7 @@ class WordCodec:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.model = self.tok.model
         added = self.tok.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -83,7 +84,7 @@ class WordCodec:
             return self.special[word].to_bytes(4, "little")
         if not (word.isascii() and word.isprintable()):
             word = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tok.model.tokenize(word)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Each word's ids as little-endian unsigned 32-bit integers."""

@@ -352,6 +352,112 @@ def test_language_id(spark, docs, empty, null_ids):
     assert {r.lang_pred for r in langid.identify(null_ids).collect()} == {"und"}
 
 
+def test_decontamination_brute_force(spark):
+    """All items against all passages of all documents, by plain edit distance on words."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    items = {i: [r.choice(words) for _ in range(r.randint(3, 26))] for i in range(25)}
+    texts = {}
+    for d in range(50):
+        w = [r.choice(words) for _ in range(r.randint(0, 60))]
+        for item in r.sample(list(items.values()), 2):
+            some = list(item)
+            for _ in range(r.randint(0, 5)):
+                k = r.randrange(len(some))
+                some[k : k + r.randint(0, 1)] = [r.choice(words)] * r.randint(0, 2)
+                some = some or ["x"]
+            at = r.randint(0, len(w))
+            w[at:at] = some
+        texts[d] = w
+
+    def least(item, text):
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item):
+            new = [i + 1]
+            for j, y in enumerate(text):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    want = {(d, i, e) for d, t in texts.items() for i, item in items.items() if (e := least(item, t)) <= decontam.budget(len(item))}
+    docs = spark.createDataFrame([(d, " ".join(f"({x})," if r.random() < 0.1 else x.upper() if r.random() < 0.1 else x for x in t)) for d, t in texts.items()], "doc_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    assert {tuple(x) for x in decontam.matches(docs, table).collect()} == want and len(want) > 40
+
+
+def test_language_ranks_brute_force(spark):
+    """Profiles and predictions against plain counting and sorting of n-grams."""
+    from collections import Counter
+
+    r = random.Random(4)
+    letters = {"aa": "abcdeéß", "bb": "xyzwvab", "cc": "日本語한글a\U00030001"}
+    rows = [(i, lang, " ".join("".join(r.choice(letters[lang]) for _ in range(r.randint(1, 7))).title() for _ in range(r.randint(1, 25))) + r.choice([".", "", "1 2!"])) for i, lang in enumerate(r.choice(list(letters)) for _ in range(60))]
+    rows += [(100, "aa", None), (101, None, "abc"), (102, "bb", ""), (103, "cc", "12 !"), (104, None, "\U00030001")]
+
+    def grams(text):
+        out, word = [], ""
+        for c in (text or "").lower() + " ":
+            if c.isalpha():
+                word += c
+                continue
+            if word:
+                padded = f" {word} "
+                out += list(word) + [padded[k : k + 2] for k in range(len(padded) - 1)] + [padded[k : k + 3] for k in range(len(padded) - 2)]
+            word = ""
+        return out
+
+    depth, learned = 40, {}
+    for i, lang, text in rows:
+        if lang and text is not None and zlib.crc32(str(i).encode()) % 5:
+            learned.setdefault(lang, Counter()).update(grams(text))
+    docs = spark.createDataFrame([(i, t, lang) for i, lang, t in rows], "doc_id long, text string, lang string").repartition(3)
+    profile = langid.learn(docs, depth)
+    for lang, count in learned.items():
+        own = [n for x, n, _ in profile if x == lang]
+        assert own == list(range(min(depth, len(count))))
+        codes = [c for x, _, c in profile if x == lang]
+        assert [sorted(count.values(), reverse=True)[k] for k in own] == [count[_gram(c)] for c in codes]
+    rank = {lang: {_gram(c): n for x, n, c in profile if x == lang} for lang in learned}
+    got = {x.doc_id: x for x in langid.identify(docs, depth).collect()}
+    for i, _, text in rows:
+        count = Counter(grams(text))
+        if not count:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        value, _ = np.unique(langid.ngrams(text), return_counts=True)
+        assert {_gram(int(np.uint64(v).view(np.int64))) for v in value} == set(count)
+        top = [_gram(int(np.uint64(v).view(np.int64))) for v in langid.ranked(langid.ngrams(text), depth)]
+        assert [count[g] for g in top] == sorted(count.values(), reverse=True)[:depth]
+        gaps = {lang: sum(abs(rank[lang][g] - k) if g in rank[lang] else depth for k, g in enumerate(top)) for lang in sorted(rank)}
+        best = min(gaps, key=gaps.get)
+        assert got[i].lang_pred == best and abs(got[i].score - max(0.0, 1 - gaps[best] / (depth * len(top)))) < 1e-12
+
+
+def _gram(code):
+    """The n-gram of a code, blanks for the ends of a word."""
+    code &= (1 << 64) - 1
+    n = 1 if code >> 62 == 3 else 2 if code >> 63 else 3
+    return "".join(chr(c) if (c := (code >> 21 * k) & 0x1FFFFF) else " " for k in reversed(range(n)))
+
+
+def test_columns_of_the_same_names(spark):
+    import corpus_pipeline
+
+    text = "some words of a language that is known " * 3
+    table = spark.createDataFrame([(i, f"{text} {i}", "en", 7, "x", 8) for i in range(6)], "doc_id long, text string, lang string, score int, lang_pred string, n_removed int")
+    kept = corpus_pipeline.language(spark, table, "")
+    assert kept.columns == table.columns and {(r.score, r.lang_pred) for r in kept.collect()} == {(7, "x")}
+    assert langid.predict(table, langid.learn(table)).columns.count("score") == 1
+
+
+def test_pipeline_language(spark):
+    import corpus_pipeline
+
+    rows = [(i, "words of some language here", "en") for i in range(6)] + [(6, None, "en"), (7, "", None), (8, "12 !?", "en"), (None, "words of some language here", None), (1, "words of some language here", "en")]
+    kept = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept) == [-1, 0, 1, 1, 2, 3, 4, 5]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

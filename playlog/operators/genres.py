@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from playlog.model import local_parts
+
 PRIOR, MIN_EXPECTED = 20.0, 30.0
 
 
@@ -131,3 +133,15 @@ def matrix(cells: DataFrame, rows: int = 12) -> DataFrame:
     """The cells of the keys with most plays, in long form."""
     top = F.broadcast(cells.groupBy("key").agg(F.round(F.sum("plays"), 4).alias("s")).orderBy(F.desc("s"), "key").limit(rows).select("key"))
     return cells.join(top, "key").select("key", "bucket", "lift")
+
+
+def seasonal_status(found: DataFrame, span: DataFrame, soon_days: int = 28) -> DataFrame:
+    """(artist_id, status, starts_in_days) of seasonal artists against the newest day: now, soon or null; a season is the peak and its spread on both sides."""
+    year = 365.25
+    spread = F.greatest(F.lit(7.0), F.least(F.lit(60.0), F.sqrt(-2 * F.log("r")) * year / (2 * math.pi)))
+    today = F.dayofyear(local_parts(F.col("hi"))[0]) - 1
+    rows = found.crossJoin(F.broadcast(span.select("hi"))).withColumns({"spread": spread, "today": today})
+    apart = F.pmod(F.abs(F.col("peak") - F.col("today")), F.lit(year))
+    start = F.pmod(F.col("peak") - F.col("today") - F.col("spread"), F.lit(year))
+    status = F.when(F.least(apart, year - apart) <= F.col("spread"), "now").when(start <= soon_days, "soon")
+    return rows.select("artist_id", status.alias("status"), F.rint(start).cast("int").alias("starts_in_days"))

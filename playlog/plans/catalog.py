@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.functions.text import csv_guard, keyed, parse_date
+from playlog.functions.text import csv_guard, keyed, parse_date, tag_classify, tag_fold, tag_normalize
 from playlog.model import PlayLog
-from playlog.operators import cohorts, derive, genres, insights, library, periods, resolve, taste, yearly
+from playlog.operators import cohorts, derive, editions, genres, insights, library, lookups, periods, resolve, taste, yearly
+from playlog.sources import fixtures
 from playlog.streaming import ingest as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,7 +186,6 @@ t as (select tag from c group by 1 order by round(sum(o), 6) desc, tag limit 5)
 _add("diversity", lambda x: genres.diversity(x.plays, _shares(x)), [TAGS], """, c as (select date_trunc('month', lday)::date as month, tag, sum(share) as o from p join sh using (artist_id) group by 1, 2),
 q as (select *, o / sum(o) over (partition by month) as q, sum(o) over (partition by month) as t from c) select month, round(exp(-sum(q * ln(q))), 6) as diversity from q where round(t, 6) >= 50 group by 1""")
 _add("circ_year_vectors", lambda x: genres.circ_year_vectors(x.plays), [], "select artist_id, year(lday)::int as year, count(*) as n, round(avg(cos(2 * pi() * (dayofyear(lday) - 1) / 365.25)), 6) as x, round(avg(sin(2 * pi() * (dayofyear(lday) - 1) / 365.25)), 6) as y from p group by 1, 2 having count(*) >= 3")
-_add("seasonal_artists", lambda x: genres.seasonal_artists(x.plays, 0.2, 20))
 # cohorts
 _add("decade_overview", lambda x: cohorts.decade_overview(x.plays, x.albums), [ALBUMS], "select (ry // 10 * 10)::int as decade, sum(n)::bigint as plays, count(distinct album_id) as albums, round(sum(n) / (select sum(n) from dp), 6) as share from dp group by 1")
 _add("release_year_hist", lambda x: cohorts.release_year_hist(x.plays, x.albums), [ALBUMS], "select y::int as release_year, coalesce((select sum(n) from dp where ry = y), 0)::bigint as plays from range((select min(ry) from dp), (select max(ry) + 1 from dp)) r(y)")
@@ -345,3 +345,100 @@ _add("year_genres", lambda x: genres.genre_profile(yearly.of_year(x.plays, YEAR)
 _add("genre_months", lambda x: yearly.genre_months(x.plays, _shares(x), YEAR), [TAGS], f", c as (select tag, month(lday) as month, sum(share) as o from p join sh using (artist_id) where year(lday) = {YEAR} group by 1, 2), t as (select tag from c group by 1 order by round(sum(o), 6) desc, tag limit 8) select t.tag, m::int as month, round(coalesce(o, 0), 6) as score from t cross join range(1, 13) r(m) left join c on c.tag = t.tag and c.month = m")
 _add("release_years", lambda x: yearly.release_years(x.plays, x.albums, YEAR), [ALBUMS], f", h as (select ry, sum(n) as n from dp where year(lday) = {YEAR} group by 1), w as (select *, sum(n) over (order by ry) as c, sum(n) over () as t from h) select max(t)::bigint as dated, (select count(*) from p where year(lday) = {YEAR}) as total, round(coalesce(sum(n) filter (where ry = {YEAR}), 0) / max(t), 6) as this_year_share, (min(ry) filter (where c * 2 >= t))::int as median from w")
 _add("year_loved", lambda x: yearly.year_loved(x.loved, YEAR), [LOVED], f", o as (select * from lv where year(make_timestamp(loved_at * 1000000)) = {YEAR}) select track_id, loved_at, (select count(*) from o) as total from o order by loved_at desc, track_id limit 10")
+# lookups
+INFO = """ai as (select p_partkey as artist_id, ['ok', 'ok', 'not_found', 'error'][p_partkey % 4 + 1] as status, (select hi from sp) - p_partkey * 7919 % 200 * 86400 as fetched_at,
+  50 + p_partkey * 37 % 30011 as listeners from part where p_partkey % 5 <> 0),
+ac as (select artist_id, count(*) as plays from p group by 1), bc as (select album_id, count(*) as plays from p where album_id is not null group by 1),
+bi as (select album_id, release_date, ['ok', 'ok', 'not_found', 'error'][album_id // 100 % 4 + 1] as status, (select hi from sp) - album_id * 31 % 200 * 86400 as fetched_at, [null, 'ok', 'error'][album_id // 100 % 3 + 1] as mb_status,
+  case when album_id // 100 % 3 > 0 then (select hi from sp) - album_id * 13 % 200 * 86400 end as mb_fetched_at, album_id % 2 = 0 as has_cover from al where (album_id // 100 + album_id) % 5 <> 0),
+cu as (select hi - 120 * 86400 as cut from sp)"""
+_add("pending_artists", lambda x: lookups.pending_artists(x.stats, fixtures.artist_info(x), x.span), [ALBUMS, INFO], "select ac.artist_id, plays from ac left join ai using (artist_id) where fetched_at is null or status = 'error' or fetched_at < (select cut from cu)")
+_add("pending_albums", lambda x: lookups.pending_albums(x.plays, fixtures.album_info(x), x.span), [ALBUMS, INFO], "select bc.album_id, plays from bc left join bi using (album_id) where plays >= 3 and (fetched_at is null or status = 'error' or fetched_at < (select cut from cu))")
+_add("pending_releases", lambda x: lookups.pending_releases(x.plays, fixtures.album_info(x), x.span), [ALBUMS, INFO], "select bi.album_id, plays from bi left join bc using (album_id) where status = 'ok' and (mb_fetched_at is null or mb_status = 'error' or mb_fetched_at < (select cut from cu))")
+_add("enrich_status", lambda x: lookups.enrich_status(x.plays, x.stats, x.tags, fixtures.artist_info(x), fixtures.album_info(x)), [ALBUMS, INFO], """select (select count(*) from ac) as artists, (select count(*) from p) as plays, (select count(*) from ai where status in ('ok', 'not_found')) as artists_done, (select max(fetched_at) from ai) as last_fetch,
+  (select count(*) from part) as artists_tagged, (select count(*) from p where artist_id in (select p_partkey from part)) as plays_covered, (select count(*) from bc where plays >= 3) as albums_eligible, (select count(*) from bi where status in ('ok', 'not_found')) as albums_done,
+  (select count(release_date) from bi) as albums_dated, (select count(*) from bi where has_cover) as albums_with_cover""")
+_add("obscure", lambda x: lookups.obscure(x.plays, fixtures.artist_info(x), x.artists, FROM, TO), [ALBUMS, INFO], f", c as (select artist_id, count(*) as plays from p where lday between date '{FROM}' and date '{TO}' group by 1 having count(*) >= 3), f as (select *, pow(10, greatest(length(listeners::varchar) - 2, 0)) as u from c join ai using (artist_id) join part on p_partkey = artist_id where status = 'ok' and listeners between 100 and 20000 order by listeners, p_name, artist_id limit 1) select artist_id, (round_even(listeners / u, 0) * u)::bigint as listeners, plays from f")
+_add("place_shares", lambda x: lookups.place_shares(fixtures.place_tags(x), fixtures.artist_info(x)), [], "select s_suppkey as artist_id, case when s_suppkey % 3 <> 0 then n_name end as tag, 1.0::double as share from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 3 <> 0 or (s_suppkey % 5 <> 0 and s_suppkey % 4 < 3)", profile="supp")
+_add("rolling", lambda x: lookups.rolling(x.plays, x.span), [], "select d::int as days, count(*) as plays, count(distinct artist_id) as artists, count(distinct track_id) as tracks from p join unnest([30, 90, 365]) w(d) on ts > (select hi from sp) - d * 86400 group by 1")
+_add("snapshot_changes", lambda x: lookups.snapshot_changes(x.loved.crossJoin(F.broadcast(x.span)).where("loved_at <= hi - 365 * 86400"), x.loved.where("track_id % 3 <> 0"), "track_id"), [LOVED], ", o as (select track_id, loved_at <= (select hi from sp) - 365 * 86400 as was, track_id % 3 <> 0 as isn from lv) select case when not was then 'added' when not isn then 'removed' else 'kept' end as state, count(*) as rows from o where was or isn group by 1")
+_ODD_TAGS = "('Suomi'), ('seen_live'), (' -Post-Rock- '), ('80''s'), ('1990s'), ('1998'), ('1899'), ('x'), ('UK'), ('FIP')"
+
+
+def _tags_seen(log: PlayLog) -> DataFrame:
+    nations = log.spark.read.parquet(f"{log.sf_dir}/nation.parquet").select(F.col("n_name").alias("tag"))
+    rows = keyed(log.tags.select("tag").union(nations).union(log.spark.sql(f"select * from values {_ODD_TAGS} as t(tag)")).distinct(), "tag")
+    return rows.select("tag", tag_normalize(F.col("key")).alias("normal"), tag_fold(F.col("key")).alias("fold"), tag_classify(F.col("key")).alias("kind"))
+
+
+_add("tag_classify", _tags_seen, [TAGS, f"ta as (select tag from tg union select n_name from nation union select * from (values {_ODD_TAGS}))"], ", n as (select tag, trim(replace(lower(trim(tag)), '_', ' '), ' -') as normal from ta) select tag, normal, replace(replace(normal, ' ', ''), '-', '') as fold, case when regexp_full_match(normal, '(19|20)[0-9]{2}') then 'year' when regexp_full_match(normal, '(19|20)?[0-9]0''?s') then 'decade' when normal in ('suomi', 'uk') then 'place' when normal in ('seen live', 'fip') or length(normal) < 2 then 'other' else 'genre' end as kind from n")
+SEASONAL = """cv as (select artist_id, year(lday) as y, round(avg(cos(2 * pi() * (dayofyear(lday) - 1) / 365.25)), 6) as cx, round(avg(sin(2 * pi() * (dayofyear(lday) - 1) / 365.25)), 6) as cy from p group by 1, 2 having count(*) >= 3),
+cd as (select *, (case when cy < 0 then atan2(cy, cx) + 2 * pi() else atan2(cy, cx) end) * 365.25 / (2 * pi()) as own from cv),
+cm as (select artist_id, avg(cx) as mx, avg(cy) as my, count(*) as valid from cv group by 1 having count(*) >= 3),
+cf as (select artist_id, valid, round(sqrt(mx * mx + my * my), 6) as r, round((case when my < 0 then atan2(my, mx) + 2 * pi() else atan2(my, mx) end) * 365.25 / (2 * pi()), 4) as peak from cm),
+cn as (select cf.artist_id, r, peak, valid, count(*) filter (where least(abs(own - peak), 365.25 - abs(own - peak)) <= 30) as agree from cf join cd using (artist_id) where r >= 0.2 group by 1, 2, 3, 4),
+ss as (select artist_id, plays, n_years, r, peak, agree from cn join (select artist_id, count(*) as plays, count(distinct year(lday)) as n_years from p group by 1 having count(*) >= 20 and count(distinct year(lday)) >= 3) using (artist_id) where agree >= 0.6 * valid)"""
+_add("seasonal_artists", lambda x: genres.seasonal_artists(x.plays, 0.2, 20), [SEASONAL], "select * from ss")
+_add("seasonal_status", lambda x: genres.seasonal_status(genres.seasonal_artists(x.plays, 0.2, 20), x.span), [SEASONAL], """, w as (select *, greatest(7, least(60, sqrt(-2 * ln(r)) * 365.25 / (2 * pi()))) as spread, (select dayofyear(max(lday)) - 1 from p) as t from ss),
+v as (select *, least(abs(peak - t), 365.25 - abs(peak - t)) as apart, (peak - t - spread + 730.5) % 365.25 as start from w) select artist_id, case when apart <= spread then 'now' when start <= 28 then 'soon' end as status, round_even(start, 0)::int as starts_in_days from v""")
+# editions
+TITLES = """tt as (select distinct track_id, artist_id, 'Song ' || (case when track_id % 100 = 1 then 0 else track_id % 100 end) || case track_id % 100 when 1 then ' (Remastered 2011)' when 5 then ' - Live at Home' else '' end as title from p),
+atl as (select album_id, artist_id, case album_id % 100 when 0 then 'Record' when 1 then 'Record (Deluxe Edition)' else case when artist_id % 4 = 0 then 'Live Record' else 'Best of Record' end end as title from (select distinct album_id, artist_id from p where album_id is not null)),
+tk as (select *, lower(title) as tkey, lower(replace(title, ' (Remastered 2011)', '')) as ek from tt), ak as (select *, lower(title) as akey, lower(replace(title, ' (Deluxe Edition)', '')) as ek from atl)"""
+TRACK_GROUPS = """tm as (select * from tk semi join (select artist_id, ek from tk group by 1, 2 having count(distinct tkey) > 1) g using (artist_id, ek)),
+se as (select tm.artist_id, tm.ek, tm.track_id, ak.title, ak.ek as album_key from tm join (select distinct track_id, album_id from p) q on q.track_id = tm.track_id join ak on ak.album_id = q.album_id),
+an as (select distinct track_id from se semi join (select artist_id, ek, album_key from se group by all having count(distinct track_id) > 1) g using (artist_id, ek, album_key)),
+me as (select tm.*, n, an.track_id is not null as anch, other from tm join (select track_id, count(*) as n from p group by 1) c using (track_id) left join an using (track_id) left join (select track_id, bool_or(regexp_matches(title, '(?i)live')) as other from se group by 1) o using (track_id)),
+gr as (select artist_id, ek as edition_key, first(track_id order by tkey <> ek, n desc, track_id) as target_id, count(*) as versions, sum(n)::bigint as plays, bool_or(anch) as same_album, bool_or(not anch) and count(*) > 3 as many,
+  coalesce(bool_or(not anch and other), false) as other_recording, false as generic, bool_or(not anch and other is null) as no_album from me group by 1, 2)"""
+ALBUM_GROUPS = """am as (select * from ak semi join (select artist_id, ek from ak group by 1, 2 having count(distinct akey) > 1) g using (artist_id, ek)),
+sg as (select distinct am.artist_id, am.ek, am.album_id, tk.ek as song from am join p using (album_id) join tk on tk.track_id = p.track_id), sn as (select album_id, count(*) as songs from sg group by 1),
+bp as (select x.album_id, y.album_id as b, count(*) as shared from sg x join sg y on x.artist_id = y.artist_id and x.ek = y.ek and x.song = y.song and x.album_id <> y.album_id group by 1, 2),
+bb as (select bp.album_id, max(shared / least(u.songs, v.songs)) as best from bp join sn u on u.album_id = bp.album_id join sn v on v.album_id = b group by 1),
+bm as (select am.*, coalesce(n, 0) as n, coalesce(songs, 0) as songs, coalesce(best, 0) as best from am left join (select album_id, count(*) as n from p group by 1) c using (album_id) left join sn using (album_id) left join bb using (album_id)),
+gr as (select artist_id, ek as edition_key, first(album_id order by akey <> ek, n desc, album_id) as target_id, count(*) as versions, sum(n)::bigint as plays, round(min(best), 2) as overlap, min(best) >= 0.5 as same_tracks,
+  min(best) < 0.5 and count(*) > 3 as many, min(best) < 0.5 and bool_or(title ilike '%best of%') as compilation, min(best) = 0 and min(songs) >= 3 as nothing_shared from bm group by 1, 2)"""
+
+
+def _track_groups(log: PlayLog) -> DataFrame:
+    return editions.track_edition_groups(log.plays, fixtures.tracks(log), fixtures.album_titles(log))
+
+
+def _album_groups(log: PlayLog) -> DataFrame:
+    return editions.album_edition_groups(log.plays, fixtures.album_titles(log), fixtures.tracks(log))
+
+
+def _merged(log: PlayLog, groups: DataFrame, items: DataFrame, item: str) -> DataFrame:
+    return editions.merge_items(log.plays, editions.edition_rules(groups, items, item), item).select("ts", "artist_id", "track_id", "album_id")
+
+
+_add("track_edition_groups", _track_groups, [TITLES, TRACK_GROUPS], "select * from gr")
+_add("album_edition_groups", _album_groups, [TITLES, ALBUM_GROUPS], "select * from gr")
+_add("merge_tracks", lambda x: _merged(x, _track_groups(x).where("same_album"), fixtures.tracks(x), "track_id"), [TITLES, TRACK_GROUPS], ", r as (select track_id as from_id, target_id from tm join gr on gr.artist_id = tm.artist_id and edition_key = ek where same_album and track_id <> target_id) select ts, artist_id, coalesce(target_id, track_id) as track_id, min(album_id) as album_id from p left join r on from_id = track_id group by 1, 2, 3")
+_add("merge_albums", lambda x: _merged(x, _album_groups(x).where("same_tracks"), fixtures.album_titles(x), "album_id"), [TITLES, ALBUM_GROUPS], ", r as (select album_id as from_id, target_id from am join gr on gr.artist_id = am.artist_id and edition_key = ek where same_tracks and album_id <> target_id) select ts, artist_id, track_id, coalesce(target_id, album_id) as album_id from p left join r on from_id = album_id")
+# loved entries and duplicates
+ENTRIES = """le as (select lower(s_name) as artist_key, lower(title) as title_key, loved_at from lv join tt on tt.track_id = lv.track_id and tt.artist_id = lv.artist_id join supplier on s_suppkey = lv.artist_id
+  union all select lower(s_name), 'song 0 (live)', s_suppkey * 86400 from supplier where s_suppkey % 5 = 0 union all select lower(n_name), 'song 0', n_nationkey::bigint * 86400 from nation),
+lr as (select le.*, coalesce(rt.artist_id, x.artist_id, s_suppkey) as artist_id, coalesce(rt.track_id, tk.track_id, ta.track_id) as track_id from le
+  left join supplier on lower(s_name) = artist_key left join (select lower(n_name) as k, n_nationkey as artist_id from nation where n_nationkey % 2 = 0 and n_nationkey in (select s_suppkey from supplier)) x on x.k = artist_key
+  left join (select lower(s_name) as ra, 'song 0 (live)' as rk, s_suppkey * 100 as tid from supplier where s_suppkey % 20 = 0) r on ra = artist_key and rk = title_key left join tt rt on rt.track_id = tid
+  left join tk on tk.artist_id = coalesce(x.artist_id, s_suppkey) and tkey = title_key
+  left join (select s_suppkey as aid, 'song 0 (live)' as ak, s_suppkey * 100 + 3 as track_id from supplier where s_suppkey % 30 = 10) ta on aid = coalesce(x.artist_id, s_suppkey) and ta.ak = title_key)"""
+
+
+def _resolved(log: PlayLog) -> DataFrame:
+    names = log.artists.select("artist_id", F.lower("name").alias("name_key"))
+    titles = fixtures.tracks(log).select("track_id", "artist_id", F.lower("title").alias("title_key"))
+    return resolve.loved_resolve(fixtures.loved_entries(log), names, titles, fixtures.artist_aliases(log), fixtures.title_rules(log), fixtures.track_aliases(log))
+
+
+_add("loved_resolve", _resolved, [TITLES, LOVED, ENTRIES], "select * from lr", profile="supp")
+_add("unmatched_loved", lambda x: resolve.unmatched_loved(_resolved(x)), [TITLES, LOVED, ENTRIES], "select artist_key, title_key, loved_at, artist_id, case when artist_id is null then 'artist unknown' else 'title unknown' end as reason from lr where track_id is null", profile="supp")
+_add("title_suggestions", lambda x: resolve.title_suggestions(resolve.unmatched_loved(_resolved(x)), fixtures.tracks(x), x.plays), [TITLES, LOVED, ENTRIES], ", u as (select distinct artist_key, title_key, artist_id from lr where track_id is null and artist_id is not null), c as (select track_id, count(*) as plays from p group by 1), q as (select artist_key, title_key, row_number() over (partition by artist_key, title_key order by plays desc, track_id)::int as rank, track_id, plays from u join tk using (artist_id) join c using (track_id) where ek = 'song 0') select * from q where rank <= 3", profile="supp")
+_add("duplicate_candidates", lambda x: resolve.duplicate_candidates(x.artists, x.stats, fixtures.artist_info(x)), ["""dn as (select p_partkey as id, lower(p_name) as nk, 'l:' || regexp_replace(regexp_replace(replace(lower(p_name), '0', 'o'), '^the ', ''), '[^a-z0-9]', '', 'g') as a,
+  'f:' || case when p_partkey % 5 = 0 then null when p_partkey % 11 = 0 then lower(p_name) when p_partkey % 40 = 3 then split_part(lower(p_name), ' ', 1) || ' ring' end as b from part),
+de as (select distinct a as x, b as y from dn where b is not null union select distinct b, a from dn where b is not null),
+dr(key, label) as (select a, a from dn union select de.y, dr.label from dr join de on de.x = dr.key),
+dl as (select key, min(label) as label from dr group by 1),
+dg as (select id, label, coalesce(plays, 0) as plays, coalesce(b = 'f:' || nk, false) as own from dn join dl on key = a left join (select artist_id, count(*) as plays from p group by 1) c on artist_id = id)"""], "select min(id) as group_id, count(*) as artists, first(id order by not own, plays desc, id) as target_id, sum(plays)::bigint as plays from dg group by label having count(*) > 1 order by plays desc, group_id limit 100")
+ORACLES["duplicate_candidates"] = "with recursive " + ORACLES["duplicate_candidates"].removeprefix("with ")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playlog.functions.text import csv_guard, keyed, parse_date, tag_classify, tag_fold, tag_normalize
 from playlog.model import PlayLog
-from playlog.operators import cohorts, derive, editions, genres, insights, library, lookups, periods, resolve, taste, yearly
+from playlog.operators import adhoc, cohorts, derive, editions, genres, insights, library, lookups, periods, releases, resolve, taste, yearly
 from playlog.sources import fixtures
 from playlog.streaming import ingest as streams
 
@@ -442,3 +442,37 @@ dr(key, label) as (select a, a from dn union select de.y, dr.label from dr join
 dl as (select key, min(label) as label from dr group by 1),
 dg as (select id, label, coalesce(plays, 0) as plays, coalesce(b = 'f:' || nk, false) as own from dn join dl on key = a left join (select artist_id, count(*) as plays from p group by 1) c on artist_id = id)"""], "select min(id) as group_id, count(*) as artists, first(id order by not own, plays desc, id) as target_id, sum(plays)::bigint as plays from dg group by label having count(*) > 1 order by plays desc, group_id limit 100")
 ORACLES["duplicate_candidates"] = "with recursive " + ORACLES["duplicate_candidates"].removeprefix("with ")
+# releases, questions in SQL, streams
+FACTS = """rp as (select artist_id, count(*) as n from p where ts > (select hi from sp) - 365 * 86400 group by 1), lo as (select artist_id, count(distinct track_id) as n from lv group by 1),
+fc as (select c.artist_id, plays, coalesce(rp.n, 0) as recent_plays, coalesce(lo.n, 0) as loved, round(ln(1 + plays) + 1.5 * ln(1 + coalesce(rp.n, 0)) + 0.5 * least(coalesce(lo.n, 0), 6), 6) as fit
+  from (select artist_id, count(*) as plays from p group by 1 having count(*) >= 3) c left join rp on rp.artist_id = c.artist_id left join lo on lo.artist_id = c.artist_id)"""
+MATCHES = """nm as (select lower(s_name) as k, s_suppkey as artist_id from supplier union all select lower(n_name), n_nationkey from nation where n_nationkey % 2 = 0 and n_nationkey in (select s_suppkey from supplier)),
+rm as (select s_suppkey as release_id, s_suppkey as artist_id from supplier where s_suppkey % 4 = 0 and s_suppkey % 3 = 0
+  union select s_suppkey, s_suppkey from supplier where s_suppkey % 4 in (0, 1) and s_suppkey % 3 > 0 union select s_suppkey, s_suppkey from supplier where s_suppkey % 4 in (2, 3)
+  union select s_suppkey, artist_id from supplier join nm on k = 'nation_2' where s_suppkey % 4 = 3 union select 10000000 + n_nationkey, artist_id from nation join nm on k = lower(n_name))"""
+
+
+def _matches(log: PlayLog) -> DataFrame:
+    names = log.artists.select(F.lower("name").alias("name_key"), "artist_id")
+    return releases.release_match(fixtures.releases(log), names, fixtures.artist_aliases(log), fixtures.artist_ids(log))
+
+
+def _facts(log: PlayLog) -> DataFrame:
+    return releases.artist_facts(log.plays, log.stats, log.loved, log.span)
+
+
+_add("release_match", _matches, [MATCHES], "select * from rm", profile="supp")
+_add("artist_facts", _facts, [LOVED, FACTS], "select * from fc")
+_add("release_fit", lambda x: releases.release_fit(_matches(x), _facts(x)), [LOVED, FACTS, MATCHES], "select release_id, first(artist_id order by fit desc, artist_id) as artist_id, max(fit) as fit from rm join fc using (artist_id) group by 1", profile="supp")
+_ASKED = "select lwday, count(*) as plays, count(distinct artist_id) as artists from {} group by lwday"
+_add("query_sql", lambda x: adhoc.query_sql(x, _ASKED.format("plays")), [], _ASKED.format("p"))
+QUERIES["describe_schema"] = lambda spark, sf_dir: adhoc.describe_schema(PlayLog(spark, sf_dir))
+_EVENTS = "e as (select user_id as listener_id, event_type as artist, ts, (props->>'$.k')::int as track from events)"
+
+
+def _events(log: PlayLog) -> DataFrame:
+    return streams.event_plays(log.spark.read.parquet(f"{log.sf_dir}/events.parquet"))
+
+
+_add("event_first_seen", lambda x: streams.first_seen(_events(x)).select("listener_id", "artist", F.unix_seconds("at").alias("at_s")), [_EVENTS], "select listener_id, artist, floor(epoch(min(ts)))::bigint as at_s from e group by 1, 2")
+_add("event_gateway", lambda x: streams.gateways(_events(x)).select("listener_id", "artist", F.unix_seconds("at").alias("at_s"), "gateway"), [_EVENTS], ", g as (select *, case when lag(ts) over w >= ts - interval 6 hour then lag(artist) over w end as gateway, row_number() over (partition by listener_id, artist order by ts, track) as r from e window w as (partition by listener_id order by ts, artist, track)) select listener_id, artist, floor(epoch(ts))::bigint as at_s, gateway from g where r = 1")

@@ -82,3 +82,21 @@ def title_rules(log: PlayLog) -> DataFrame:
 def track_aliases(log: PlayLog) -> DataFrame:
     """(artist_id, title_key, track_id): titles that were merged into another track."""
     return log.artists.where("artist_id % 30 = 10").select("artist_id", F.lit("song 0 (live)").alias("title_key"), (F.col("artist_id") * 100 + 3).alias("track_id"))
+
+
+def artist_ids(log: PlayLog) -> DataFrame:
+    """(mbid, artist_id): ids known of every third artist."""
+    return log.artists.where("artist_id % 3 = 0").select(F.concat(F.lit("id-"), F.col("artist_id").cast("string")).alias("mbid"), "artist_id")
+
+
+def releases(log: PlayLog) -> DataFrame:
+    """(release_id, credit_key, ids, part_keys): one a supplier, by id, by name, by a namesake's id or with a second name, and one a nation."""
+    a = F.col("artist_id")
+    ids = F.when(a % 4 == 0, F.array(F.concat(F.lit("id-"), a.cast("string")))).when(a % 4 == 1, F.array(F.lit("id-of-another"))).otherwise(F.array().cast("array<string>"))
+    joint = a % 4 == 3
+    credit = F.when(joint, F.concat(F.lower("name"), F.lit(" & nation_2"))).otherwise(F.lower("name"))
+    parts = F.when(joint, F.array(F.lower("name"), F.lit("nation_2"))).otherwise(F.array().cast("array<string>"))
+    own = log.artists.select(a.alias("release_id"), credit.alias("credit_key"), ids.alias("ids"), parts.alias("part_keys"))
+    nations = log.spark.read.parquet(f"{log.sf_dir}/nation.parquet")
+    none = F.array().cast("array<string>")
+    return own.unionByName(nations.select((F.lit(10_000_000) + F.col("n_nationkey")).cast("long").alias("release_id"), F.lower("n_name").alias("credit_key"), none.alias("ids"), none.alias("part_keys")))

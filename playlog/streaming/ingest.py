@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "24 hours"
 
@@ -29,3 +34,47 @@ def read_events(spark: SparkSession, folder: str, files: str = "events*.parquet"
     """The events of a folder as a stream of files."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
+
+
+def first_seen(plays: DataFrame) -> DataFrame:
+    """(listener_id, artist, at): the first play of each artist; of a stream, the first to arrive."""
+    if plays.isStreaming:
+        return plays.select("listener_id", "artist", "at").dropDuplicates(["listener_id", "artist"])
+    return plays.groupBy("listener_id", "artist").agg(F.min("at").alias("at"))
+
+
+GAP = timedelta(hours=6)
+
+
+def _led(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """New artists of one listener in plays that arrived, each with the artist of the play before, if that is not long ago."""
+    last, at, seen = state.get if state.exists else (None, None, [])
+    known, out = set(seen), []
+    for play in pd.concat(batches).sort_values(["at", "artist", "track"]).itertuples(index=False):
+        if play.artist not in known:
+            near = at is not None and play.at - pd.Timestamp(at) <= GAP
+            out.append((key[0], play.artist, play.at, last if near else None))
+            known.add(play.artist)
+        last, at = play.artist, play.at
+    state.update((last, pd.Timestamp(at).to_pydatetime(), sorted(known)))
+    yield pd.DataFrame(out, columns=["listener_id", "artist", "at", "gateway"])
+
+
+def gateways(plays: DataFrame) -> DataFrame:
+    """(listener_id, artist, at, gateway): the first play of each artist and the artist played before it within six hours.
+
+    A stream keeps a listener's last play and the artists heard, and takes plays in the order of arrival, sorted within a batch.
+    A table is worked on by listener and day, with the last play of the day before carried in, so no listener is one task.
+    """
+    rows = plays.where("artist is not null and at is not null").select("listener_id", "artist", "track", "at")
+    if plays.isStreaming:
+        return rows.groupBy("listener_id").applyInPandasWithState(
+            _led, "listener_id long, artist string, at timestamp, gateway string", "artist string, at timestamp, seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    days = rows.withColumns({"day": F.unix_date(F.to_date("at")), "carried": F.lit(False)})
+    last = days.groupBy("listener_id", "day").agg(F.max(F.struct("at", "artist", "track")).alias("l"))
+    carry = last.select("listener_id", "l.artist", "l.track", "l.at", (F.col("day") + 1).alias("day"), F.lit(True).alias("carried"))
+    order = Window.partitionBy("listener_id", "day").orderBy("at", "artist", "track")
+    near = F.lag("at").over(order) >= F.col("at") - F.expr("interval 6 hours")
+    before = days.unionByName(carry).withColumn("gateway", F.when(near, F.lag("artist").over(order))).where("not carried")
+    first = before.groupBy("listener_id", "artist").agg(F.min(F.struct("at", "track", "gateway")).alias("f"))
+    return first.select("listener_id", "artist", "f.at", "f.gateway")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playlog.operators.library import release_friday
+
 
 def release_match(releases: DataFrame, names: DataFrame, aliases: DataFrame, ids: DataFrame) -> DataFrame:
     """(release_id, artist_id) of releases(release_id, credit_key, ids array, part_keys array): the library's artists that a credit means.
@@ -43,3 +45,45 @@ def release_fit(matches: DataFrame, facts: DataFrame) -> DataFrame:
     """(release_id, artist_id, fit): the best fitting artist of each matched release."""
     best = F.max(F.struct("fit", (-F.col("artist_id")).alias("less")))
     return matches.join(facts, "artist_id").groupBy("release_id").agg(best.alias("b")).select("release_id", (-F.col("b.less")).alias("artist_id"), "b.fit")
+
+
+KINDS = ["Album", "EP", "Single"]
+
+
+def release_merge(releases: DataFrame, matches: DataFrame) -> DataFrame:
+    """(release_id, into_id) of the wikipedia rows of releases(release_id, source, credit_key, title_key, kind, day): the listenbrainz release that each tells of.
+
+    One of the same credit and title, else of the same artists (of the credit, where none are known) and title; an album before
+    an EP, then the earlier, and never a single. A credit of which only a single has the title ends the search. Null: it stands alone.
+    """
+    # a credit has few artists, so the list of one release is short
+    whose = matches.groupBy("release_id").agg(F.array_join(F.sort_array(F.collect_set("artist_id")).cast("array<string>"), " ").alias("artists"))
+    rows = releases.join(whose, "release_id", "left").withColumn("who", F.coalesce(F.concat(F.lit("ids "), "artists"), F.concat(F.lit("name "), "credit_key")))
+    place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    best = F.min(F.when(F.col("kind") != "Single", F.struct(place.alias("p"), "day", F.col("release_id").alias("id"))))
+    listed, told = rows.where("source = 'listenbrainz'"), rows.where("source = 'wikipedia'")
+    by_credit = listed.groupBy("credit_key", "title_key").agg(best.alias("c"), F.lit(True).alias("credited"))
+    by_artist = listed.groupBy("who", "title_key").agg(best.alias("a"))
+    found = told.join(by_credit, ["credit_key", "title_key"], "left").join(by_artist, ["who", "title_key"], "left")
+    return found.select("release_id", F.when(F.col("credited"), F.col("c.id")).otherwise(F.col("a.id")).alias("into_id"))
+
+
+def upcoming_lists(releases: DataFrame, merges: DataFrame, matches: DataFrame, facts: DataFrame, start: Column, end: Column) -> DataFrame:
+    """(friday, list, release_id, fit) of the releases from start to end, merged ones left out.
+
+    mine: an artist of theirs has facts, with the best fit; also: told of by wikipedia; more: other albums and EPs. Other singles are in none.
+    """
+    folded = merges.where("into_id is not null")
+    told = folded.select(F.col("into_id").alias("release_id")).distinct().withColumn("told", F.lit(True))
+    rows = releases.where(F.col("day").between(start, end)).join(folded.select("release_id"), "release_id", "left_anti")
+    rows = rows.join(told, "release_id", "left").join(release_fit(matches, facts).select("release_id", "fit"), "release_id", "left")
+    also = F.col("told") | (F.col("source") == "wikipedia")
+    kind = F.when(F.col("fit").isNotNull(), "mine").when(also, "also").when(F.col("kind").isin("Album", "EP"), "more")
+    return rows.select(release_friday(F.col("day")).alias("friday"), kind.alias("list"), "release_id", "fit").where("list is not null")
+
+
+def upcoming_weeks(lists: DataFrame) -> DataFrame:
+    """(friday, mine, also, more, best_id): the size of each list of a week, and the release that fits best."""
+    size = lambda name: F.count_if(F.col("list") == name).alias(name)
+    best = F.max(F.when(F.col("list") == "mine", F.struct("fit", (-F.col("release_id")).alias("less"))))
+    return lists.groupBy("friday").agg(size("mine"), size("also"), size("more"), (-best["less"]).alias("best_id"))

@@ -476,3 +476,30 @@ def _events(log: PlayLog) -> DataFrame:
 
 _add("event_first_seen", lambda x: streams.first_seen(_events(x)).select("listener_id", "artist", F.unix_seconds("at").alias("at_s")), [_EVENTS], "select listener_id, artist, floor(epoch(min(ts)))::bigint as at_s from e group by 1, 2")
 _add("event_gateway", lambda x: streams.gateways(_events(x)).select("listener_id", "artist", F.unix_seconds("at").alias("at_s"), "gateway"), [_EVENTS], ", g as (select *, case when lag(ts) over w >= ts - interval 6 hour then lag(artist) over w end as gateway, row_number() over (partition by listener_id, artist order by ts, track) as r from e window w as (partition by listener_id order by ts, artist, track)) select listener_id, artist, floor(epoch(ts))::bigint as at_s, gateway from g where r = 1")
+WEEKS = """ms as (select * from rm union select 20000000 + s_suppkey, s_suppkey from supplier where s_suppkey % 5 = 0),
+rl as (select s_suppkey as release_id, s_suppkey as number, 'listenbrainz' as source, ['Album', 'EP', 'Single'][s_suppkey % 3 + 1] as kind from supplier
+  union all select 10000000 + n_nationkey, 10000000 + n_nationkey, 'listenbrainz', ['Album', 'EP', 'Single'][(10000000 + n_nationkey) % 3 + 1] from nation union all select 20000000 + s_suppkey, s_suppkey, 'wikipedia', 'Album' from supplier where s_suppkey % 5 = 0),
+rd as (select *, (select max(lday) from p) + (number * 5 % 60)::int as day from rl),
+rg as (select 20000000 + s_suppkey as release_id, case when s_suppkey % 4 <> 3 and s_suppkey % 3 <> 2 then s_suppkey end as into_id from supplier where s_suppkey % 5 = 0)"""
+
+
+def _merges(log: PlayLog) -> tuple[DataFrame, DataFrame, DataFrame]:
+    listed = fixtures.release_list(log)
+    names = log.artists.select(F.lower("name").alias("name_key"), "artist_id")
+    matches = releases.release_match(listed, names, fixtures.artist_aliases(log), fixtures.artist_ids(log))
+    return listed, matches, releases.release_merge(listed, matches)
+
+
+def _weeks(log: PlayLog) -> DataFrame:
+    listed, matches, merges = _merges(log)
+    start, end = library.release_window(F.col("day0"))
+    day = log.plays.agg(F.max("lday").alias("day0")).select(start.alias("s"), end.alias("e"))
+    inside = listed.crossJoin(F.broadcast(day))
+    return releases.upcoming_weeks(releases.upcoming_lists(inside, merges, matches, _facts(log), F.col("s"), F.col("e")))
+
+
+_add("release_merge", lambda x: _merges(x)[2], [], "select 20000000 + s_suppkey as release_id, case when s_suppkey % 4 <> 3 and s_suppkey % 3 <> 2 then s_suppkey end as into_id from supplier where s_suppkey % 5 = 0", profile="supp")
+_add("upcoming_weeks", _weeks, [LOVED, FACTS, MATCHES, WEEKS], """, f as (select release_id, max(fit) as fit from ms join fc using (artist_id) group by 1), w as (select max(lday) + ((5 - isodow(max(lday))::int + 7) % 7) as friday from p),
+l as (select day + ((5 - isodow(day)::int + 7) % 7) as friday, release_id, fit, case when fit is not null then 'mine' when source = 'wikipedia' or release_id in (select into_id from rg where into_id is not null) then 'also' when kind <> 'Single' then 'more' end as list
+  from rd left join f using (release_id) where day between (select friday - 6 from w) and (select friday + 42 from w) and release_id not in (select release_id from rg where into_id is not null))
+select friday, count(*) filter (where list = 'mine') as mine, count(*) filter (where list = 'also') as also, count(*) filter (where list = 'more') as more, first(release_id order by fit desc, release_id) filter (where list = 'mine') as best_id from l where list is not null group by 1""", profile="supp")

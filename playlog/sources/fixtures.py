@@ -100,3 +100,16 @@ def releases(log: PlayLog) -> DataFrame:
     nations = log.spark.read.parquet(f"{log.sf_dir}/nation.parquet")
     none = F.array().cast("array<string>")
     return own.unionByName(nations.select((F.lit(10_000_000) + F.col("n_nationkey")).cast("long").alias("release_id"), F.lower("n_name").alias("credit_key"), none.alias("ids"), none.alias("part_keys")))
+
+
+def release_list(log: PlayLog) -> DataFrame:
+    """releases with (title_key, kind, day, source): the above as one source lists them, and every fifth supplier's told of by another."""
+    own = releases(log).withColumns({"source": F.lit("listenbrainz"), "number": F.col("release_id")})
+    other = log.artists.where("artist_id % 5 = 0").select((F.lit(20_000_000) + F.col("artist_id")).alias("release_id"), F.lower("name").alias("credit_key"), F.col("artist_id").alias("number"))
+    none = F.array().cast("array<string>")
+    other = other.withColumns({"ids": none, "part_keys": none, "source": F.lit("wikipedia")})
+    newest = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("hi") / DAY).cast("int"))
+    kind = F.when(F.col("source") == "wikipedia", "Album").otherwise(_pick(F.col("number"), "Album", "EP", "Single"))
+    rows = own.unionByName(other).crossJoin(F.broadcast(log.span.select("hi")))
+    return rows.select("release_id", "credit_key", "ids", "part_keys", F.concat(F.lit("title "), F.col("number").cast("string")).alias("title_key"), kind.alias("kind"),
+                       F.date_add(newest, (F.col("number") * 5 % 60).cast("int")).alias("day"), "source")

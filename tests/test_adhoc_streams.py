@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import functions as F
 
 from playlog.model import PlayLog
 from playlog.operators import adhoc, releases
@@ -49,3 +50,15 @@ def test_streams_agree_with_tables(spark, tmp_path):
         query.awaitTermination(120)
         got = [tuple(r[c] for c in columns) for r in spark.table(name).collect()]
         assert len(got) == len(set(got)) and set(got) == {w[: len(columns)] for w in want}
+
+
+def test_releases_told_twice(spark):
+    rows = [(1, "listenbrainz", "a", "t", "EP"), (2, "listenbrainz", "a", "t", "Album"), (3, "listenbrainz", "b", "u", "Single"), (4, "listenbrainz", "c", "v", "Album"),
+            (11, "wikipedia", "a", "t", "Album"), (12, "wikipedia", "b", "u", "Album"), (13, "wikipedia", "C!", "v", "Album"), (14, "wikipedia", "d", "w", "Album"), (15, "wikipedia", None, None, None)]
+    df = spark.createDataFrame([(*r, datetime.date(2024, 1, 5)) for r in rows], "release_id long, source string, credit_key string, title_key string, kind string, day date")
+    matches = spark.createDataFrame([(4, 9), (13, 9)], "release_id long, artist_id long")
+    assert {r.release_id: r.into_id for r in releases.release_merge(df, matches).collect()} == {11: 2, 12: None, 13: 4, 14: None, 15: None}
+    facts = spark.createDataFrame([(9, 2.5)], "artist_id long, fit double")
+    day = F.lit("2024-01-05").cast("date")
+    lists = releases.upcoming_lists(df, releases.release_merge(df, matches), matches, facts, day, day)
+    assert {(r.release_id, r.list) for r in lists.collect()} == {(1, "more"), (2, "also"), (4, "mine"), (12, "also"), (14, "also"), (15, "also")}

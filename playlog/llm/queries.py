@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playlog.llm import archive, collocations, decontam, dialogue, langid, linededup, ngramjoin, spotsigs, substrings, tokencount, tokenfile, wordbpe
+from playlog.llm import archive, collocations, decontam, dialogue, langid, linededup, minhash, ngramjoin, spotsigs, substrings, tokencount, tokenfile, wordbpe
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(_documents(spark, sf_dir))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_documents(spark, sf_dir))
 
@@ -60,7 +64,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.restored(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_arc_to_warc, op3_substring_dedup, op4_spotsigs, op5_ngram_jaccard, op6_bpe_words, op7_line_dedup, op8_token_counts, op9_token_files, op10_language_id, op12_collocations, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_arc_to_warc, op3_substring_dedup, op4_spotsigs, op5_ngram_jaccard, op6_bpe_words, op7_line_dedup, op8_token_counts, op9_token_files, op10_language_id, op11_minhash, op12_collocations, op13_conversation_repair)}
 
 ORACLES = {
     "op2_arc_to_warc": """
@@ -151,3 +155,5 @@ select x.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint
   coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(repaired, '')) as repaired_sha256
 from (select distinct conv_id from conversations) x left join c on c.conv_id is not distinct from x.conv_id left join best b on b.conv_id is not distinct from x.conv_id left join t on t.conv_id is not distinct from x.conv_id""",
 }
+
+ORACLES["op11_minhash"] = ORACLES["op5_ngram_jaccard"].replace(">= 75 *", ">= 85 *").replace("c.component_id\nfrom", "c.component_id, d.doc_id = c.component_id as kept\nfrom")

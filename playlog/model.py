@@ -6,13 +6,14 @@ minute, and (ts, artist_id, track_id) is its identity and its order.  "Now" is t
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.store import Store, store_of
+from playlog.store import Store, snapshot, store_of
 
 ORDER = ["ts", "artist_id", "track_id"]
 
@@ -45,6 +46,13 @@ def derive():
     return module
 
 
+def rhythms():
+    """The module of genres and cycles, which itself needs this one."""
+    from playlog.operators import genres as module
+
+    return module
+
+
 def _raw(spark: SparkSession, sf_dir: str, a: str, b: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
@@ -62,33 +70,58 @@ def _raw(spark: SparkSession, sf_dir: str, a: str, b: str) -> DataFrame:
 class PlayLog:
     """The tables of one library: plays and what is known about artists, albums and loved tracks.
 
-    What is derived from the raw tables is read from the library's store, which rebuild fills.
+    What is derived from the raw tables is read from the library's store, by the version of the data it is made of.
     """
 
     spark: SparkSession
     sf_dir: str
     profile: str = "part"
+    #: Derive every table anew that is asked for.
+    anew: bool = False
 
     @property
     def store(self) -> Store:
         return store_of(self.spark, self.sf_dir, self.profile)
 
     @cached_property
-    def plays(self) -> DataFrame:
+    def version(self) -> str:
+        """Of the data that plays are made of."""
+        return snapshot(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in ("orders", "lineitem")])
+
+    @cached_property
+    def tag_version(self) -> str:
+        """Of plays and tags together."""
+        return f"{self.version}-{snapshot(self.spark, [f'{self.sf_dir}/part.parquet'])}"
+
+    def _kept(self, name: str, make: Callable[[], DataFrame], by_year: bool = False, tags: bool = False) -> DataFrame:
+        return self.store.kept(name, self.tag_version if tags else self.version, make, by_year, self.anew)
+
+    @cached_property
+    def marked(self) -> DataFrame:
+        """Plays with the breaks before them on their day: the one large table."""
         pair = ("l_partkey", "l_suppkey") if self.profile == "part" else ("l_suppkey", "l_partkey")
-        return self.store.kept("plays", lambda: ingest(_raw(self.spark, self.sf_dir, *pair)), by_year=True)
+        return self._kept("plays", lambda: derive().marked(ingest(_raw(self.spark, self.sf_dir, *pair))), by_year=True)
+
+    @cached_property
+    def days(self) -> DataFrame:
+        return self._kept("days", lambda: derive().listening_days(self.marked))
+
+    @cached_property
+    def plays(self) -> DataFrame:
+        return self.marked.drop("in_day")
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return self.store.kept("sessions", lambda: derive().sessionize(self.plays), by_year=True)
+        """Plays with session_id, numbered when they are read: days are few."""
+        return derive().numbered(self.marked, self.days)
 
     @cached_property
     def stats(self) -> DataFrame:
-        return self.store.kept("stats", lambda: derive().artist_stats(self.sessions))
+        return self._kept("stats", lambda: derive().artist_stats(self.sessions))
 
     @cached_property
     def gateway(self) -> DataFrame:
-        return self.store.kept("gateway", lambda: derive().gateway(self.sessions))
+        return self._kept("gateway", lambda: derive().gateway(self.sessions))
 
     @cached_property
     def links(self) -> DataFrame:
@@ -97,11 +130,24 @@ class PlayLog:
     @cached_property
     def weak_links(self) -> DataFrame:
         """Links down to two shared sessions."""
-        return self.store.kept("links", lambda: derive().co_links(self.sessions, min_shared=2))
+        return self._kept("links", lambda: derive().co_links(self.sessions, min_shared=2))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Plays by artist, year and bucket of every dimension of the calendar, from one pass over the log."""
+        return self._kept("counts", lambda: rhythms().calendar_counts(self.marked))
+
+    @cached_property
+    def observed(self) -> DataFrame:
+        """The same by genre. A change of tags makes this table anew and none of the others."""
+        return self._kept("observed", lambda: rhythms().observed(self.counts, rhythms().genre_shares(self.tags)), tags=True)
 
     def rebuild(self) -> DataFrame:
-        """Derive sessions, statistics, gateways and links from the plays; one row a table with its rows, and nothing volatile."""
-        tables = [("plays", self.plays), ("sessions", self.sessions), ("stats", self.stats), ("gateway", self.gateway), ("links", self.links), ("albums", self.albums), ("span", self.span)]
+        """Derive every table anew from the raw data; one row a table with its rows, and nothing volatile. Who reads the old tables is not disturbed."""
+        log = replace(self, anew=True)
+        tables = [("plays", log.plays), ("sessions", log.sessions), ("stats", log.stats), ("gateway", log.gateway), ("links", log.links), ("albums", log.albums), ("span", log.span), ("counts", log.counts)]
+        if self.profile == "part":
+            tables.append(("observed", log.observed))
         out = None
         for name, table in tables:
             row = table.agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
@@ -120,7 +166,7 @@ class PlayLog:
         day = F.date_add(F.lit("1965-01-01").cast("date"), ((F.col("album_id") * 37) % 13000).cast("int"))
         length = F.element_at(F.array(F.lit(4), F.lit(7), F.lit(10)), (F.col("album_id") % 3 + 1).cast("int"))
         known = lambda: self.plays.where("album_id is not null").select("album_id", "artist_id").distinct()
-        return self.store.kept("albums", known).withColumn("release_date", F.substring(day.cast("string"), F.lit(1), length))
+        return self._kept("albums", known).withColumn("release_date", F.substring(day.cast("string"), F.lit(1), length))
 
     @cached_property
     def tags(self) -> DataFrame:
@@ -138,4 +184,4 @@ class PlayLog:
     @cached_property
     def span(self) -> DataFrame:
         """One row: lo and hi, the oldest and newest play."""
-        return self.store.kept("span", lambda: self.plays.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")))
+        return self._kept("span", lambda: self.days.agg(F.min("first").alias("lo"), F.max("last").alias("hi")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from playlog.operators.genres import drift
+
 
 def release_mid(text: Column) -> Column:
     """Middle of a partial date: a year is 1 July, a month its 15th; other lengths give null."""
@@ -43,10 +45,9 @@ def release_year_hist(plays: DataFrame, albums: DataFrame) -> DataFrame:
 
 
 def decade_drift(plays: DataFrame, albums: DataFrame, top: int = 5) -> DataFrame:
-    rows = dated_plays(plays, albums).groupBy(F.year("lday").alias("year"), (F.floor(F.col("release_year") / 10) * 10).cast("int").alias("decade")).agg(F.sum("n").alias("n"))
-    biggest = F.broadcast(rows.groupBy("decade").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "decade").limit(top).select("decade"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("year"))
-    return rows.withColumn("share", F.round(share, 6)).join(biggest, "decade", "left_semi").select("year", "decade", "share")
+    """Per listening year the shares of the release decades that are biggest overall, and of all the others together (decade null)."""
+    rows = dated_plays(plays, albums).groupBy(F.year("lday").alias("year"), decade_of("release_year").alias("key")).agg(F.sum("n").alias("o"))
+    return drift(rows, top).withColumnRenamed("key", "decade")
 
 
 def vogue(plays: DataFrame, albums: DataFrame, span: DataFrame) -> DataFrame:

@@ -11,22 +11,36 @@ SESSION_GAP, PREHISTORY_DAYS = 1800, 30
 SESSION_ARTISTS, MIN_SHARED = 30, 3
 
 
-def sessionize(plays: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
-    """plays with session_id 1..n: a new session after more than gap seconds without a play.
+def marked(plays: DataFrame, gap: int = SESSION_GAP, by: tuple[str, ...] = ()) -> DataFrame:
+    """plays with in_day: how many breaks of more than gap seconds lie before a play on its day. A window's key is (listener, day)."""
+    day = Window.partitionBy(*by, "lday").orderBy(*ORDER)
+    away = F.coalesce(F.col("ts") - F.lag("ts").over(day) > gap, F.lit(False)).cast("long")
+    running = F.sum("__break").over(day.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return plays.drop("lyear").withColumn("__break", away).withColumn("in_day", running).drop("__break")
 
-    No global sort: breaks inside a day come from a window per day; a day's first play looks at the newest play
-    of the day before in a table of one row per day, whose running sum of breaks gives each day its offset.
-    """
-    day = Window.partitionBy("lday").orderBy(*ORDER)
-    plays = plays.drop("lyear")
-    inside = plays.withColumn("__gap", F.col("ts") - F.lag("ts").over(day)).withColumn("__break", F.coalesce(F.col("__gap") > gap, F.lit(False)).cast("long"))
-    days = inside.groupBy("lday").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum("__break").alias("breaks"))
-    order = Window.orderBy("lday")  # over one row per day
+
+def listening_days(breaks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row a listener and day of marked() plays: first and last play, breaks, plays."""
+    return breaks.groupBy(*by, "lday").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.max("in_day").alias("breaks"), F.count("*").alias("plays"))
+
+
+def numbered(breaks: DataFrame, days: DataFrame, gap: int = SESSION_GAP, by: tuple[str, ...] = ()) -> DataFrame:
+    """marked() plays with session_id 1..n of each listener: a day's first play looks at the newest play of the day before, in a
+    table of one row per listener and day, whose running sum of breaks gives each day its offset."""
+    order = Window.partitionBy(*by).orderBy("lday")  # over one row per day
     opened = days.withColumn("opens", F.coalesce(F.col("first") - F.lag("last").over(order) > gap, F.lit(True)).cast("long"))
     before = F.sum(F.col("opens") + F.col("breaks")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("breaks")
-    offsets = opened.select("lday", before.alias("__offset"))
-    running = F.sum("__break").over(day.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return inside.withColumn("__in", running).join(offsets, "lday").withColumn("session_id", F.col("__offset") + F.col("__in")).drop("__gap", "__break", "__in", "__offset")
+    offsets = opened.select(*by, "lday", before.alias("__offset"))
+    return breaks.join(offsets, [*by, "lday"]).withColumn("session_id", F.col("__offset") + F.col("in_day")).drop("__offset", "in_day")
+
+
+def sessionize(plays: DataFrame, gap: int = SESSION_GAP, by: tuple[str, ...] = ()) -> DataFrame:
+    """plays with session_id: a new session after more than gap seconds without a play, of each listener where by names who listens.
+
+    No global sort and no window wider than a listener's day; the log itself is shuffled once.
+    """
+    breaks = marked(plays, gap, by)
+    return numbered(breaks, listening_days(breaks, by), gap, by)
 
 
 def artist_stats(sessions: DataFrame) -> DataFrame:

@@ -35,11 +35,37 @@ def bucket(dim: str) -> tuple[Column, Column]:
     return year, F.floor(F.col("lhour") / 6).cast("int") if dim == "daypart" else (F.col("lwday") >= 5).cast("int")
 
 
+DIMENSIONS = ("month", "season", "daypart", "weekpart")
+
+
+def calendar_counts(plays: DataFrame) -> DataFrame:
+    """(artist_id, dim, year, bucket, n) of all dimensions: one pass over the plays to the finest cells, grouping sets over those."""
+    parts = {f"{what}_{dim}": c for dim in DIMENSIONS for what, c in zip(("year", "bucket"), bucket(dim), strict=True)}
+    finest = plays.groupBy("artist_id", *[c.alias(name) for name, c in parts.items()]).agg(F.count("*").alias("n"))
+    sets = [[F.col("artist_id"), F.col(f"year_{d}"), F.col(f"bucket_{d}")] for d in DIMENSIONS]
+    cells = finest.groupingSets(sets, F.col("artist_id"), *[F.col(name) for name in parts]).agg(F.sum("n").alias("n"))
+    which = F.coalesce(*[F.when(F.col(f"bucket_{d}").isNotNull(), d) for d in DIMENSIONS])
+    pick = lambda what: F.coalesce(*[F.col(f"{what}_{d}") for d in DIMENSIONS]).cast("int").alias(what)
+    return cells.select("artist_id", which.alias("dim"), pick("year"), pick("bucket"), "n")
+
+
 def dim_counts(plays: DataFrame, dim: str) -> DataFrame:
     year, part = bucket(dim)
     return plays.groupBy("artist_id", year.alias("year"), part.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def observed(counts: DataFrame, shares: DataFrame) -> DataFrame:
+    """(dim, year, bucket, key, o): plays of counts(artist_id, dim, year, bucket, n) dealt over the genres of their artists."""
+    return counts.join(shares, "artist_id").groupBy("dim", "year", "bucket", F.col("tag").alias("key")).agg(F.sum(F.col("n") * F.col("share")).alias("o"))
+
+
+def coverage(counts: DataFrame, shares: DataFrame) -> DataFrame:
+    """(dim, year, bucket, plays, covered): all plays of a bucket, and those of artists that have a genre."""
+    tagged = shares.select("artist_id").distinct().withColumn("has", F.lit(True))
+    by = counts.join(tagged, "artist_id", "left").groupBy("dim", "year", "bucket")
+    return by.agg(F.sum("n").alias("plays"), F.sum(F.when(F.col("has"), F.col("n")).otherwise(0)).alias("covered"))
+
+
 def lift(counts: DataFrame, shares: DataFrame, prior: float = PRIOR) -> DataFrame:
     """(bucket, key, plays, expected, lift, up, years) from counts(artist_id, year, bucket, n) and shares(artist_id, tag, share).
 
@@ -50,15 +76,16 @@ def lift(counts: DataFrame, shares: DataFrame, prior: float = PRIOR) -> DataFram
     return lift_cells(seen.groupBy("year", "bucket", F.col("tag").alias("key")).agg(F.sum(F.col("n") * F.col("share")).alias("o")), prior)
 
 
-def lift_cells(observed: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """lift from observed(year, bucket, key, o). The shares of a play sum to one, so a bucket's plays are the sum of its cells."""
+def lift_cells(observed: DataFrame, prior: float = PRIOR, least: float = MIN_EXPECTED) -> DataFrame:
+    """lift from observed(year, bucket, key, o), null where fewer than least are expected. The shares of a play sum to one, so a bucket's plays are the sum of its cells."""
     covered = observed.groupBy("year", "bucket").agg(F.round(F.sum("o")).alias("b"))
     keys = observed.groupBy("year", "key").agg(F.sum("o").alias("k"))
     grid = covered.withColumn("t", F.sum("b").over(Window.partitionBy("year"))).join(keys, "year").join(observed, ["year", "bucket", "key"], "left")
     cells = grid.select("bucket", "key", "t", F.coalesce("o", F.lit(0.0)).alias("o"), (F.col("b") * F.col("k") / F.col("t")).alias("e"))
     counted = (F.col("t") >= 200) & (F.round("e", 9) >= 3)
     by = cells.groupBy("bucket", "key").agg(F.sum("o").alias("o"), F.sum("e").alias("e"), F.count_if(counted & (F.round(F.col("o") - F.col("e"), 9) > 0)).alias("up"), F.count_if(counted).alias("years"))
-    return by.where(F.round("e", 6) >= MIN_EXPECTED).select("bucket", "key", F.round("o", 6).alias("plays"), F.round("e", 6).alias("expected"), F.round((F.col("o") + prior) / (F.col("e") + prior), 6).alias("lift"), "up", "years")
+    value = F.when(F.round("e", 6) >= least, F.round((F.col("o") + prior) / (F.col("e") + prior), 6))
+    return by.select("bucket", "key", F.round("o", 6).alias("plays"), F.round("e", 6).alias("expected"), value.alias("lift"), "up", "years")
 
 
 def season_cards(cells: DataFrame, least: float = 1.2, top: int = 4) -> DataFrame:
@@ -67,13 +94,13 @@ def season_cards(cells: DataFrame, least: float = 1.2, top: int = 4) -> DataFram
     return cells.where((F.col("lift") >= least) & (F.col("years") > 0) & (F.col("up") * 2 >= F.col("years"))).withColumn("r", rank).where(F.col("r") <= top).select("bucket", "key", "lift")
 
 
-def drift(plays: DataFrame, shares: DataFrame, top: int = 5) -> DataFrame:
-    """Per year the shares of the genres that are biggest overall."""
-    by = plays.groupBy("artist_id", F.year("lday").alias("year")).agg(F.count("*").alias("n")).join(shares, "artist_id")
-    cells = by.groupBy("year", "tag").agg(F.sum(F.col("n") * F.col("share")).alias("o"))
-    biggest = F.broadcast(cells.groupBy("tag").agg(F.round(F.sum("o"), 6).alias("s")).orderBy(F.desc("s"), "tag").limit(top).select("tag"))
-    total = cells.groupBy("year").agg(F.sum("o").alias("t"))
-    return cells.join(biggest, "tag").join(total, "year").select("year", "tag", F.round(F.col("o") / F.col("t"), 6).alias("share"))
+def drift(observed: DataFrame, top: int = 5) -> DataFrame:
+    """Per year of observed(year, key, o) the shares of the keys that are biggest overall, and of all the others together (key null)."""
+    cells = observed.groupBy("year", "key").agg(F.sum("o").alias("o"))
+    biggest = cells.groupBy("key").agg(F.round(F.sum("o"), 6).alias("s")).orderBy(F.desc("s"), "key").limit(top).select("key", F.col("key").alias("shown"))
+    rows = cells.join(F.broadcast(biggest), "key", "left").groupBy("year", "shown").agg(F.sum("o").alias("o"))
+    total = F.sum("o").over(Window.partitionBy("year"))
+    return rows.select("year", F.col("shown").alias("key"), F.round(F.col("o") / total, 6).alias("share"))
 
 
 def diversity(plays: DataFrame, shares: DataFrame, least: float = 50) -> DataFrame:

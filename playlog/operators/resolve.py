@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import difflib
-import re
-import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from playlog.functions.text import keyed, loose_key
+from playlog.functions.titles import loose_title
 from playlog.model import ingest
 from playlog.store import saved
 
@@ -117,38 +116,19 @@ def duplicate_candidates(names: DataFrame, stats: DataFrame, corrected: DataFram
     return out.select("group_id", "artists", F.col("best.id").alias("target_id"), "plays").orderBy(F.desc("plays"), "group_id").limit(limit)
 
 
-# The words that mark a version in brackets or after a dash, and those that name a guest.
-VERSIONS = ("remaster remastered remasters live version edit edited edition mix mixed mono stereo demo acoustic bonus deluxe single explicit instrumental "
-            "anniversary reissue reissued extended").split()
-GUESTS = ["feat", "ft", "featuring", "with"]
-_BRACKET = re.compile(rf"[(\[][^)\]]*\b(?:{'|'.join(VERSIONS + GUESTS)})\b[^)\]]*[)\]]")
-_TAIL = re.compile(rf"\s[-–—]\s.*\b(?:{'|'.join(VERSIONS)})\b.*$")
-_GUEST = re.compile(r"\s(?:feat\.?|ft\.|featuring)\s.*$")
-_ACCENT = re.compile("[̀-ͯ]")
-
-
-def _loose_title(title: str) -> str:
-    plain = unicodedata.normalize("NFC", _ACCENT.sub("", unicodedata.normalize("NFKD", title).casefold()))
-    for pattern, by in ((_BRACKET, " "), (_TAIL, ""), (_GUEST, "")):
-        plain = pattern.sub(by, plain)
-    return "".join(filter(str.isalnum, plain.replace("&", " and ")))
-
-
-@F.pandas_udf(StringType())
-def loose_title(titles: pd.Series) -> pd.Series:
-    """Letters and digits of titles without accents, version notes and guests."""
-    return titles.map(_loose_title, na_action="ignore")
-
-
 @F.pandas_udf(DoubleType())
-def likeness(wanted: pd.Series, have: pd.Series) -> pd.Series:
-    """2 for equal loose titles, 0 for those that differ in digits alone, else the ratio of their matching blocks."""
-    def one(a: str, b: str) -> float:
-        if a == b:
-            return 2.0
-        return 0.0 if re.sub(r"\d", "", a) == re.sub(r"\d", "", b) else difflib.SequenceMatcher(None, a, b).ratio()
-
-    return pd.Series([one(a, b) for a, b in zip(wanted, have, strict=True)], dtype="float64")
+def block_ratio(wanted: pd.Series, have: pd.Series) -> pd.Series:
+    """Letters in matching blocks of two texts, as a part of all letters."""
+    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(wanted, have, strict=True)], dtype="float64")
+
+
+def likeness(wanted: Column | str, have: Column | str) -> Column:
+    """2 for equal loose titles, 0 for those that differ in digits alone, else the ratio of their matching blocks. Only the last leaves the JVM."""
+    wanted, have = (F.col(x) if isinstance(x, str) else x for x in (wanted, have))
+    letters = lambda x: F.regexp_replace(x, r"(?U)\d", "")
+    other = (wanted != have) & (letters(wanted) != letters(have))
+    ratio = block_ratio(F.when(other, wanted).otherwise(""), F.when(other, have).otherwise(""))
+    return F.when(wanted == have, 2.0).when(other, ratio).otherwise(0.0)
 
 
 def title_suggestions(unmatched: DataFrame, tracks: DataFrame, plays: DataFrame, least: float = 0.8, top: int = 3) -> DataFrame:

@@ -73,6 +73,10 @@ def _shares(log: PlayLog) -> DataFrame:
     return genres.genre_shares(log.tags)
 
 
+def _cells(log: PlayLog, dim: str) -> DataFrame:
+    return genres.lift_cells(log.observed.where(F.col("dim") == dim).drop("dim"))
+
+
 # derived tables
 _add("sessionize", lambda x: _sessions(x).select("ts", "artist_id", "track_id", "session_id"), [SESSIONS], "select ts, artist_id, track_id, session_id from s")
 _add("recompute_local_time", lambda x: x.plays.select("ts", "artist_id", "track_id", "lday", "lhour", "lwday"), [], "select ts, artist_id, track_id, lday, lhour, lwday from p")
@@ -114,7 +118,8 @@ w as (select *, sum(n) over (partition by year) as iy, sum(n) over (partition by
 select year, artist_id, n as plays, round((n / iy) / (ever / t), 6) as lift from w where n >= greatest(10, iy * 0.005)
 qualify row_number() over (partition by year order by round((n / iy) / (ever / t), 6) desc, n desc, artist_id) = 1""", profile="supp")
 _add("recent", lambda x: periods.recent(x.plays), [], "select ts, artist_id, track_id, album_id from p order by ts desc, artist_id desc, track_id desc limit 50")
-_add("binges", lambda x: periods.binges(x.plays, 3), [], "select lday, track_id, count(*) as plays from p group by 1, 2 having count(*) >= 3", profile="supp")
+_add("binges", lambda x: periods.binges(x.plays), [], "select lday, track_id, count(*) as plays from p group by 1, 2 having count(*) >= 5", profile="supp")
+_add("binges_relaxed", lambda x: periods.binges(x.plays, 3), [], "select lday, track_id, count(*) as plays from p group by 1, 2 having count(*) >= 3", profile="supp")
 _add("one_track", lambda x: periods.one_track(x.plays), [], """, b as (select artist_id, track_id, count(*) as n from p group by 1, 2),
 t as (select artist_id, sum(n)::bigint as plays, arg_max(track_id, n * 1000000000 - track_id) as track_id, max(n) as top_plays from b group by 1)
 select *, top_plays / plays as share from t where plays >= 15 and round(top_plays / plays, 9) >= 0.75""")
@@ -143,11 +148,18 @@ _add("gateways", lambda x: insights.gateways(_stats(x), x.gateway), [SESSIONS, S
 _add("led_to", lambda x: x.gateway.where("gateway_id = 1").select("artist_id"), [SESSIONS, GATEWAY], "select artist_id from gt where gateway_id = 1")
 _add("love_timing", _timing, [LOVED, TIMING], "select * from lt")
 _add("instant_love", lambda x: insights.instant_love(_timing(x), x.span), [LOVED, TIMING], "select track_id, loved_at, plays_before from lt, sp where plays_before <= 2 and loved_at >= first_ts - 86400 and first_ts >= lo + 30 * 86400")
-_add("slow_burners", lambda x: insights.slow_burners(_timing(x), 5), [LOVED, TIMING], "select track_id, loved_at, plays_before from lt where plays_before >= 5", profile="supp")
+_add("slow_burners", lambda x: insights.slow_burners(_timing(x)), [LOVED, TIMING], "select track_id, loved_at, plays_before from lt where plays_before >= 10", profile="supp")
+_add("slow_burners_relaxed", lambda x: insights.slow_burners(_timing(x), 5), [LOVED, TIMING], "select track_id, loved_at, plays_before from lt where plays_before >= 5", profile="supp")
 _add("loved_left", lambda x: insights.loved_left(_timing(x), x.span), [LOVED, TIMING], "select track_id, plays, last_ts from lt, sp where last_ts < hi - 365 * 86400")
 _add("unloved", lambda x: insights.unloved(x.plays, x.loved), [LOVED], "select track_id, count(*) as plays from p where track_id not in (select track_id from lv) and exists (from lv) group by 1 order by plays desc, track_id limit 50")
 _add("loved_by_artist", lambda x: insights.loved_by_artist(x.loved), [LOVED], "select artist_id, count(*) as loved, 1 + 0.5::double * least(count(*), 4) as boost from lv group by 1")
-_add("rediscover", lambda x: insights.rediscover(x.plays, x.weak_links, x.loved, x.span), [SESSIONS, LINKS, LOVED], """, c as (select artist_id as core_id from p, sp where ts > hi - 90 * 86400 group by 1 order by count(*) desc, artist_id limit 20),
+_add("rediscover", lambda x: insights.rediscover(x.plays, x.links, x.loved, x.span), [SESSIONS, LINKS, LOVED], """, c as (select artist_id as core_id from p, sp where ts > hi - 90 * 86400 group by 1 order by count(*) desc, artist_id limit 20),
+q as (select artist_id, count(*) as plays, max(ts) as last_ts from p group by 1), l as (select artist_id, count(*) as loved from lv group by 1),
+z as (select q.artist_id, plays, coalesce(loved, 0) as loved from q left join l using (artist_id), sp where last_ts < hi - 365 * 86400 and (plays >= 5 or coalesce(loved, 0) > 0)),
+bo as (select a as artist_id, b as core_id, score from lk union all select b, a, score from lk),
+n as (select artist_id, sum(score) as link from bo where core_id in (from c) group by 1)
+select artist_id, plays, loved, round(link * ln(1 + plays) * (1 + 0.5::double * case when plays < 5 then least(loved, 1) else least(loved, 4) end), 6) as rank from n join z using (artist_id) order by rank desc, artist_id limit 50""", least=3)
+_add("rediscover_relaxed", lambda x: insights.rediscover(x.plays, x.weak_links, x.loved, x.span), [SESSIONS, LINKS, LOVED], """, c as (select artist_id as core_id from p, sp where ts > hi - 90 * 86400 group by 1 order by count(*) desc, artist_id limit 20),
 q as (select artist_id, count(*) as plays, max(ts) as last_ts from p group by 1), l as (select artist_id, count(*) as loved from lv group by 1),
 z as (select q.artist_id, plays, coalesce(loved, 0) as loved from q left join l using (artist_id), sp where last_ts < hi - 365 * 86400 and (plays >= 5 or coalesce(loved, 0) > 0)),
 bo as (select a as artist_id, b as core_id, score from lk union all select b, a, score from lk),
@@ -176,13 +188,16 @@ ob as (select year, bucket, tag as key, sum(n * share) as o from dc join sh usin
 cv as (select year, bucket, sum(n) as b from dc where artist_id in (select artist_id from sh) group by 1, 2),
 kk as (select year, key, sum(o) as k from ob group by 1, 2),
 ce as (select cv.bucket, kk.key, t, coalesce(o, 0) as o, b * k / t as e from (select *, sum(b) over (partition by year) as t from cv) cv join kk on kk.year = cv.year left join ob on ob.year = cv.year and ob.bucket = cv.bucket and ob.key = kk.key),
-lf as (select bucket, key, round(sum(o), 6) as plays, round(sum(e), 6) as expected, round((sum(o) + 20) / (sum(e) + 20), 6) as lift, count(*) filter (where t >= 200 and round(e, 9) >= 3 and round(o - e, 9) > 0) as up, count(*) filter (where t >= 200 and round(e, 9) >= 3) as years from ce group by 1, 2 having round(sum(e), 6) >= 30)"""
+lf as (select bucket, key, round(sum(o), 6) as plays, round(sum(e), 6) as expected, case when round(sum(e), 6) >= 30 then round((sum(o) + 20) / (sum(e) + 20), 6) end as lift, count(*) filter (where t >= 200 and round(e, 9) >= 3 and round(o - e, 9) > 0) as up, count(*) filter (where t >= 200 and round(e, 9) >= 3) as years from ce group by 1, 2)"""
+for _dim, (_y, _b) in _BUCKETS.items():
+    _add(f"lift_{_dim}", lambda x, d=_dim: _cells(x, d), [TAGS, LIFT.replace("{y}", _y).replace("{b}", _b)], "select * from lf")
+    _add(f"dim_counts_{_dim}", lambda x, d=_dim: x.counts.where(F.col("dim") == d).drop("dim"), [], f"select artist_id, ({_y})::int as year, ({_b})::int as bucket, count(*) as n from p group by 1, 2, 3")
+_add("season_cards", lambda x: genres.season_cards(_cells(x, "season")), [TAGS, LIFT.replace("{y}", _BUCKETS["season"][0]).replace("{b}", _BUCKETS["season"][1])], "select bucket, key, lift from lf where lift >= 1.2 and years > 0 and up * 2 >= years qualify row_number() over (partition by bucket order by lift desc, key) <= 4")
+_add("season_cards_relaxed", lambda x: genres.season_cards(_cells(x, "season"), 1.02), [TAGS, LIFT.replace("{y}", _BUCKETS["season"][0]).replace("{b}", _BUCKETS["season"][1])], "select bucket, key, lift from lf where lift >= 1.02 and years > 0 and up * 2 >= years qualify row_number() over (partition by bucket order by lift desc, key) <= 4")
+_add("drift", lambda x: genres.drift(x.observed.where("dim = 'month'")), [TAGS], """, c as (select year(lday)::int as year, tag, sum(share) as o from p join sh using (artist_id) group by 1, 2),
+t as (select tag from c group by 1 order by round(sum(o), 6) desc, tag limit 5), k as (select year, t.tag as key, sum(o) as o from c left join t on t.tag = c.tag group by 1, 2) select year, key, round(o / sum(o) over (partition by year), 6) as share from k""")
 for _dim, (_y, _b) in _BUCKETS.items():
-    _add(f"lift_{_dim}", lambda x, d=_dim: genres.lift(genres.dim_counts(x.plays, d), _shares(x)), [TAGS, LIFT.replace("{y}", _y).replace("{b}", _b)], "select * from lf")
-    _add(f"dim_counts_{_dim}", lambda x, d=_dim: genres.dim_counts(x.plays, d), [], f"select artist_id, ({_y})::int as year, ({_b})::int as bucket, count(*) as n from p group by 1, 2, 3")
-_add("season_cards", lambda x: genres.season_cards(genres.lift(genres.dim_counts(x.plays, "season"), _shares(x)), 1.02), [TAGS, LIFT.replace("{y}", _BUCKETS["season"][0]).replace("{b}", _BUCKETS["season"][1])], "select bucket, key, lift from lf where lift >= 1.02 and years > 0 and up * 2 >= years qualify row_number() over (partition by bucket order by lift desc, key) <= 4")
-_add("drift", lambda x: genres.drift(x.plays, _shares(x)), [TAGS], """, c as (select year(lday)::int as year, tag, sum(share) as o from p join sh using (artist_id) group by 1, 2),
-t as (select tag from c group by 1 order by round(sum(o), 6) desc, tag limit 5) select year, tag, round(o / sum(o) over (partition by year), 6) as share from c qualify tag in (from t)""")
+    _add(f"spread_{_dim}", lambda x, d=_dim: genres.coverage(x.counts.where(F.col("dim") == d), _shares(x)).drop("dim"), [TAGS], f"select ({_y})::int as year, ({_b})::int as bucket, count(*) as plays, count(*) filter (where artist_id in (select artist_id from sh)) as covered from p group by 1, 2")
 _add("diversity", lambda x: genres.diversity(x.plays, _shares(x)), [TAGS], """, c as (select date_trunc('month', lday)::date as month, tag, sum(share) as o from p join sh using (artist_id) group by 1, 2),
 q as (select *, o / sum(o) over (partition by month) as q, sum(o) over (partition by month) as t from c) select month, round(exp(-sum(q * ln(q))), 6) as diversity from q where round(t, 6) >= 50 group by 1""")
 _add("circ_year_vectors", lambda x: genres.circ_year_vectors(x.plays), [], "select artist_id, year(lday)::int as year, count(*) as n, round(avg(cos(2 * pi() * (dayofyear(lday) - 1) / 365.25)), 6) as x, round(avg(sin(2 * pi() * (dayofyear(lday) - 1) / 365.25)), 6) as y from p group by 1, 2 having count(*) >= 3")
@@ -190,7 +205,7 @@ _add("circ_year_vectors", lambda x: genres.circ_year_vectors(x.plays), [], "sele
 _add("decade_overview", lambda x: cohorts.decade_overview(x.plays, x.albums), [ALBUMS], "select (ry // 10 * 10)::int as decade, sum(n)::bigint as plays, count(distinct album_id) as albums, round(sum(n) / (select sum(n) from dp), 6) as share from dp group by 1")
 _add("release_year_hist", lambda x: cohorts.release_year_hist(x.plays, x.albums), [ALBUMS], "select y::int as release_year, coalesce((select sum(n) from dp where ry = y), 0)::bigint as plays from range((select min(ry) from dp), (select max(ry) + 1 from dp)) r(y)")
 _add("decade_drift", lambda x: cohorts.decade_drift(x.plays, x.albums), [ALBUMS], """, c as (select year(lday)::int as year, (ry // 10 * 10)::int as decade, sum(n) as n from dp group by 1, 2), t as (select decade from c group by 1 order by sum(n) desc, decade limit 5)
-select year, decade, round(n / sum(n) over (partition by year), 6) as share from c qualify decade in (from t)""")
+select year, t.decade, round(sum(n) / sum(sum(n)) over (partition by year), 6) as share from c left join t on t.decade = c.decade group by 1, 2""")
 _add("vogue", lambda x: cohorts.vogue(x.plays, x.albums, x.span), [ALBUMS], """, c as (select (ry // 10 * 10)::int as decade, coalesce(sum(n) filter (where (select max(lday) from p) - lday < 365), 0) as o, coalesce(sum(n) filter (where (select max(lday) from p) - lday >= 365), 0) as b from dp group by 1),
 e as (select *, sum(o) over () * b / sum(b) over () as e, sum(o) over () as t from c) select decade, o::bigint as plays, round(e, 6) as expected, round((o + 20) / (e + 20), 6) as lift from e where t >= 50 and round(e + o, 6) >= 10""")
 AGE = "greatest(0, lday - mid)"
@@ -211,7 +226,8 @@ _add("repeat_day", lambda x: yearly.repeat_day(x.plays, YEAR), [], f"select lday
 _add("archetypes", lambda x: yearly.archetypes(x.plays, _stats(x), YEAR), [SESSIONS, STATS], f", y as (select * from p where year(lday) = {YEAR}), f as (select artist_id from st where year(first_lday) = {YEAR} and prehistory = 0) select count(*) as plays, count(*) filter (where artist_id in (from f)) / count(*) as explorer, (select sum(n) from (select count(*) as n from y group by artist_id order by n desc, artist_id limit 10)) / count(*) as loyalist, count(*) filter (where lhour < 6) / count(*) as night_owl, count(*) filter (where lhour between 6 and 9) / count(*) as early_bird from y")
 _add("one_song", lambda x: yearly.one_song(x.plays, YEAR), [], f", c as (select artist_id, count(distinct track_id) as t, count(*) as n from p where year(lday) = {YEAR} group by 1) select count(*) filter (where t = 1 and n <= 3) as artists, count(*) as of_artists from c")
 _add("gap_genres", lambda x: yearly.gap_genres(x.plays, x.loved, _shares(x)), [LOVED, TAGS], ", q as (select artist_id, count(*) as n from p group by 1), l as (select artist_id, count(*) as l from lv group by 1), c as (select tag, sum(n * share) as p, sum(coalesce(l, 0) * share) as l from q left join l using (artist_id) join sh using (artist_id) group by 1), e as (select *, sum(l) over () * p / sum(p) over () as e from c) select tag, round(l, 6) as loved, round(e, 6) as expected, round((l + 5) / (e + 5), 6) as ratio from e")
-_add("gap_artists", lambda x: yearly.gap_artists(x.plays, x.loved, 1), [LOVED], ", q as (select artist_id, count(*) as plays from p group by 1), l as (select artist_id, count(*) as loved from lv group by 1), c as (select artist_id, plays, coalesce(loved, 0) as loved from q left join l using (artist_id)), e as (select *, sum(loved) over () * plays / sum(plays) over () as e from c) select artist_id, plays, loved::bigint as loved, round(e, 6) as expected, round((loved + 2) / (e + 2), 6) as ratio from e where loved >= 1 or round(e, 6) >= 1", profile="supp")
+_add("gap_artists", lambda x: yearly.gap_artists(x.plays, x.loved), [LOVED], ", q as (select artist_id, count(*) as plays from p group by 1), l as (select artist_id, count(*) as loved from lv group by 1), c as (select artist_id, plays, coalesce(loved, 0) as loved from q left join l using (artist_id)), e as (select *, sum(loved) over () * plays / sum(plays) over () as e from c) select artist_id, plays, loved::bigint as loved, round(e, 6) as expected, round((loved + 2) / (e + 2), 6) as ratio from e where loved >= 3 or round(e, 6) >= 3", profile="supp")
+_add("gap_artists_relaxed", lambda x: yearly.gap_artists(x.plays, x.loved, 1), [LOVED], ", q as (select artist_id, count(*) as plays from p group by 1), l as (select artist_id, count(*) as loved from lv group by 1), c as (select artist_id, plays, coalesce(loved, 0) as loved from q left join l using (artist_id)), e as (select *, sum(loved) over () * plays / sum(plays) over () as e from c) select artist_id, plays, loved::bigint as loved, round(e, 6) as expected, round((loved + 2) / (e + 2), 6) as ratio from e where loved >= 1 or round(e, 6) >= 1", profile="supp")
 # names and rules
 _add("norm_key", lambda x: keyed(x.artists, "name").select("artist_id", "key"), [], "select p_partkey as artist_id, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) as key from part")
 _add("csv_guard", lambda x: x.spark.read.parquet(f"{x.sf_dir}/customer.parquet").select("c_custkey", csv_guard(F.col("c_acctbal").cast("decimal(14,2)").cast("string")).alias("cell"), csv_guard(F.col("c_name")).alias("name")), [], "select c_custkey, case when c_acctbal < 0 then '''' else '' end || c_acctbal::decimal(14,2)::varchar as cell, c_name as name from customer")
@@ -232,8 +248,10 @@ c as (select n_name as candidate from nation union select upper(p_name) from par
 _add("event_sessions", lambda x: streams.sessions(streams.event_plays(x.spark.read.parquet(f"{x.sf_dir}/events.parquet"))).select("listener_id", F.unix_seconds("start_ts").alias("start_s"), "plays"), [], """, e as (select user_id as listener_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hour then 0 else 1 end as b from events),
 i as (select *, sum(b) over (partition by listener_id order by ts rows unbounded preceding) as g from e) select listener_id, floor(epoch(min(ts)))::bigint as start_s, count(*) as plays from i group by listener_id, g""")
 # the stored library
-_add("rebuild", lambda x: x.rebuild(), [SESSIONS, STATS, GATEWAY, LINKS, ALBUMS], """, r as (select 'plays' as t, count(*) as n from p union all select 'sessions', count(*) from s union all select 'stats', count(*) from st
-union all select 'gateway', count(*) from gt union all select 'links', count(*) from lk where shared >= 3 union all select 'albums', count(*) from al union all select 'span', 1) select t as table, n as rows from r""", least=2)
+_CELLS = " union all ".join(f"select distinct '{d}' as dim, ({y})::int as year, ({b})::int as bucket, artist_id from p" for d, (y, b) in _BUCKETS.items())
+_add("rebuild", lambda x: x.rebuild(), [SESSIONS, STATS, GATEWAY, LINKS, ALBUMS, TAGS, f"cb as ({_CELLS})"], """, r as (select 'plays' as t, count(*) as n from p union all select 'sessions', count(*) from s union all select 'stats', count(*) from st
+union all select 'gateway', count(*) from gt union all select 'links', count(*) from lk where shared >= 3 union all select 'albums', count(*) from al union all select 'span', 1 union all select 'counts', count(*) from cb
+union all select 'observed', count(*) from (select distinct dim, year, bucket, tag from cb join sh using (artist_id))) select t as table, n as rows from r""", least=2)
 # summaries, cards, lists and pages
 FROM, TO = "1996-01-01", "1996-06-30"
 _add("clip_range", lambda x: library.clip_range(x.plays, "1990-01-01", "1995-06-30"), [], "select greatest(date '1990-01-01', min(lday)) as start_day, least(date '1995-06-30', max(lday)) as end_day, greatest(date '1990-01-01', min(lday)) > least(date '1995-06-30', max(lday)) as empty from p")
@@ -303,11 +321,12 @@ select decade, loved, round(tl * plays / tp, 6) as expected, round((loved + 5) /
 _add("sparse_cosine", lambda x: taste.sparse_cosine(_shares(x), 7), [TAGS], ", o as (select tag, share as w from sh where artist_id = 7), n as (select artist_id, sqrt(sum(share * share)) as norm from sh group by 1), d as (select artist_id, sum(share * w) as dot from sh join o using (tag) where artist_id <> 7 group by 1) select artist_id, round(dot / (norm * (select norm from n where artist_id = 7)), 6) as cosine from d join n using (artist_id)")
 _add("album_overlap", lambda x: taste.overlap(x.plays.where("album_id is not null").select("artist_id", "album_id", "track_id")), [], ", o as (select distinct artist_id, album_id, track_id from p where album_id is not null), z as (select album_id, count(*) as n from o group by 1), q as (select x.album_id as a, y.album_id as b, count(*) as shared from o x join o y on x.artist_id = y.artist_id and x.track_id = y.track_id and x.album_id < y.album_id group by 1, 2) select a, b, shared, round(shared / least(u.n, v.n), 6) as overlap from q join z u on u.album_id = a join z v on v.album_id = b")
 # rhythms
-_add("season_artists", lambda x: genres.season_artists(x.plays, lift_least=1.02), ["own as (select artist_id from p group by 1 having count(*) >= 30), sh as (select artist_id, artist_id as tag, 1.0::double as share from own)", LIFT.replace("{y}", _BUCKETS["season"][0]).replace("{b}", _BUCKETS["season"][1])], "select bucket, key as artist_id, lift from lf where plays >= 30 and lift >= 1.02 and years > 0 and up * 2 >= years qualify row_number() over (partition by bucket order by lift desc, key) <= 5", profile="supp")
+_add("season_artists", lambda x: genres.season_artists(x.plays), ["own as (select artist_id from p group by 1 having count(*) >= 30), sh as (select artist_id, artist_id as tag, 1.0::double as share from own)", LIFT.replace("{y}", _BUCKETS["season"][0]).replace("{b}", _BUCKETS["season"][1])], "select bucket, key as artist_id, lift from lf where plays >= 30 and lift >= 1.3 and years > 0 and up * 2 >= years qualify row_number() over (partition by bucket order by lift desc, key) <= 5", profile="supp")
+_add("season_artists_relaxed", lambda x: genres.season_artists(x.plays, lift_least=1.02), ["own as (select artist_id from p group by 1 having count(*) >= 30), sh as (select artist_id, artist_id as tag, 1.0::double as share from own)", LIFT.replace("{y}", _BUCKETS["season"][0]).replace("{b}", _BUCKETS["season"][1])], "select bucket, key as artist_id, lift from lf where plays >= 30 and lift >= 1.02 and years > 0 and up * 2 >= years qualify row_number() over (partition by bucket order by lift desc, key) <= 5", profile="supp")
 _add("season_artists_default", lambda x: genres.season_artists(x.plays), ["own as (select artist_id from p group by 1 having count(*) >= 30), sh as (select artist_id, artist_id as tag, 1.0::double as share from own)", LIFT.replace("{y}", _BUCKETS["season"][0]).replace("{b}", _BUCKETS["season"][1])], "select bucket, key as artist_id, lift from lf where plays >= 30 and lift >= 1.3 and years > 0 and up * 2 >= years qualify row_number() over (partition by bucket order by lift desc, key) <= 5", profile="supp")
 _MONTHS = LIFT.replace("{y}", _BUCKETS["month"][0]).replace("{b}", _BUCKETS["month"][1])
-_add("tag_months", lambda x: genres.tag_months(genres.lift(genres.dim_counts(x.plays, "month"), _shares(x)), "ECONOMY"), [TAGS, _MONTHS], "select m::int as month, lift, plays from range(1, 13) r(m) left join lf on bucket = m and key = 'ECONOMY' where exists (from lf where key = 'ECONOMY')")
-_add("matrix", lambda x: genres.matrix(genres.lift(genres.dim_counts(x.plays, "month"), _shares(x))), [TAGS, _MONTHS], "select key, bucket, lift from lf where key in (select key from lf group by 1 order by round(sum(plays), 4) desc, key limit 12)")
+_add("tag_months", lambda x: genres.tag_months(_cells(x, "month"), "ECONOMY"), [TAGS, _MONTHS], "select m::int as month, lift, plays from range(1, 13) r(m) left join lf on bucket = m and key = 'ECONOMY' where exists (from lf where key = 'ECONOMY')")
+_add("matrix", lambda x: genres.matrix(_cells(x, "month")), [TAGS, _MONTHS], "select key, bucket, lift from lf where key in (select key from lf group by 1 order by round(sum(plays), 4) desc, key limit 12)")
 _add("diversity_by_month", lambda x: genres.diversity_by_month(genres.diversity(x.plays, _shares(x))), [TAGS], """, c as (select date_trunc('month', lday)::date as month, tag, sum(share) as o from p join sh using (artist_id) group by 1, 2),
 q as (select *, o / sum(o) over (partition by month) as q, sum(o) over (partition by month) as t from c), d as (select month, round(exp(-sum(q * ln(q))), 6) as diversity from q where round(t, 6) >= 50 group by 1) select month(month)::int as month, round(avg(diversity), 5) as diversity, count(*) as months from d group by 1""")
 # decades
@@ -333,7 +352,7 @@ g as (select y.year, k.decade, coalesce(o, 0) as o, t * n / covered as e from (s
 for _dim in ("season", "daypart", "weekpart"):
     _y, _b = _BUCKETS[_dim]
     _add(f"decade_lift_{_dim}", lambda x, d=_dim: genres.lift_cells(cohorts.decade_observed(x.plays, x.albums, *genres.bucket(d))), [ALBUMS, f"od as (select ({_y})::int as year, ({_b})::int as bucket, (ry // 10 * 10)::int as key, count(*) as o from p join ad on ad.album_id = p.album_id group by 1, 2, 3)", """cv as (select year, bucket, sum(o) as b from od group by 1, 2), kk as (select year, key, sum(o) as k from od group by 1, 2),
-ce as (select cv.bucket, kk.key, t, coalesce(o, 0) as o, b * k / t as e from (select *, sum(b) over (partition by year) as t from cv) cv join kk on kk.year = cv.year left join od on od.year = cv.year and od.bucket = cv.bucket and od.key = kk.key)"""], "select bucket, key, round(sum(o)::double, 6) as plays, round(sum(e), 6) as expected, round((sum(o) + 20) / (sum(e) + 20), 6) as lift, count(*) filter (where t >= 200 and round(e, 9) >= 3 and round(o - e, 9) > 0) as up, count(*) filter (where t >= 200 and round(e, 9) >= 3) as years from ce group by 1, 2 having round(sum(e), 6) >= 30")
+ce as (select cv.bucket, kk.key, t, coalesce(o, 0) as o, b * k / t as e from (select *, sum(b) over (partition by year) as t from cv) cv join kk on kk.year = cv.year left join od on od.year = cv.year and od.bucket = cv.bucket and od.key = kk.key)"""], "select bucket, key, round(sum(o)::double, 6) as plays, round(sum(e), 6) as expected, case when round(sum(e), 6) >= 30 then round((sum(o) + 20) / (sum(e) + 20), 6) end as lift, count(*) filter (where t >= 200 and round(e, 9) >= 3 and round(o - e, 9) > 0) as up, count(*) filter (where t >= 200 and round(e, 9) >= 3) as years from ce group by 1, 2")
 MIX = """mx as (select (ry // 10 * 10)::int as decade, tag, sum(n * share) as o from dp join sh using (artist_id) group by 1, 2), de as (select decade, sum(o) as d from mx group by 1), gn as (select tag, sum(o) as g from mx group by 1),
 gd as (select de.decade, gn.tag, coalesce(o, 0) as o, d * g / (select sum(o) from mx) as e from de cross join gn left join mx on mx.decade = de.decade and mx.tag = gn.tag),
 gb as (select decade, tag, round(o, 6) as plays, round(e, 6) as expected, case when round(e, 6) >= 30 then round((o + 20) / (e + 20), 6) end as lift from gd)"""
@@ -378,7 +397,8 @@ cm as (select artist_id, avg(cx) as mx, avg(cy) as my, count(*) as valid from cv
 cf as (select artist_id, valid, round(sqrt(mx * mx + my * my), 6) as r, round((case when my < 0 then atan2(my, mx) + 2 * pi() else atan2(my, mx) end) * 365.25 / (2 * pi()), 4) as peak from cm),
 cn as (select cf.artist_id, r, peak, valid, count(*) filter (where least(abs(own - peak), 365.25 - abs(own - peak)) <= 30) as agree from cf join cd using (artist_id) where r >= 0.2 group by 1, 2, 3, 4),
 ss as (select artist_id, plays, n_years, r, peak, agree from cn join (select artist_id, count(*) as plays, count(distinct year(lday)) as n_years from p group by 1 having count(*) >= 20 and count(distinct year(lday)) >= 3) using (artist_id) where agree >= 0.6 * valid)"""
-_add("seasonal_artists", lambda x: genres.seasonal_artists(x.plays, 0.2, 20), [SEASONAL], "select * from ss")
+_add("seasonal_artists_relaxed", lambda x: genres.seasonal_artists(x.plays, 0.2, 20), [SEASONAL], "select * from ss")
+_add("seasonal_artists", lambda x: genres.seasonal_artists(x.plays), [SEASONAL.replace("r >= 0.2", "r >= 0.5").replace("count(*) >= 20", "count(*) >= 30")], "select * from ss")
 _add("seasonal_status", lambda x: genres.seasonal_status(genres.seasonal_artists(x.plays, 0.2, 20), x.span), [SEASONAL], """, w as (select *, greatest(7, least(60, sqrt(-2 * ln(r)) * 365.25 / (2 * pi()))) as spread, (select dayofyear(max(lday)) - 1 from p) as t from ss),
 v as (select *, least(abs(peak - t), 365.25 - abs(peak - t)) as apart, (peak - t - spread + 730.5) % 365.25 as start from w) select artist_id, case when apart <= spread then 'now' when start <= 28 then 'soon' end as status, round_even(start, 0)::int as starts_in_days from v""")
 # editions

@@ -1,21 +1,22 @@
-"""The stored tables of a play log: what rebuild derives once and every query reads.
+"""The stored tables of a play log: what is derived once and every query reads, kept by the version of the data below it.
 
-Plays and sessions are parquet partitioned by the local year of the play; statistics, gateways, links and albums
-lie beside them.  A table is written when it is first asked for, and never changed: a rebuild is a new folder.
+A table lies in ``<name>/<version>.<number>`` below the library's folder.  The version is a digest of the files that the table is made
+of (names, sizes, times of change), so changed input gives another table, and a change of tags leaves tables alone that are made of plays only.
+Tables are never changed in place: a rebuild writes the next number, readers take the highest that is complete (it has ``_SUCCESS``),
+and what a failed write leaves is never read.  Another application finds the tables of an earlier one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_stores: dict[tuple[str, ...], Store] = {}
-
 
 def base_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which all machines share; a folder of this machine only where a local master has none."""
@@ -28,41 +29,83 @@ def base_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _files(spark: SparkSession, folder: str) -> list:
+    """(file system, status) of what lies in a folder, or of a file; nothing if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [(fs, s) for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def snapshot(spark: SparkSession, paths: Iterable[str]) -> str:
+    """A digest of the names, sizes and times of change of all files at or below the paths."""
+    seen, left = [], list(paths)
+    while left:
+        for _, s in _files(spark, left.pop()):
+            name = s.getPath().toString()
+            if s.isDirectory():
+                left.append(name)
+            else:
+                seen.append(f"{name} {s.getLen()} {s.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+
+
 class Store:
     """Tables of one library in one folder."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, f"{base_folder(spark)}/playlog-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, *key: str):
+        self.spark = spark
+        self.folder = f"{base_folder(spark)}/playlog/{hashlib.sha256('|'.join(key).encode()).hexdigest()[:16]}"
         self.schemas: dict[str, object] = {}
         self.seconds: dict[str, float] = {}
 
-    def kept(self, name: str, make: Callable[[], DataFrame], by_year: bool = False) -> DataFrame:
-        """The table of this name, written from make() the first time."""
-        if name not in self.schemas:
+    def numbers(self, name: str, version: str) -> tuple[str | None, int]:
+        """The newest complete folder of a version of a table, and the next free number."""
+        found = [(int(p.rsplit(".", 1)[1]), p, fs, s) for fs, s in _files(self.spark, f"{self.folder}/{name}") if (p := s.getPath().toString()).rsplit("/", 1)[1].startswith(version + ".")]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        done = max((n, p) for n, p, fs, _ in found if fs.exists(path(f"{p}/_SUCCESS")))[1] if any(fs.exists(path(f"{p}/_SUCCESS")) for _, p, fs, _ in found) else None
+        return done, 1 + max((n for n, *_ in found), default=0)
+
+    def kept(self, name: str, version: str, make: Callable[[], DataFrame], by_year: bool = False, anew: bool = False) -> DataFrame:
+        """The table of this name and version, written from make() where there is none yet, or anew."""
+        done, number = self.numbers(name, version)
+        if done is None or anew:
             began, df = time.time(), make()
+            done = f"{self.folder}/{name}/{version}.{number}"
             if by_year:  # tasks of like size, each with few years
                 df = df.withColumn("lyear", F.year("lday")).hint("rebalance", "lyear")
-                df.write.partitionBy("lyear").parquet(f"{self.folder}/{name}")
+                df.write.partitionBy("lyear").parquet(done)
             else:
-                df.write.parquet(f"{self.folder}/{name}")
-            self.schemas[name] = df.schema
+                df.write.parquet(done)
+            self.schemas[done] = df.schema
             self.seconds[name] = time.time() - began
-        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{name}")
+        if done not in self.schemas:
+            self.schemas[done] = self.spark.read.parquet(done).schema
+        return self.spark.read.schema(self.schemas[done]).parquet(done)
+
+    def vacuum(self) -> int:
+        """Delete all but the newest complete folder of each version of each table; how many went. Nothing may be reading them."""
+        gone = 0
+        for _, table in _files(self.spark, self.folder):
+            name = table.getPath().getName()
+            for version in {s.getPath().getName().rsplit(".", 1)[0] for _, s in _files(self.spark, f"{self.folder}/{name}")}:
+                best = self.numbers(name, version)[0]
+                for fs, s in _files(self.spark, f"{self.folder}/{name}"):
+                    if s.getPath().getName().startswith(version + ".") and s.getPath().toString() != best:
+                        gone += fs.delete(s.getPath(), True)
+        return gone
+
+
+_stores: dict[tuple[str, ...], Store] = {}
 
 
 def store_of(spark: SparkSession, *key: str) -> Store:
-    """The application's store of a library; another application starts with a new one."""
-    own = (spark.sparkContext.applicationId, *key)
+    """The store of a library."""
+    own = (spark.sparkContext.applicationId, base_folder(spark), *key)
     if own not in _stores:
-        _stores[own] = Store(spark)
+        _stores[own] = Store(spark, *key)
     return _stores[own]
 
 
-def forget(spark: SparkSession, *key: str) -> None:
-    """Let the next query rebuild: the data below the library has changed."""
-    _stores.pop((spark.sparkContext.applicationId, *key), None)
-
-
 def saved(df: DataFrame) -> DataFrame:
     """df written to a new table in the shared folder and read again, which cuts its lineage."""
     path = f"{base_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"

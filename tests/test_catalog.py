@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: So few rows at this size that the result is empty.
 MAY_BE_EMPTY = {"comeback", "rising", "binges", "slow_burners", "discovery_lag", "loved_left", "rediscover", "forgotten", "gap_artists", "graph_edges",
-                "double_life", "taste_rising", "taste_fading", "taste_discoveries", "season_artists_default", "lag_late", "lag_on_release", "decade_signature", "decade_signature_relaxed", "insights_page", "lag_on_release_relaxed"}
+                "double_life", "taste_rising", "taste_fading", "taste_discoveries", "season_artists_default", "lag_late", "lag_on_release", "decade_signature", "decade_signature_relaxed", "insights_page", "lag_on_release_relaxed", "season_artists", "season_cards", "seasonal_artists", "gap_artists", "rediscover_relaxed", "slow_burners_relaxed", "seasonal_artists_relaxed"}
 
 
 @pytest.fixture(scope="module")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from playlog.functions import titles
 from playlog.functions.text import tag_classify
 from playlog.operators import editions, lookups, resolve
 
@@ -10,7 +11,7 @@ TITLES = [
     ("Song (Remastered 2011)", "Song"), ("Song [Deluxe Edition] (Mono)", "Song"), ("Song - Remastered 2009", "Song"), ("Song - 2011 - Remaster", "Song - 2011"),
     ("Song (Live)", "Song (Live)"), ("Song - Live at Home", "Song - Live at Home"), ("(Remastered)", "(Remastered)"), ("Song (Collector’s Edition)", "Song"), ("Song (Tour)", "Song (Tour)"),
     ("Song (Edition)", "Song (Edition)"), ("Song  -  Mono - Remastered", "Song"), ("Song (live - remastered)", "Song (live - remastered)"), ("Song (25th Anniversary Edition)", "Song"),
-    ("Stereo", "Stereo"), ("Song (Monorail)", "Song (Monorail)"), ("", ""), (None, None), ("Song ()", "Song ()"), ("Deluxe Song", "Deluxe Song"),
+    ("Stereo", "Stereo"), ("Song (Monorail)", "Song (Monorail)"), ("", ""), (None, None), ("Song ()", "Song ()"), ("Song (Deluxe (Remastered)) [x]", "Song [x]"), ("Song - Live (2011 Remaster)", "Song - Live"), ("Song (", "Song ("), ("Song) (Mono)", "Song)"), ("Song (50th Tour Edition)", "Song"), ("Song (5000th Mono)", "Song (5000th Mono)"), ("Song - - Mono", "Song"), ("Song (a - Mono", "Song (a - Mono"), ("Deluxe Song", "Deluxe Song"),
 ]
 
 
@@ -20,13 +21,27 @@ def test_strip_edition(spark):
 
 
 def test_loose_title_and_likeness(spark):
-    cases = [("Déjà Vu (Remastered 2011)", "dejavu"), ("Song - Single Version", "song"), ("Song feat. Someone", "song"), ("Rock & Roll", "rockandroll"), ("Without (You)", "withoutyou"), ("!!", ""), (None, None)]
+    cases = [("Déjà Vu (Remastered 2011)", "dejavu"), ("Song - Single Version", "song"), ("Song feat. Someone", "song"), ("Rock & Roll", "rockandroll"), ("Without (You)", "withoutyou"), ("!!", ""), (None, None), ("Radioactive (Without You)", "radioactivewithoutyou"), ("A (with B) [C] ft. D", "ac"), ("Song ft D", "songftd"), ("A - B - 2011 Mix", "a"), ("パ - demo", "パ"), ("One (x", "onex")]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", resolve.loose_title("t").alias("k"))
     assert {r.i: r.k for r in df.collect()} == {i: k for i, (_, k) in enumerate(cases)}
     pairs = spark.createDataFrame([("a", "a"), ("part1", "part2"), ("abcde", "abcdx")], "a string, b string")
     assert [round(r[0], 2) for r in pairs.select(resolve.likeness("a", "b")).collect()] == [2.0, 0.0, 0.8]
 
 
+ALBUMS = [
+    ("Rumours (Deluxe Edition)", ("Rumours", None)), ("Thriller - 2003 Remaster", ("Thriller", None)), ("Foo (Special Guest)", ("Foo (Special Guest)", None)), ("Foo (Bonus)", ("Foo (Bonus)", None)),
+    ("Foo (Bonus Tracks)", ("Foo", None)), ("Foo - EP", ("Foo", "EP")), ("Foo (Deluxe) - Single", ("Foo", "Single")), ("Foo - EP (Remastered)", ("Foo", "EP")), ("(Remastered)", ("(Remastered)", None)),
+    ("Foo 【Deluxe】", ("Foo", None)), ("Foo (Live )", ("Foo (Live)", None)), ("Foo – Expanded – EP", ("Foo", "EP")), ("Foo - Bar", ("Foo - Bar", None)), ("EP", ("EP", None)), ("", ("", None)), (None, (None, None)),
+]
+
+
+def test_album_titles(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(ALBUMS)], "i int, t string").select("i", titles.clean_title("t").alias("c"), titles.edition_free_title("t").alias("f"))
+    rows = {r.i: r for r in df.collect()}
+    assert {i: tuple(r.c) for i, r in rows.items()} == {i: want for i, (_, want) in enumerate(ALBUMS)}
+    assert rows[0].f == "Rumours" and rows[12].f == "Foo - Bar" and rows[10].f == "Foo (Live)" and rows[15].f is None
+
+
 PLAYS = "ts long, artist_id long, track_id long, album_id long"
 
 

@@ -30,7 +30,7 @@ LONGEST, LEAST, SUBSUMED, FIRST = 3, 10, 50, 2000
 DEPTH, BYTES_A_CELL, LEAST_CELLS, MOST_CELLS = 2, 16, 1 << 16, 1 << 28
 BLOCK = 1 << 16
 #: Texts are taken in slices of about so many bytes; a task sends its sketch or its counts when it has so many entries.
-SLICE, HELD = 1 << 20, 500_000
+SLICE, HELD = 1 << 20, 1_000_000
 #: The best phrases of a language are found among the best of so many shares of it.
 SHARES = 64
 

@@ -29,8 +29,9 @@ LONGEST, LEAST, SUBSUMED, FIRST = 3, 10, 50, 2000
 #: a corpus for which they are too few has more survivors, which changes the work of the second pass and no result.
 DEPTH, BYTES_A_CELL, LEAST_CELLS, MOST_CELLS = 2, 16, 1 << 16, 1 << 28
 BLOCK = 1 << 16
-#: Texts are taken in slices of about so many bytes; a task sends its sketch or its counts when it has so many entries.
-SLICE, HELD = 1 << 20, 1_000_000
+#: Texts are taken in slices of about so many bytes. A task sends its sketch when it has so many entries; it folds its counts when so many
+#: are new, and sends them when so many are left.
+SLICE, HELD, NEW, SENT = 1 << 20, 1_000_000, 250_000, 500_000
 #: The best phrases of a language are found among the best of so many shares of it.
 SHARES = 64
 
@@ -205,18 +206,16 @@ def counted(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, cells:
             yield b.set_column(2, "phrase", b.column(2).cast(pa.string()))
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, new = [], 0
         for batch in stream:
             for lang, pieces in _slices(batch):
-                held.append(as_table(lang, 0, pa.array([""], pa.large_string()), np.array([len(pieces.words.starts)])))
-                held += [as_table(*found) for found in exact(lang, pieces)]
-                size += sum(t.num_rows for t in held[-longest - 1 :])
-                if size >= HELD:
-                    held = [folded(held)]
-                    size = held[0].num_rows
-                    if size >= HELD // 2:  # does not shrink enough
-                        yield from send(held[0])
-                        held, size = [], 0
+                more = [as_table(lang, 0, pa.array([""], pa.large_string()), np.array([len(pieces.words.starts)])), *(as_table(*found) for found in exact(lang, pieces))]
+                held, new = held + more, new + sum(t.num_rows for t in more)
+                if new >= NEW:
+                    held, new = [folded(held)], 0
+                    if held[0].num_rows >= SENT:
+                        yield from send(held.pop())
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from send(folded(held))
 

@@ -136,7 +136,8 @@ def test_phrases(spark, monkeypatch, cells):
     rows = texts()
     table = spark.createDataFrame([(t, g, "k", 1) for t, g in rows], "text string, lang string, phrase string, f int").repartition(3)
     monkeypatch.setattr(collocations, "SLICE", 5000)
-    monkeypatch.setattr(collocations, "HELD", 2000)  # several sketches and tables a task
+    for name, n in (("HELD", 2000), ("NEW", 300), ("SENT", 700)):  # several sketches and tables a task
+        monkeypatch.setattr(collocations, name, n)
     assert sorted(map(tuple, collocations.mine(table, cells=cells).collect())) == phrases_of(rows, 3, 10, 2000)
     assert sorted(map(tuple, collocations.mine(table, longest=4, least=5, first=7, cells=cells).collect())) == phrases_of(rows, 4, 5, 7)
 

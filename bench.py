@@ -7,7 +7,7 @@ import time
 from pyspark.sql import SparkSession
 
 from playlog.model import PlayLog
-from playlog.plans.catalog import QUERIES
+from playlog.plans.registry import QUERIES
 
 HEADLINES = ("co_links", "artist_stats", "gateway", "timeline", "rediscover", "lift_month", "love_timing", "velocity_weekly", "comeback", "album_age_median", "year_totals", "eras")
 

@@ -20,7 +20,7 @@ def release_match(releases: DataFrame, names: DataFrame, aliases: DataFrame, ids
     by_id = releases.select("release_id", F.explode("ids").alias("mbid")).join(known, "mbid").select("release_id", "artist_id").distinct()
     called = one(names, "name_key").withColumnRenamed("artist_id", "own").join(one(aliases, "name_key").withColumnRenamed("artist_id", "alias"), "name_key", "full")
     called = called.select("name_key", F.coalesce("alias", "own").alias("artist_id"))
-    rest = releases.join(by_id, "release_id", "left_anti").withColumn("given", F.coalesce(F.size("ids"), F.lit(0)) > 0)
+    rest = releases.select("release_id", "credit_key", "ids", "part_keys").join(by_id, "release_id", "left_anti").withColumn("given", F.coalesce(F.size("ids"), F.lit(0)) > 0)
     whole = rest.join(called, F.col("credit_key") == F.col("name_key")).select("release_id", "given", "artist_id")
     parts = rest.join(whole.select("release_id"), "release_id", "left_anti").select("release_id", "given", F.explode("part_keys").alias("name_key")).join(called, "name_key")
     found = whole.unionByName(parts.select("release_id", "given", "artist_id"))

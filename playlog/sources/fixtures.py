@@ -113,3 +113,49 @@ def release_list(log: PlayLog) -> DataFrame:
     rows = own.unionByName(other).crossJoin(F.broadcast(log.span.select("hi")))
     return rows.select("release_id", "credit_key", "ids", "part_keys", F.concat(F.lit("title "), F.col("number").cast("string")).alias("title_key"), kind.alias("kind"),
                        F.date_add(newest, (F.col("number") * 5 % 60).cast("int")).alias("day"), "source")
+
+
+def new_releases(log: PlayLog) -> DataFrame:
+    """release_list rows of artists that the library does not know: one a customer, every sixth with an EP of the same name, some with ids or another artist."""
+    read = lambda t: log.spark.read.parquet(f"{log.sf_dir}/{t}.parquet")
+    customers = read("customer").select(F.col("c_custkey").alias("c"), F.lower("c_name").alias("name_key"))
+    parts = F.broadcast(read("part").agg(F.count("*").alias("parts")))
+    named = customers.crossJoin(parts).withColumn("p", F.col("c") % F.col("parts") + F.lit(1)).join(read("part").select(F.col("p_partkey").alias("p"), "p_name"), "p")
+    guests = customers.select((F.col("c") - 1).alias("c"), F.col("name_key").alias("guest"))
+    rows = named.join(guests, "c", "left").crossJoin(F.broadcast(log.span.select("hi")))
+    twice = F.explode(F.when(F.col("c") % 6 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("second")
+    none = F.array().cast("array<string>")
+    rows = rows.select("*", twice)
+    title = F.concat("p_name", F.when((F.col("c") % 5 == 0) | (F.col("second") == 1), " (Deluxe Edition)").otherwise(""))
+    kind = F.when(F.col("second") == 1, "EP").otherwise(_pick(F.col("c"), "Album", "EP", "Single"))
+    return rows.select(
+        (F.lit(30_000_000) + F.col("second") * 10_000_000 + F.col("c")).alias("release_id"), F.col("name_key").alias("credit_key"), "name_key",
+        F.when(F.col("c") % 3 == 0, F.array(F.concat(F.lit("cid-"), F.col("c").cast("string")))).otherwise(none).alias("ids"),
+        F.when((F.col("c") % 4 == 0) & F.col("guest").isNotNull(), F.array("guest")).otherwise(none).alias("part_keys"), title.alias("title"), F.lower(title).alias("title_key"), kind.alias("kind"),
+        F.date_add(local_day(F.col("hi")), (F.col("c") * 5 % 60).cast("int")).alias("day"), F.lit("listenbrainz").alias("source"))
+
+
+def local_day(ts: Column) -> Column:
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ts / DAY).cast("int"))
+
+
+def similar_artists(log: PlayLog) -> DataFrame:
+    """(seed_key, name_key, mbid, match): a supplier is like the customers that bought from it; every second of those with an id are known by that alone."""
+    read = lambda t: log.spark.read.parquet(f"{log.sf_dir}/{t}.parquet")
+    bought = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("s"), F.col("o_custkey").alias("c")).distinct()
+    rows = bought.join(read("supplier").select(F.col("s_suppkey").alias("s"), F.lower("s_name").alias("seed_key")), "s")
+    rows = rows.join(read("customer").select(F.col("c_custkey").alias("c"), F.lower("c_name").alias("name")), "c")
+    by_id = (F.col("c") % 3 == 0) & (F.col("s") % 2 == 0)
+    number = F.col("c").cast("string")
+    return rows.select("seed_key", F.when(by_id, F.concat(F.lit("alias "), number)).otherwise(F.col("name")).alias("name_key"),
+                       F.when(by_id, F.concat(F.lit("cid-"), number)).otherwise("").alias("mbid"), ((F.col("s") * 7 + F.col("c") * 3) % 100 / 100).alias("match"))
+
+
+def new_artist_tags(log: PlayLog) -> DataFrame:
+    """(name_key, tag, weight): genres of the customers, spelled in another way than the library's, and one that it lacks."""
+    read = lambda t: log.spark.read.parquet(f"{log.sf_dir}/{t}.parquet")
+    parts = F.broadcast(read("part").agg(F.count("*").alias("parts")))
+    rows = read("customer").where("c_custkey % 7 <> 0").crossJoin(parts).withColumn("p", F.col("c_custkey") % F.col("parts") + F.lit(1))
+    rows = rows.join(read("part").select(F.col("p_partkey").alias("p"), "p_type", "p_brand", "p_name"), "p")
+    pairs = ((F.upper("p_type"), 100), (F.lower("p_brand"), 60), (F.concat(F.lit("-"), F.split("p_name", " ")[0]), 40), (F.concat(F.split("p_name", " ")[0], F.lit("_")), 30), (F.col("c_mktsegment"), 20))
+    return rows.select(F.lower("c_name").alias("name_key"), F.explode(F.array(*[F.struct(tag.alias("tag"), F.lit(weight).alias("weight")) for tag, weight in pairs])).alias("t")).select("name_key", "t.tag", "t.weight")

@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from playlog.plans.catalog import ORACLES, QUERIES
+from playlog.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()

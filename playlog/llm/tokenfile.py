@@ -80,7 +80,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     order = [F.col("doc_id").asc_nulls_first(), "tie"]
     (placed.repartition(parts, "shard").mapInArrow(trimmed(_unpacked), "doc_id long, shard int, tie long, ids binary").sortWithinPartitions("shard", *order)
         .select("shard", F.col("ids").cast("string").alias("value"))
-        .write.partitionBy("shard").option("lineSep", end_id.to_bytes(width, "little").decode()).text(f"{folder}/ids"))
+        .write.partitionBy("shard").option("maxRecordsPerFile", 0).option("lineSep", end_id.to_bytes(width, "little").decode()).text(f"{folder}/ids"))
     at = Window.partitionBy("shard").orderBy(*order)
     narrow = placed.select("shard", "doc_id", "tie", "n")  # the ids themselves are shuffled once, for their file
     index = narrow.select("shard", "doc_id", F.row_number().over(at).cast("long").alias("at"), F.sum("n").over(at.rowsBetween(Window.unboundedPreceding, -1)).alias("start"))
@@ -88,13 +88,15 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     low = F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright("start", 8 * k).bitwiseAND(F.lit(255).cast("long"))), 2, "0")) for k in range(7)])
     (index.repartition(parts, "shard").sortWithinPartitions("shard", "at")
         .select("shard", low.cast("string").alias("value"))
-        .write.partitionBy("shard").option("lineSep", "\0").text(f"{folder}/offsets"))
+        .write.partitionBy("shard").option("maxRecordsPerFile", 0).option("lineSep", "\0").text(f"{folder}/offsets"))
     return {"folder": folder, "width": width, "shards": parts}
 
 
 def bases(spark: SparkSession, files: dict) -> DataFrame:
-    """(shard, base): ids in the shards before, by a prefix sum over one row a shard."""
-    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{files['folder']}/ids").select("shard", "length")
+    """(shard, base): ids in the shards before, by a prefix sum over one row a shard. A shard is one file; a query over one of several fails."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{files['folder']}/ids").groupBy("shard").agg(F.sum("length").alias("length"), F.count("*").alias("files"))
+    split = F.raise_error(F.concat(F.lit("shard "), F.col("shard").cast("string"), F.lit(" has several files")))
+    sizes = found.select("shard", F.when(F.col("files") == 1, F.col("length")).otherwise(split.cast("long")).alias("length"))
     before = F.sum("length").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     return sizes.select("shard", (F.coalesce(before, F.lit(0)) / files["width"]).cast("long").alias("base"))
 

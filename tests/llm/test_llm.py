@@ -339,6 +339,16 @@ def test_token_files(docs, empty, null_ids):
     ids, offsets = tokenfile.open_shard(files["folder"].removeprefix("file://"), 0, files["width"])
     assert ids[-1] == 2 and offsets[0] == 0
     assert tokenfile.round_trip(empty).count() == 0 and tokenfile.round_trip(null_ids).count() == 2
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 7)  # a writer's own limit does not split a shard
+    try:
+        assert sorted(map(tuple, tokenfile.round_trip(docs).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    shard = tokenfile.Path(files["folder"].removeprefix("file://"), "ids", "shard=0")
+    (shard / "part-more").write_bytes(next(shard.glob("part-*")).read_bytes())
+    with pytest.raises(Exception, match="several files"):
+        tokenfile.read(spark, files).collect()
 
 
 def test_language_id(spark, docs, empty, null_ids):

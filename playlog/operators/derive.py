@@ -43,8 +43,13 @@ def sessionize(plays: DataFrame, gap: int = SESSION_GAP, by: tuple[str, ...] = (
     return numbered(breaks, listening_days(breaks, by), gap, by)
 
 
-def artist_stats(sessions: DataFrame) -> DataFrame:
-    """Per artist: plays, first and last play, distinct tracks, days, years and sessions, first track, prehistory."""
+def artist_stats(sessions: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Per artist: plays, first and last play, distinct tracks, days, years and sessions, first track, prehistory. start(lo) is when the log begins, else the first of sessions."""
+    return with_prehistory(artist_totals(sessions), sessions.agg(F.min("ts").alias("lo")) if start is None else start)
+
+
+def artist_totals(sessions: DataFrame) -> DataFrame:
+    """artist_stats without what depends on when the log begins."""
     n = F.count("*")
     base = sessions.groupBy("artist_id").agg(n.alias("plays"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("lday").alias("first_lday"), F.min(F.struct("ts", "track_id")).alias("f"))
     # a distinct count each from pairs that are made unique before they are shuffled, instead of one that copies every play
@@ -52,33 +57,58 @@ def artist_stats(sessions: DataFrame) -> DataFrame:
     days = sessions.select("artist_id", "lday").distinct().groupBy("artist_id").agg(n.alias("n_days"), F.countDistinct(F.year("lday")).alias("n_years"))
     visits = sessions.select("artist_id", "session_id").distinct().groupBy("artist_id").agg(n.alias("n_sessions"))
     stats = base.join(tracks, "artist_id").join(days, "artist_id").join(visits, "artist_id")
-    stats = stats.select("artist_id", "plays", "first_ts", "last_ts", "first_lday", "n_tracks", "n_days", "n_years", "n_sessions", "f")
-    start = sessions.agg(F.min("ts").alias("lo"))
-    flagged = stats.crossJoin(F.broadcast(start)).withColumn("prehistory", (F.col("first_ts") < F.col("lo") + PREHISTORY_DAYS * 86400).cast("int"))
-    return flagged.withColumn("first_track_id", F.col("f.track_id")).drop("f", "lo")
+    return stats.select("artist_id", "plays", "first_ts", "last_ts", "first_lday", "n_tracks", "n_days", "n_years", "n_sessions", F.col("f.track_id").alias("first_track_id"))
 
 
-def gateway(sessions: DataFrame) -> DataFrame:
-    """(artist_id, gateway_id) of discovered artists: the artist played just before the first play, in its session."""
+def with_prehistory(totals: DataFrame, start: DataFrame) -> DataFrame:
+    """artist_totals with prehistory: 1 for artists of the first days of a log, which it does not discover."""
+    flag = (F.col("first_ts") < F.col("lo") + PREHISTORY_DAYS * 86400).cast("int")
+    rows = totals.crossJoin(F.broadcast(start.select("lo"))).withColumn("prehistory", flag)
+    return rows.select(*[c for c in totals.columns if c != "first_track_id"], "prehistory", "first_track_id")
+
+
+def entrances(sessions: DataFrame) -> DataFrame:
+    """(artist_id, first_ts, gateway_id): an artist's first play and the artist played just before it in its session."""
     before = F.lag("artist_id").over(Window.partitionBy("session_id").orderBy(*ORDER))
     first = sessions.withColumn("gateway_id", before).groupBy("artist_id").agg(F.min(F.struct(*ORDER, "gateway_id")).alias("f"))
-    lo = F.broadcast(sessions.agg(F.min("ts").alias("lo")))
-    return first.crossJoin(lo).where(F.col("f.ts") >= F.col("lo") + PREHISTORY_DAYS * 86400).select("artist_id", F.col("f.gateway_id").alias("gateway_id"))
+    return first.select("artist_id", F.col("f.ts").alias("first_ts"), F.col("f.gateway_id").alias("gateway_id"))
 
 
-def co_links(sessions: DataFrame, keep: int = SESSION_ARTISTS, min_shared: int = MIN_SHARED) -> DataFrame:
-    """(a, b, shared, score): artists that share sessions; a session counts with its keep most played artists,
-    which bounds its pairs, so no session can blow up the self-join."""
+def discovered(entered: DataFrame, start: DataFrame) -> DataFrame:
+    """(artist_id, gateway_id) of entrances after the first days of a log."""
+    return entered.crossJoin(F.broadcast(start.select("lo"))).where(F.col("first_ts") >= F.col("lo") + PREHISTORY_DAYS * 86400).select("artist_id", "gateway_id")
+
+
+def gateway(sessions: DataFrame) -> DataFrame:
+    """(artist_id, gateway_id) of discovered artists: the artist played just before the first play, in its session."""
+    return discovered(entrances(sessions), sessions.agg(F.min("ts").alias("lo")))
+
+
+def visits(sessions: DataFrame, keep: int = SESSION_ARTISTS) -> DataFrame:
+    """(session_id, artist_id): a session counts with its keep most played artists, which bounds its pairs, so no session can blow up a self-join."""
     heard = sessions.groupBy("session_id", "artist_id").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("n"), "artist_id"))
-    capped = heard.withColumn("r", rank).where(F.col("r") <= keep).select("session_id", "artist_id")
-    size = capped.groupBy("artist_id").agg(F.count("*").alias("n"))
-    pairs = capped.withColumnRenamed("artist_id", "a").join(capped.withColumnRenamed("artist_id", "b"), "session_id").where("a < b")
-    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
-    scored = shared.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    return heard.withColumn("r", rank).where(F.col("r") <= keep).select("session_id", "artist_id")
+
+
+def pair_counts(seen: DataFrame) -> DataFrame:
+    """(a, b, shared) of artists that share visits."""
+    pairs = seen.withColumnRenamed("artist_id", "a").join(seen.withColumnRenamed("artist_id", "b"), "session_id").where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def scored_links(pairs: DataFrame, sizes: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
+    """(a, b, shared, score) of pairs of at least min_shared visits; sizes is (artist_id, n)."""
+    scored = pairs.where(F.col("shared") >= min_shared).join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
     return scored.select("a", "b", "shared", (F.col("shared") / F.sqrt(F.col("na") * F.col("nb"))).alias("score"))
 
 
+def co_links(sessions: DataFrame, keep: int = SESSION_ARTISTS, min_shared: int = MIN_SHARED) -> DataFrame:
+    """(a, b, shared, score): artists that share sessions."""
+    seen = visits(sessions, keep)
+    return scored_links(pair_counts(seen), seen.groupBy("artist_id").agg(F.count("*").alias("n")), min_shared)
+
+
 def related(links: DataFrame, limit: int = 15) -> DataFrame:
     """Both directions of the links, the limit strongest per artist."""
     both = links.select(F.col("a").alias("artist_id"), F.col("b").alias("other_id"), "shared", "score").unionByName(links.select(F.col("b").alias("artist_id"), F.col("a").alias("other_id"), "shared", "score"))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from playlog.model import PlayLog
 from playlog.operators import insights, resolve, rules
 from playlog.plans import catalog
-from playlog.plans.catalog import ENTRIES, LOVED, SESSIONS, STATS, _add, _rules
+from playlog.plans.catalog import ENTRIES, GATEWAY, LINKS, LOVED, SESSIONS, STATS, _add, _rules
 from playlog.sources import fixtures
 from playlog.store import base_folder
+from playlog.streaming.stored import Snapshots, StoredLog
 
 
 def _log(log: PlayLog) -> rules.RuleLog:
@@ -100,3 +101,44 @@ def _loved_by_rule(log: PlayLog) -> DataFrame:
 
 
 _add("loved_resolve_by_rules", _loved_by_rule, [catalog.TITLES, LOVED, ENTRIES], "select * from lr", profile="supp")
+
+# a log that takes new rows
+_logs: dict[tuple[str, str, str], StoredLog] = {}
+
+
+def _grown(log: PlayLog) -> StoredLog:
+    """The library's plays as three batches brought them: two thirds, the rest with some that were there, and those again."""
+    own = (log.spark.sparkContext.applicationId, f"{log.sf_dir} {log.profile}", log.version)
+    if own not in _logs:
+        stored = StoredLog(log.spark, f"{base_folder(log.spark)}/grown-{uuid.uuid4().hex}", min_shared=2)
+        plays = log.plays.select("ts", "artist_id", "track_id", "album_id")
+        late = (F.col("ts") / 60) % 3 == 0
+        stored.merge(plays.where(~late), "first", 1)
+        for _ in range(2):
+            stored.merge(plays.where(late | (F.col("artist_id") % 7 == 0)), "second", 2)
+        _logs[own] = stored
+    return _logs[own]
+
+
+_add("incremental_sessions", lambda x: _grown(x).sessions.select("ts", "artist_id", "track_id", "album_id", "session_id"), [SESSIONS], "select ts, artist_id, track_id, album_id, session_id from s")
+_add("incremental_stats", lambda x: _grown(x).stats, [SESSIONS, STATS], "select * from st")
+_add("incremental_gateway", lambda x: _grown(x).gateway, [SESSIONS, GATEWAY], "select * from gt")
+_add("incremental_links", lambda x: _grown(x).links, [SESSIONS, LINKS], "select * from lk", least=2)
+_add("imports_log", lambda x: _grown(x).imports().groupBy("label").agg(F.count("*").alias("runs"), F.sum("rows_read").alias("rows_read"), F.sum("rows_added").alias("rows_added"), F.sum("duplicates").alias("duplicates"),
+                                                                        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")), [],
+     """, a as (select 'first' as label, 1 as runs, ts, (ts // 60) % 3 <> 0 as fresh from p where (ts // 60) % 3 <> 0 union all select 'second', 2, ts, (ts // 60) % 3 = 0 from p where (ts // 60) % 3 = 0 or artist_id % 7 = 0)
+select label, max(runs)::bigint as runs, (count(*) * max(runs))::bigint as rows_read, count(*) filter (where fresh) as rows_added, (count(*) * max(runs) - count(*) filter (where fresh))::bigint as duplicates, min(ts) as first_ts, max(ts) as last_ts from a group by 1""")
+
+
+def _replaced(log: PlayLog) -> DataFrame:
+    """Loved entries as a source sent them whole three times, at last with other dates and some gone."""
+    held = Snapshots(log.spark, f"{base_folder(log.spark)}/loved-{uuid.uuid4().hex}", ("artist_key", "title_key"), "loved_at")
+    entries = fixtures.loved_entries(log).select("artist_key", "title_key", "loved_at")
+    held.replace(entries)
+    last = entries.where("(loved_at div 60) % 7 <> 0").withColumn("loved_at", F.col("loved_at") + 60)
+    for _ in range(2):
+        held.replace(last.unionByName(last.withColumn("loved_at", F.col("loved_at") + 5)))
+    return held.current()
+
+
+_add("snapshot_replace", _replaced, [catalog.TITLES, LOVED, ENTRIES], "select artist_key, title_key, min(loved_at + 60) as loved_at from lr where (loved_at // 60) % 7 <> 0 group by 1, 2", profile="supp")

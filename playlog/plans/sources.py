@@ -9,6 +9,7 @@ from playlog.functions.titles import clean_title
 from playlog.functions.text import keyed
 from playlog.model import PlayLog
 from playlog.plans.catalog import _add
+from playlog.operators import groups
 from playlog.sources import decode, pages, wikitext
 
 
@@ -79,7 +80,8 @@ def _month_pages(log: PlayLog) -> DataFrame:
     day = F.to_date("o_orderdate")
     orders = read("orders").select("o_orderkey", "o_orderstatus", F.col("o_custkey").alias("c"), F.year(day).alias("year"), F.month(day).alias("month"), F.dayofmonth(day).alias("day"))
     orders = orders.join(read("customer").select(F.col("c_custkey").alias("c"), "c_name"), "c")
-    title = F.concat(F.lit(" \'\'Order "), F.col("o_orderkey").cast("string"), F.lit("\'\'<ref>{{cite web\n|url=http://o/"), F.col("o_orderkey").cast("string"), F.lit("\n|title=x}}</ref> || {{nowrap|"), F.col("o_orderstatus"), F.lit("}}"))
+    number = F.col("o_orderkey").cast("string")
+    title = F.concat(F.lit(" ''Order "), number, F.lit("'' || {{nowrap|"), F.col("o_orderstatus"), F.lit("}} || || <ref>{{cite web\n|url=http://o/"), number, F.lit("\n|title=x}}</ref>"))
     days = orders.groupBy("c", "c_name", "year", "month", "day").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", title.alias("title")))).alias("rows"))  # a customer's orders of a day are few
     span = F.size("rows").cast("string")
     head = F.concat(F.lit("|-\n! scope=\"row\" rowspan="), span, F.lit(" | "), F.date_format(F.make_date("year", "month", "day"), "MMMM d"), F.lit("\n| rowspan="), span, F.lit(" | [[x|"), F.col("c_name"), F.lit("]]\n|"))
@@ -89,4 +91,26 @@ def _month_pages(log: PlayLog) -> DataFrame:
 
 
 _add("wikitext_rows", lambda x: wikitext.month_releases(_month_pages(x), F.col("text"), F.col("year"), F.col("month")).select("release_date", "artist", "title", "genre", "source_url"), [],
-     "select o_orderdate::date as release_date, c_name as artist, 'Order ' || o_orderkey as title, o_orderstatus as genre, null::varchar as source_url from orders join customer on c_custkey = o_custkey")
+     "select o_orderdate::date as release_date, c_name as artist, 'Order ' || o_orderkey as title, o_orderstatus as genre, 'http://o/' || o_orderkey as source_url from orders join customer on c_custkey = o_custkey")
+
+
+def _wanted(log: PlayLog) -> DataFrame:
+    """Parts as albums, as shops write their titles."""
+    p = F.col("p_partkey")
+    note = F.element_at(F.array(*[F.lit(n) for n in ("", " (Deluxe Edition)", " - EP", " - 2003 Remaster", " (Live)", " [Bonus Tracks] - Single")]), (p % 6 + 1).cast("int"))
+    rows = log.spark.read.parquet(f"{log.sf_dir}/part.parquet")
+    return rows.select(p.alias("album_id"), F.concat(F.lit("Maker "), (p % 10).cast("string")).alias("artist"), F.concat("p_name", F.lit(" "), p.cast("string"), note).alias("title"))
+
+
+def _groups(log: PlayLog) -> DataFrame:
+    """Release groups of three parts in four, some of another type, live, or found with little confidence."""
+    p = F.col("p_partkey")
+    rows = log.spark.read.parquet(f"{log.sf_dir}/part.parquet").where("p_partkey % 4 <> 3")
+    kind = F.element_at(F.array(F.lit("Album"), F.lit("EP"), F.lit("Single")), (F.floor(p / 6) % 3 + 1).cast("int"))
+    return rows.select((p + 1000000).alias("group_id"), F.upper(F.concat("p_name", F.lit(" "), p.cast("string"))).alias("title"), F.concat(F.lit("MAKER "), (p % 10).cast("string"), F.lit(" & friends")).alias("credit"), kind.alias("kind"),
+                       F.when(p % 5 == 0, F.array(F.lit("Live"))).otherwise(F.array().cast("array<string>")).alias("others"), F.when(p % 11 == 0, 80).otherwise(95).alias("score"))
+
+
+_add("release_groups", lambda x: groups.matched(_wanted(x), _groups(x)), [], """select p_partkey as album_id, case when ok then p_partkey + 1000000 end as group_id, case when not ok then 'none' when p_partkey % 6 = 0 then 'exact' else 'edition-free' end as outcome from (
+  select p_partkey, p_partkey % 4 <> 3 and p_partkey % 11 <> 0 and case p_partkey % 6 when 0 then true when 2 then kind = 1 when 5 then kind = 2 when 4 then false else kind < 2 and p_partkey % 5 <> 0 end as ok
+  from (select p_partkey, p_partkey // 6 % 3 as kind from part))""")

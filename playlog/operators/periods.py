@@ -15,11 +15,22 @@ def in_range(plays: DataFrame, start: str | None = None, end: str | None = None)
     return plays.where(F.col("lday") <= F.lit(end).cast("date")) if end else plays
 
 
-def overview(plays: DataFrame) -> DataFrame:
-    totals = plays.agg(F.count("*").alias("plays"), F.countDistinct("artist_id").alias("artists"), F.countDistinct("track_id").alias("tracks"), F.countDistinct("album_id").alias("albums"), F.countDistinct("lday").alias("days"), F.min("lday").alias("first_day"), F.max("lday").alias("last_day"))
-    top = plays.groupBy("artist_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "artist_id").limit(10).agg(F.sum("n").alias("top10"))
+def overview(plays: DataFrame, stats: DataFrame, recent_days: int = 30, top: int = 5) -> DataFrame:
+    """One row over all plays: totals, rates, the part of the ten most played artists, streaks of days, and the artists of the last days.
+
+    recent_top are the artist_ids played most lately, joined by commas; of equal streaks the first is the longest, the current one ends on the newest day.
+    """
+    totals = plays.agg(F.count("*").alias("plays"), F.countDistinct("artist_id").alias("artists"), F.countDistinct("track_id").alias("tracks"), F.countDistinct("album_id").alias("albums"), F.countDistinct("lday").alias("days"), F.min("lday").alias("first_day"), F.max("lday").alias("last_day"), F.max("ts").alias("hi"))
+    most = stats.orderBy(F.desc("plays"), "artist_id").limit(10).agg(F.sum("plays").alias("top10"))
+    runs = streaks(plays).agg(F.max(F.struct("length", (-F.unix_date("end_day")).alias("e"))).alias("l"), F.max_by("length", "end_day").alias("current_streak"))
+    start = totals.select((F.col("hi") - recent_days * 86400).alias("start"))
+    new = stats.crossJoin(F.broadcast(start)).where((F.col("first_ts") > F.col("start")) & (F.col("prehistory") == 0)).agg(F.count("*").alias("new_artists_30d"))
+    late = plays.crossJoin(F.broadcast(start)).where(F.col("ts") > F.col("start")).groupBy("artist_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "artist_id").limit(top)
+    names = late.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "artist_id"))), lambda x: x["artist_id"].cast("string")), ",").alias("recent_top"))
     length = F.datediff("last_day", "first_day") + 1
-    return totals.crossJoin(top).select("plays", "artists", "tracks", "albums", "days", "first_day", "last_day", (F.col("plays") / length).alias("per_day"), (F.col("plays") / F.col("days")).alias("per_listening_day"), (F.col("top10") / F.col("plays")).alias("top10_share"))
+    row = totals.crossJoin(most).crossJoin(runs).crossJoin(new).crossJoin(names)  # one row each
+    return row.select("plays", "artists", "tracks", "albums", "days", "first_day", "last_day", (F.col("plays") / length).alias("per_day"), (F.col("plays") / F.col("days")).alias("per_listening_day"), (F.col("top10") / F.col("plays")).alias("top10_share"),
+                      F.col("l.length").alias("longest_streak"), F.date_from_unix_date(-F.col("l.e")).alias("longest_streak_end"), "current_streak", "new_artists_30d", "recent_top")
 
 
 def months(plays: DataFrame) -> DataFrame:
@@ -38,12 +49,16 @@ def timeline(plays: DataFrame, stats: DataFrame) -> DataFrame:
     return months(plays).join(totals, "month", "left").join(new, "month", "left").select("month", F.coalesce("plays", F.lit(0)).alias("plays"), F.coalesce("new_artists", F.lit(0)).alias("new_artists"), (F.col("fresh") / F.col("plays")).alias("novelty"), (-F.col("top.a")).alias("top_artist"))
 
 
-def activity(plays: DataFrame, unit: str) -> DataFrame:
-    """Plays per 'day' or 'month' over the whole span, zero-filled."""
-    bucket = F.trunc("lday", "month") if unit == "month" else F.col("lday")
-    span = plays.agg(F.min(bucket).alias("a"), F.max(bucket).alias("b"))
+def activity(plays: DataFrame, stats: DataFrame, unit: str) -> DataFrame:
+    """Per 'day' or 'month' of the whole span, empty ones included: plays, artists first heard then, and the most played artist with its plays."""
+    of = lambda day: F.trunc(day, "month") if unit == "month" else F.col(day)
+    by = plays.groupBy(of("lday").alias("bucket"), "artist_id").agg(F.count("*").alias("n"))
+    cells = by.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("artist_id")).alias("a"))).alias("top"))
+    new = stats.where("prehistory = 0").groupBy(of("first_lday").alias("bucket")).agg(F.count("*").alias("new"))
+    span = cells.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
     spine = span.select(F.explode(F.sequence("a", "b", F.expr(f"interval 1 {unit}"))).alias("bucket"))
-    return spine.join(plays.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")), "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("plays"))
+    rows = spine.join(cells, "bucket", "left").join(new, "bucket", "left")
+    return rows.select("bucket", F.coalesce("n", F.lit(0)).alias("plays"), F.coalesce("new", F.lit(0)).alias("new_artists"), (-F.col("top.a")).alias("top_artist"), F.col("top.n").alias("top_plays"))
 
 
 def top(plays: DataFrame, key: str, limit: int = 50) -> DataFrame:
@@ -83,6 +98,18 @@ def eras(plays: DataFrame) -> DataFrame:
     return ranked.withColumn("r", F.row_number().over(year.orderBy(F.desc("lift"), F.desc("n"), "artist_id"))).where("r = 1").select("year", "artist_id", F.col("n").alias("plays"), "lift")
 
 
+def era_cards(plays: DataFrame, stats: DataFrame, top: int = 8) -> DataFrame:
+    """Per year: plays, artists, new artists, the most played artists (ids joined by commas), the signature artist of eras(), and the new artist played most."""
+    by = plays.groupBy(F.year("lday").alias("year"), "artist_id").agg(F.count("*").alias("n"))
+    first = stats.where("prehistory = 0").select("artist_id", F.year("first_lday").alias("began"))
+    rank = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("n"), "artist_id"))
+    rows = by.join(first, "artist_id", "left").withColumns({"r": rank, "new": F.coalesce(F.col("began") == F.col("year"), F.lit(False))})
+    listed = F.sort_array(F.collect_list(F.when(F.col("r") <= top, F.struct("r", "artist_id"))))  # so many at most
+    best_new = F.max(F.when(F.col("new"), F.struct("n", (-F.col("artist_id")).alias("a"))))
+    years = rows.groupBy("year").agg(F.sum("n").alias("plays"), F.count("*").alias("artists"), F.count_if("new").alias("new_artists"), F.array_join(F.transform(listed, lambda x: x["artist_id"].cast("string")), ",").alias("top"), (-best_new["a"]).alias("best_new"))
+    return years.join(eras(plays).select("year", F.col("artist_id").alias("signature"), "lift"), "year", "left")
+
+
 def recent(plays: DataFrame, limit: int = 50) -> DataFrame:
     return plays.orderBy(*[F.desc(c) for c in ORDER]).limit(limit).select(*ORDER, "album_id")
 
@@ -110,10 +137,11 @@ def velocity_weekly(plays: DataFrame, artists: int = 6) -> DataFrame:
 
 
 def days_to_n(plays: DataFrame, marks: tuple[int, ...] = (100, 500, 1000)) -> DataFrame:
-    """Per artist: days from the first play to the nth, null if never reached."""
-    at = F.row_number().over(Window.partitionBy("artist_id").orderBy(*ORDER))
-    rows = plays.withColumn("k", at).groupBy("artist_id").agg(F.min("lday").alias("first"), *[F.min(F.when(F.col("k") == n, F.col("lday"))).alias(f"d{n}") for n in marks])
-    return rows.select("artist_id", *[F.datediff(f"d{n}", "first").alias(f"days_to_{n}") for n in marks])
+    """Per artist: days from the first play to the nth, null if never reached. Works on one row an artist and day."""
+    daily = plays.groupBy("artist_id", "lday").agg(F.count("*").alias("n"))
+    rows = daily.withColumn("k", F.sum("n").over(Window.partitionBy("artist_id").orderBy("lday")))
+    by = rows.groupBy("artist_id").agg(F.min("lday").alias("first"), *[F.min(F.when(F.col("k") >= n, F.col("lday"))).alias(f"d{n}") for n in marks])
+    return by.select("artist_id", *[F.datediff(f"d{n}", "first").alias(f"days_to_{n}") for n in marks])
 
 
 def fastest_30d(plays: DataFrame) -> DataFrame:
@@ -128,15 +156,17 @@ def fastest_30d(plays: DataFrame) -> DataFrame:
 def comeback(plays: DataFrame, gap_days: int = 365, before: int = 3, after: int = 3, listening: int = 100) -> DataFrame:
     """Returns to an artist after a gap of gap_days with at least so many plays before and after it, and so many listening days of any artist in between.
 
-    The listening days between two days are a difference of day numbers, not a range join.
+    Works on one row an artist and day: gaps lie between days. The listening days between two days are a difference of day numbers, not a range join.
     """
-    days = plays.select("lday").distinct().withColumn("no", F.row_number().over(Window.orderBy("lday")))
-    mine = Window.partitionBy("artist_id").orderBy(*ORDER)
-    rows = plays.withColumns({"prev": F.lag("lday").over(mine), "k": F.row_number().over(mine), "gap": F.col("ts") - F.lag("ts").over(mine), "n": F.count("*").over(Window.partitionBy("artist_id"))})
-    found = rows.where((F.col("gap") >= gap_days * 86400) & (F.col("k") - 1 >= before) & (F.col("n") - F.col("k") + 1 >= after))
+    daily = plays.groupBy("artist_id", "lday").agg(F.count("*").alias("c"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    days = daily.select("lday").distinct().withColumn("no", F.row_number().over(Window.orderBy("lday")))  # one row a day
+    mine = Window.partitionBy("artist_id").orderBy("lday")
+    rows = daily.withColumns({"prev": F.lag("lday").over(mine), "gap": F.col("first") - F.lag("last").over(mine), "upto": F.sum("c").over(mine), "n": F.sum("c").over(Window.partitionBy("artist_id"))})
+    rows = rows.withColumn("plays_after", F.col("n") - F.col("upto") + F.col("c"))
+    found = rows.where((F.col("gap") >= gap_days * 86400) & (F.col("upto") - F.col("c") >= before) & (F.col("plays_after") >= after))
     a, b = days.toDF("prev", "no_a"), days.toDF("lday", "no_b")
     counted = found.join(F.broadcast(a), "prev").join(F.broadcast(b), "lday").withColumn("between", F.col("no_b") - F.col("no_a") - 1)
-    return counted.where(F.col("between") >= listening).select("artist_id", F.col("prev").alias("left_day"), F.col("lday").alias("back_day"), "gap", (F.col("n") - F.col("k") + 1).alias("plays_after"))
+    return counted.where(F.col("between") >= listening).select("artist_id", F.col("prev").alias("left_day"), F.col("lday").alias("back_day"), "gap", "plays_after")
 
 
 def album_continuation(sessions: DataFrame, start: str, end: str) -> DataFrame:

@@ -90,17 +90,22 @@ _add("related", lambda x: derive.related(x.links), [SESSIONS, LINKS],
 select artist_id, other_id, shared, score from bo qualify row_number() over (partition by artist_id order by round(score, 9) desc, other_id) <= 15""", profile="supp", least=3)
 # periods
 _add("range_filter", lambda x: periods.in_range(x.plays, "1996-01-01", "1997-06-30").select("ts", "artist_id", "track_id"), [], "select ts, artist_id, track_id from p where lday between date '1996-01-01' and date '1997-06-30'")
-_add("overview", lambda x: periods.overview(x.plays), [], """select count(*) as plays, count(distinct artist_id) as artists, count(distinct track_id) as tracks, count(distinct album_id) as albums, count(distinct lday) as days,
+_add("overview", lambda x: periods.overview(x.plays, _stats(x)), [SESSIONS, STATS], """, dd as (select lday, lday - row_number() over (order by lday)::int as g from (select distinct lday from p)), sk as (select min(lday) as a, max(lday) as b, count(*) as n from dd group by g),
+rt as (select artist_id, count(*) as n from p where ts > (select hi from sp) - 30 * 86400 group by 1 order by n desc, artist_id limit 5)
+select count(*) as plays, count(distinct artist_id) as artists, count(distinct track_id) as tracks, count(distinct album_id) as albums, count(distinct lday) as days,
 min(lday) as first_day, max(lday) as last_day, count(*) / (max(lday) - min(lday) + 1) as per_day, count(*) / count(distinct lday) as per_listening_day,
-(select sum(n) from (select count(*) as n from p group by artist_id order by n desc, artist_id limit 10)) / count(*) as top10_share from p""")
+(select sum(n) from (select count(*) as n from p group by artist_id order by n desc, artist_id limit 10)) / count(*) as top10_share,
+(select max(n) from sk) as longest_streak, (select min(b) from sk where n = (select max(n) from sk)) as longest_streak_end, (select n from sk order by b desc limit 1) as current_streak,
+(select count(*) from st where first_ts > (select hi from sp) - 30 * 86400 and prehistory = 0) as new_artists_30d, coalesce((select string_agg(artist_id::varchar, ',' order by n desc, artist_id) from rt), '') as recent_top from p""")
 _add("timeline", lambda x: periods.timeline(x.plays, _stats(x)), [SESSIONS, STATS], """, m as (select unnest(generate_series(date_trunc('month', min(lday)), date_trunc('month', max(lday)), interval 1 month))::date as month from p),
 a as (select date_trunc('month', lday)::date as month, p.artist_id, count(*) as n, count(*) filter (where ts - first_ts < 365 * 86400 and prehistory = 0) as fresh from p join st using (artist_id) group by 1, 2),
 t as (select month, sum(n)::bigint as plays, sum(fresh)::bigint as fresh, arg_max(artist_id, n * 1000000000 - artist_id) as top_artist from a group by month),
 nw as (select date_trunc('month', first_lday)::date as month, count(*) as k from st where prehistory = 0 group by 1)
 select m.month, coalesce(plays, 0)::bigint as plays, coalesce(k, 0)::bigint as new_artists, fresh / plays as novelty, top_artist from m left join t using (month) left join nw using (month)""")
 for _unit in ("day", "month"):
-    _add("activity_daily" if _unit == "day" else "activity_monthly", lambda x, u=_unit: periods.activity(x.plays, u), [], f""", d as (select date_trunc('{_unit}', lday)::date as bucket, count(*) as n from p group by 1)
-select b.bucket, coalesce(n, 0)::bigint as plays from (select unnest(generate_series((select min(bucket) from d), (select max(bucket) from d), interval 1 {_unit}))::date as bucket) b left join d using (bucket)""")
+    _add("activity_daily" if _unit == "day" else "activity_monthly", lambda x, u=_unit: periods.activity(x.plays, _stats(x), u), [SESSIONS, STATS], f""", c as (select date_trunc('{_unit}', lday)::date as bucket, artist_id, count(*) as n from p group by 1, 2),
+d as (select bucket, sum(n)::bigint as n, arg_max(artist_id, n * 1000000000 - artist_id) as top_artist, max(n) as top_plays from c group by 1), w as (select date_trunc('{_unit}', first_lday)::date as bucket, count(*) as k from st where prehistory = 0 group by 1)
+select b.bucket, coalesce(n, 0)::bigint as plays, coalesce(k, 0)::bigint as new_artists, top_artist, top_plays from (select unnest(generate_series((select min(bucket) from d), (select max(bucket) from d), interval 1 {_unit}))::date as bucket) b left join d using (bucket) left join w using (bucket)""")
 for _key in ("artist", "track", "album"):
     _add(f"top_{_key}s", lambda x, k=_key: periods.top(x.plays, f"{k}_id"), [], f"select {_key}_id, count(*) as plays, count(distinct lday) as days from p where {_key}_id is not null group by 1 order by plays desc, {_key}_id limit 50")
     _add(f"year_top_{_key}s", lambda x, k=_key: periods.top(yearly.of_year(x.plays, YEAR), f"{k}_id", 10), [], f"select {_key}_id, count(*) as plays, count(distinct lday) as days from p where year(lday) = {YEAR} and {_key}_id is not null group by 1 order by plays desc, {_key}_id limit 10")
@@ -117,6 +122,12 @@ _add("eras", lambda x: periods.eras(x.plays), [], """, b as (select year(lday)::
 w as (select *, sum(n) over (partition by year) as iy, sum(n) over (partition by artist_id) as ever, (select count(*) from p) as t from b)
 select year, artist_id, n as plays, round((n / iy) / (ever / t), 6) as lift from w where n >= greatest(10, iy * 0.005)
 qualify row_number() over (partition by year order by round((n / iy) / (ever / t), 6) desc, n desc, artist_id) = 1""", profile="supp")
+_add("era_cards", lambda x: periods.era_cards(x.plays, _stats(x)), [SESSIONS, STATS], """, b as (select year(lday)::int as year, artist_id, count(*) as n from p group by 1, 2),
+w as (select *, sum(n) over (partition by year) as iy, sum(n) over (partition by artist_id) as ever, (select count(*) from p) as t from b),
+eg as (select year, artist_id as signature, round((n / iy) / (ever / t), 6) as lift from w where n >= greatest(10, iy * 0.005) qualify row_number() over (partition by year order by round((n / iy) / (ever / t), 6) desc, n desc, artist_id) = 1),
+r as (select b.*, row_number() over (partition by year order by n desc, b.artist_id) as r, coalesce(prehistory = 0 and year(first_lday) = year, false) as new from b left join st using (artist_id)),
+y as (select year, sum(n)::bigint as plays, count(*) as artists, count(*) filter (where new) as new_artists, string_agg(artist_id::varchar, ',' order by r) filter (where r <= 8) as top, arg_max(artist_id, n * 1000000000 - artist_id) filter (where new) as best_new from r group by 1)
+select y.*, signature, lift from y left join eg using (year)""", profile="supp")
 _add("recent", lambda x: periods.recent(x.plays), [], "select ts, artist_id, track_id, album_id from p order by ts desc, artist_id desc, track_id desc limit 50")
 _add("binges", lambda x: periods.binges(x.plays), [], "select lday, track_id, count(*) as plays from p group by 1, 2 having count(*) >= 5", profile="supp")
 _add("binges_relaxed", lambda x: periods.binges(x.plays, 3), [], "select lday, track_id, count(*) as plays from p group by 1, 2 having count(*) >= 3", profile="supp")

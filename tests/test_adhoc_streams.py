@@ -26,6 +26,26 @@ def test_rows_are_limited_and_views_gone(spark):
     assert {r.table for r in adhoc.describe_schema(log).collect()} == set(adhoc.TABLES)
 
 
+@pytest.mark.parametrize("text", ["select 1 a) union all (select 2 a", "select 1) x join (select 2", "select * from kept_table", "select (select max(id) from kept_table) as m", "with q as (select * from default.kept_table) select * from q",
+                                  "show tables", "select 1; select 2"])
+def test_nothing_else_is_open(spark, text):
+    spark.sql("create table if not exists kept_table using parquet as select id from range(3)")
+    try:
+        with pytest.raises((AnalysisException, ParseException, ValueError)):
+            adhoc.query_sql(PlayLog(spark, SF), text)
+    finally:
+        spark.sql("drop table if exists kept_table")
+
+
+def test_answers_have_an_end(spark):
+    log = PlayLog(spark, SF)
+    assert [tuple(r) for r in adhoc.answer(log, "select repeat('x', 5000) as t, 1 as n", cell=10)] == [("x" * 10, 1)]
+    assert len(adhoc.answer(log, "select artist_id, (select count(*) from stats) as n from artists where artist_id in (select artist_id from plays) order by 1")) > 0
+    with pytest.raises(TimeoutError):
+        adhoc.answer(log, "select count(*) from range(1000000000000) a", seconds=1)
+    assert adhoc.answer(log, "select 1 as a")[0].a == 1
+
+
 def test_credits(spark):
     rows = [(1, "a", ["m1"], []), (2, "a", ["other"], []), (3, "b", ["other"], []), (4, "a & b", [], ["a", "b"]), (5, "nick", [], []), (6, "nobody", [], None), (7, None, None, None), (8, "a", None, ["b"])]
     df = spark.createDataFrame(rows, "release_id long, credit_key string, ids array<string>, part_keys array<string>")

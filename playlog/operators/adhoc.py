@@ -79,6 +79,11 @@ def answer(log: PlayLog, text: str, limit: int = 500, cell: int = 2000, seconds:
 
 
 def describe_schema(log: PlayLog) -> DataFrame:
-    """(table, column, type) of the library's tables."""
-    rows = [(table, field.name, field.dataType.simpleString()) for table in TABLES for field in getattr(log, table).schema]
-    return log.spark.createDataFrame(rows, "table string, column string, type string")
+    """(table, column, type, rows) of the library's tables; rows are counted."""
+    out = None
+    for name in TABLES:
+        table = getattr(log, name)
+        columns = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type")) for f in table.schema])
+        rows = table.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), F.explode(columns).alias("c"), "rows").select("table", "c.column", "c.type", "rows")
+        out = rows if out is None else out.unionByName(rows)
+    return out

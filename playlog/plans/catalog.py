@@ -497,7 +497,15 @@ _add("artist_facts", _facts, [LOVED, FACTS], "select * from fc")
 _add("release_fit", lambda x: releases.release_fit(_matches(x), _facts(x)), [LOVED, FACTS, MATCHES], "select release_id, first(artist_id order by fit desc, artist_id) as artist_id, max(fit) as fit from rm join fc using (artist_id) group by 1", profile="supp")
 _ASKED = "select lwday, count(*) as plays, count(distinct artist_id) as artists from {} group by lwday"
 _add("query_sql", lambda x: adhoc.query_sql(x, _ASKED.format("plays")), [], _ASKED.format("p"))
-QUERIES["describe_schema"] = lambda spark, sf_dir: adhoc.describe_schema(PlayLog(spark, sf_dir))
+_SCHEMA = {
+    "plays p": "ts bigint, artist_id bigint, track_id bigint, album_id bigint, lday date, lhour int, lwday int, lyear int",
+    "sessions s": "lday date, ts bigint, artist_id bigint, track_id bigint, album_id bigint, lhour int, lwday int, lyear int, session_id bigint",
+    "stats st": "artist_id bigint, plays bigint, first_ts bigint, last_ts bigint, first_lday date, n_tracks bigint, n_days bigint, n_years bigint, n_sessions bigint, prehistory int, first_track_id bigint",
+    "gateway gt": "artist_id bigint, gateway_id bigint", "links lk": "a bigint, b bigint, shared bigint, score double", "albums al": "album_id bigint, artist_id bigint, release_date string",
+    "artists part": "artist_id bigint, name string", "tags tg": "artist_id bigint, tag string, weight int", "loved lv": "track_id bigint, artist_id bigint, loved_at bigint",
+}
+_add("describe_schema", adhoc.describe_schema, [SESSIONS, STATS, GATEWAY, LINKS, ALBUMS, TAGS, LOVED], " union all ".join(
+    f"select '{k.split()[0]}' as table, unnest({[c.split()[0] for c in v.split(', ')]}) as column, unnest({[c.split()[1] for c in v.split(', ')]}) as type, (select count(*) from {k.split()[1]}) as rows" for k, v in _SCHEMA.items()), least=3)
 _EVENTS = "e as (select user_id as listener_id, event_type as artist, ts, (props->>'$.k')::int as track from events)"
 
 

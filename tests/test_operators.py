@@ -140,3 +140,22 @@ def test_stream_equals_batch(spark, tmp_path):
     query = plays_once.writeStream.format("memory").queryName("stream_plays").option("checkpointLocation", str(tmp_path / "b")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("stream_plays").count() > 0
+
+
+def test_label_propagation_finds_the_cliques(spark):
+    """Two cliques with a weak link between them, and a pair; checked against updates in order of plays, by hand on a dictionary."""
+    cliques = [(1, 2, 3, 4), (5, 6, 7), (8, 9)]
+    edges = [(a, b, 3, 1.0) for c in cliques for i, a in enumerate(c) for b in c[i + 1 :]] + [(4, 5, 3, 0.5)]
+    stats = [(x, 100 - x) for x in range(1, 10)]
+    found = insights.label_propagation(spark.createDataFrame(edges, "a long, b long, shared long, score double"), spark.createDataFrame(stats, "artist_id long, plays long")).collect()
+    label = {x: i for i, (x, _) in enumerate(stats)}
+    for _ in range(30):
+        for x, _ in stats:
+            score = {}
+            for a, b, _, s in edges:
+                if x in (a, b):
+                    y = b if x == a else a
+                    score[label[y]] = score.get(label[y], 0) + s
+            label[x] = min(score, key=lambda k: (-score[k], k))
+    assert {r.artist_id: r.cluster for r in found} == label
+    assert [len({label[x] for x in c}) for c in cliques] == [1, 1, 1] and len(set(label.values())) == 3

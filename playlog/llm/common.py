@@ -35,6 +35,14 @@ def saved(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """base, or that with as many underscores behind it as no column's name has."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def id_bounds(docs: DataFrame, parts: int) -> list[int]:
     """Ascending split points that deal the doc_ids into about ``parts`` ranges of like size (at most parts - 1 values)."""
     if parts <= 1:

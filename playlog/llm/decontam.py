@@ -176,6 +176,6 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     A document is a doc_id with a text: a clean text stays when another one with its doc_id goes.
     """
-    hit = _found(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), items).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).distinct()
-    marked = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    return marked.join(hit, ["__doc", "__th"], "left_anti").select(*docs.columns)
+    hit = _found(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), items).select(F.col("doc_id").alias("doc"), "th").distinct()
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), F.struct("*").alias("row"))  # whole rows, whatever their columns are called
+    return marked.join(hit, ["doc", "th"], "left_anti").select("row.*")

@@ -124,10 +124,10 @@ def removals(docs: DataFrame, folder: str) -> DataFrame:
     return texts.where("not is_first").join(kept, "key").where("lines = kept_lines").select("doc_id", "th", "at").distinct()
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with repeated runs of two or more lines taken out of text, and n_removed (lines) added; all rows stay.
+def dedup(docs: DataFrame, counted: str = "n_removed") -> DataFrame:
+    """docs with repeated runs of two or more lines taken out of text, and counted (lines removed) added, which replaces a column of that name; all rows stay.
 
-    Null texts and rows with a null doc_id are left as they are and give n_removed 0; an empty text has
+    Null texts and rows with a null doc_id are left as they are and count 0; an empty text has
     no window.  Rows with the same doc_id and text are one document and get the same result; with the same doc_id
     and different texts they are told apart.  Lines of white space alone count for no line of a run: they go
     between two removed lines and stay at the ends.  Of one line said over and over in a row, the first two stay; where blank lines
@@ -135,9 +135,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     Other columns pass through; n_chars is recomputed where the text changes and the column exists.
     """
     folder = work_folder(docs.sparkSession)
-    gone = saved(removals(docs, folder), folder, "gone").groupBy("doc_id", "th").agg(F.collect_list("at").alias("__gone"))
-    marked = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    rest = marked.join(gone.withColumnsRenamed({"doc_id": "__doc", "th": "__th"}).hint("merge"), ["__doc", "__th"], "left").drop("__doc", "__th")
+    gone = saved(removals(docs, folder), folder, "gone").groupBy("doc_id", "th").agg(F.collect_list("at").alias("gone"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.struct("*").alias("row"))  # whatever the columns are called
+    rest = marked.join(gone.hint("merge"), ["doc_id", "th"], "left")
 
     @F.pandas_udf("struct<text:string,n:int>")
     def cut(text, at):
@@ -154,12 +154,14 @@ def dedup(docs: DataFrame) -> DataFrame:
             out.append(("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
         return pd.DataFrame(out, columns=["text", "n"])
 
-    done = rest.withColumn("__new", F.when(F.col("__gone").isNotNull(), cut("text", "__gone")))
-    changed = F.col("__new").isNotNull()
-    columns = {"text": F.when(changed, F.col("__new.text")).otherwise(F.col("text")), "n_removed": F.coalesce(F.col("__new.n"), F.lit(0)).cast("long")}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.length(F.col("__new.text")).cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumns(columns).drop("__new", "__gone")
+    done = rest.select("row", F.when(F.col("gone").isNotNull(), cut("row.text", "gone")).alias("new"))
+    changed = F.col("new").isNotNull()
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    own["text"] = F.when(changed, F.col("new.text")).otherwise(F.col("row.text"))
+    if "n_chars" in own:
+        own["n_chars"] = F.when(changed, F.length(F.col("new.text")).cast("long")).otherwise(F.col("row.n_chars"))
+    own[counted] = F.coalesce(F.col("new.n"), F.lit(0)).cast("long")
+    return done.select(*[c.alias(name) for name, c in own.items()])
 
 
 def brute_force(docs: list[tuple[int, str]]) -> dict[tuple[int, str], str]:

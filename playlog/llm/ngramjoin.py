@@ -439,12 +439,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
     folder = work_folder(docs.sparkSession)
     ids = saved(own.distinct().withColumn("row", F.monotonically_increasing_id()), folder, "ids")
-    marked = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    marked = marked.join(ids.toDF("__doc", "__th", "__row").hint("merge"), ["__doc", "__th"])
-    found = join(marked.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id").distinct()
-    stay = found.join(ids, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "th", "row")).alias("least")).select(F.col("least.row").alias("__row"))
-    kept = marked.join(saved(stay, folder, "stay"), "__row", "left_semi").dropDuplicates(["__row"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), F.struct("*").alias("whole"))  # whatever the columns are called
+    marked = marked.join(ids.toDF("doc", "th", "row").hint("merge"), ["doc", "th"])
+    found = join(marked.select(F.col("row").alias("doc_id"), F.col("whole.text").alias("text"))).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    stay = found.join(ids, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "th", "row")).alias("least")).select(F.col("least.row").alias("row"))
+    kept = marked.join(saved(stay, folder, "stay"), "row", "left_semi").dropDuplicates(["row"])
+    return kept.select("whole.*").unionByName(docs.where("doc_id is null"))
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> list[tuple[int, int, int]]:

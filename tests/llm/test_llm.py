@@ -458,6 +458,15 @@ def test_columns_of_the_same_names(spark):
     kept = corpus_pipeline.language(spark, table, "")
     assert kept.columns == table.columns and {(r.score, r.lang_pred) for r in kept.collect()} == {(7, "x")}
     assert langid.predict(table, langid.learn(table)).columns.count("score") == 1
+    names = "doc_id long, text string, n_removed int, __doc string, __th string, doc int, th int, row int, whole int, gone string, new string, n_chars int"
+    rows = [(i, f"{text} {i}\nline {i} a\n" + "one line\ntwo lines", 7, "u", "v", 1, 2, 3, 4, "g", "w", 5) for i in (1, 2, 2)]
+    clash = spark.createDataFrame(rows, names)
+    items = spark.createDataFrame([(1, "never said in this order")], "item_id long, text string")
+    for kept, n in ((corpus_pipeline.lines(spark, clash, ""), 3), (ngramjoin.keep_one(clash), 2), (decontam.clean(clash, items), 3)):
+        assert kept.columns == clash.columns and kept.dtypes[:2] == clash.dtypes[:2]
+        found = kept.collect()
+        assert len(found) == n and {tuple(r)[2:11] for r in found} == {rows[0][2:11]}
+    assert {r.n_removed for r in linededup.dedup(clash).collect()} == {0, 2}
 
 
 def test_pipeline_language(spark):

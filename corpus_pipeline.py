@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlog.llm import decontam, langid, linededup, ngramjoin, wordbpe
-from playlog.llm.common import saved, work_folder
+from playlog.llm.common import free_name, saved, work_folder
 
 #: A document goes if no language is found in it or the nearest profile is farther than this.
 LEAST_SCORE = 0.25
@@ -21,8 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated runs of lines; one of which no more than white space of any kind is left goes. Null texts and
     texts that lose nothing stay as they are; of equal texts the one with the smallest doc_id keeps its lines."""
-    done = linededup.dedup(docs)
-    return done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")).select(*docs.columns)
+    counted = free_name(docs.columns, "n_removed")
+    done = linededup.dedup(docs, counted)
+    return done.where((F.col(counted) == 0) | F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

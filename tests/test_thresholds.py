@@ -8,6 +8,7 @@ SF = "/root/testdata/sf0.01"
 #: Rows of the job before the change.
 ROWS = {
     "binges": 150,
+    "slow_burners": 14,
 }
 
 

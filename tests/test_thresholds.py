@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.01"
 ROWS = {
     "binges": 150,
     "slow_burners": 14,
+    "rediscover": 2,
 }
 
 

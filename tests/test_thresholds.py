@@ -10,6 +10,7 @@ ROWS = {
     "binges": 150,
     "slow_burners": 14,
     "rediscover": 2,
+    "season_cards": 16,
 }
 
 

@@ -11,6 +11,7 @@ ROWS = {
     "slow_burners": 14,
     "rediscover": 2,
     "season_cards": 16,
+    "gap_artists": 42,
 }
 
 

@@ -12,6 +12,7 @@ ROWS = {
     "rediscover": 2,
     "season_cards": 16,
     "gap_artists": 42,
+    "season_artists": 20,
 }
 
 

@@ -13,6 +13,7 @@ ROWS = {
     "season_cards": 16,
     "gap_artists": 42,
     "season_artists": 20,
+    "seasonal_artists": 133,
 }
 
 

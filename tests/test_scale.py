@@ -2,7 +2,8 @@
 
 import random
 
-from playlog.operators import library
+from playlog.model import ingest
+from playlog.operators import derive, genres, library
 
 
 def test_the_first_pair_of_weekdays_is_among_fourteen_rows(spark):
@@ -14,3 +15,32 @@ def test_the_first_pair_of_weekdays_is_among_fourteen_rows(spark):
         table = spark.createDataFrame([(a, d, -n) for n, a, d in rows], "artist_id long, lwday int, plays long")
         kept = [(-r.plays, r.artist_id, r.lwday) for r in library.first_of_weekdays(table).orderBy("r").collect()]
         assert len(kept) <= 14 and next(((x, y) for i, x in enumerate(kept) for y in kept[i + 1 :] if x[1] != y[1] and x[2] != y[2]), None) == want
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_plays_are_marked_with_one_shuffle(spark):
+    rng = random.Random(2)
+    some = [(rng.randrange(0, 4 * 86400, 20), rng.randrange(3), rng.randrange(3), rng.choice([None, 1, 2])) for _ in range(3000)]
+    raw = spark.createDataFrame(some + [(5, None, 1, 4), (6, None, 1, 3)], "ts long, artist_id long, track_id long, album_id long")
+    got = derive.marked_once(raw, 300)
+    want = derive.marked(ingest(raw), 300)
+    assert sorted(map(tuple, got.drop("lyear").collect()), key=repr) == sorted(map(tuple, want.select(*got.drop("lyear").columns).collect()), key=repr)
+    assert exchanges(got) == 1 and exchanges(want) > 1
+
+
+def test_totals_and_counts_take_one_shuffle(spark):
+    rng = random.Random(3)
+    raw = spark.createDataFrame([(rng.randrange(0, 900 * 86400, 60), rng.randrange(5), rng.randrange(9), None) for _ in range(2000)], "ts long, artist_id long, track_id long, album_id long")
+    sessions = derive.sessionize(ingest(raw)).localCheckpoint()
+    totals = derive.artist_totals(sessions)
+    want = {}
+    for r in sessions.collect():
+        want.setdefault(r.artist_id, []).append((r.ts, r.track_id, r.lday, r.session_id))
+    for r in totals.collect():
+        own = sorted(want.pop(r.artist_id))
+        count = lambda f: len({f(x) for x in own})
+        assert tuple(r)[1:] == (len(own), own[0][0], own[-1][0], own[0][2], count(lambda x: x[1]), count(lambda x: x[2]), count(lambda x: x[2].year), count(lambda x: x[3]), own[0][1])
+    assert not want and exchanges(derive.artist_totals(sessions)) == 1 and exchanges(genres.calendar_counts(sessions)) == 1

@@ -4,20 +4,23 @@ Plays are partitioned by local month; a batch rewrites the months that it has pl
 sessions of other months stay as they are; session numbers are given when the log is read.  New plays join sessions and never part
 them, so what changes are the artists of the sessions that hold a new play.  The tables of artists and links are kept by the
 version of the plays they were made of: a batch that comes twice finds nothing to do, and tables that a run left behind are made whole by the next.
+After a log's first batch, and after one that changes a tenth of its plays, a table is made of all plays when it is asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from playlog.model import ORDER, ingest
+from playlog.model import ORDER, local_parts
 from playlog.operators import derive
 from playlog.store import Store, saved, snapshot
 
 OVERLAP_S = 24 * 3600
+#: A batch that changes this part of the plays or more has tables made of all plays.
+MOST = 0.1
 _PLAYS = "ts long, artist_id long, track_id long, album_id long, lday date, lhour int, lwday int, in_day long, lmonth string"
 _IMPORTS = "at long, label string, rows_read long, rows_added long, duplicates long, first_ts long, last_ts long"
 _DERIVED = ("totals", "entrances", "pairs", "sizes")
@@ -66,21 +69,24 @@ class StoredLog:
         Rows without a time, artist or track are read and not taken.  Of equal plays one is kept, with the smallest album_id.
         """
         raw = saved(raw.select(*[F.col(c).cast("long").alias(c) for c in (*ORDER, "album_id")]))
-        read = raw.count()
-        came = ingest(raw.dropna(subset=ORDER)).withColumn("lmonth", F.date_format("lday", "yyyy-MM"))
-        months = [r[0] for r in came.select("lmonth").distinct().collect()]  # of the calendar, so few
+        read, came = raw.count(), raw.dropna(subset=ORDER)
+        day = local_parts(F.col("ts") - F.pmod("ts", F.lit(60)))[0]
+        months = [r[0] for r in came.select(F.date_format(day, "yyyy-MM").alias("lmonth")).distinct().collect()]  # of the calendar, so few
         old = self.marked.where(F.col("lmonth").isin(months)) if months else self.marked.limit(0)
-        both = old.select(*ORDER, "album_id").unionByName(came.select(*ORDER, "album_id"))
-        whole = derive.marked(ingest(both)).withColumn("lmonth", F.date_format("lday", "yyyy-MM"))
-        whole = saved(whole.select(*[c.split(" ")[0] for c in _PLAYS.split(", ")]))
-        new = saved(whole.join(old.select(*ORDER, F.col("album_id").alias("was"), F.lit(True).alias("known")), ORDER, "left").where("known is null or not (was <=> album_id)")
-                    .select(*ORDER, "lday", (F.col("known").isNull()).alias("added")))
-        size = new.agg(F.count("*").alias("changed"), F.count_if("added").alias("added")).first()
+        both = old.select(*ORDER, "album_id", F.lit(True).alias("known")).unionByName(came.withColumn("known", F.lit(False)))
+        # of equal plays the one that stays is an old one where it can be; who had none is added: all in the shuffle and order that the breaks need
+        there = F.max("known").over(Window.partitionBy("lyear", "lday", *ORDER))
+        whole = derive.marked_once(both, keep=("known",), seen={"there": there}).withColumn("lmonth", F.date_format("lday", "yyyy-MM"))
+        whole = saved(whole.select(*[c.split(" ")[0] for c in _PLAYS.split(", ")], "known", "there"), by="lmonth")
+        new = whole.where("not known")
+        size = new.agg(F.count("*").alias("changed"), F.count_if(~F.col("there")).alias("added")).first()
         if size["changed"]:
-            self._whole()  # what the tables below are brought up from
-            before = self.version
-            (whole.repartition("lmonth").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lmonth").parquet(f"{self.folder}/plays"))
-            self._refresh(before, new)
+            before, first = self.version, not self._there("plays")
+            if not first and size["changed"] < self.marked.count() * MOST:
+                self._whole()  # what the tables below are brought up from
+            whole.drop("known", "there").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lmonth").parquet(f"{self.folder}/plays")
+            if not first:
+                self._refresh(before, new)
         span = raw.agg(F.min("ts"), F.max("ts")).first()
         done = {"rows_read": read, "rows_added": size["added"], "duplicates": read - size["added"]}
         self.spark.createDataFrame([(at, label, *done.values(), *span)], _IMPORTS).coalesce(1).write.mode("append").parquet(f"{self.folder}/imports")
@@ -103,8 +109,12 @@ class StoredLog:
 
     def _refresh(self, before: str, new: DataFrame) -> None:
         """Derived tables for the plays as they are: rows of touched artists made again, all others taken over."""
-        sessions = saved(self.sessions)
-        changed = sessions.join(new.select(*ORDER), ORDER, "left_semi").select("session_id").distinct()
+        if any(self.store.numbers(n, before)[0] is None for n in _DERIVED):
+            return  # a first or large batch: most rows would be made again, so each table is made of all plays when it is read
+        marked = self.marked.drop("lmonth")
+        days = saved(derive.listening_days(marked))
+        sessions = derive.numbered(marked, days)  # read anew where it is used: days are few
+        changed = saved(derive.numbered(new.select("lday", "in_day"), days).select("session_id").distinct())
         touched = saved(sessions.join(changed, "session_id", "left_semi").select("artist_id").distinct())
         theirs = sessions.join(touched, "artist_id", "left_semi").select("session_id").distinct()
         around = saved(sessions.join(theirs, "session_id", "left_semi"))  # whole sessions: ranks and predecessors need all that is in them

@@ -2,8 +2,11 @@
 
 import random
 
-from playlog.model import ingest
+from pyspark.sql import functions as F
+
+from playlog.model import ingest, left_by
 from playlog.operators import derive, genres, library
+from playlog.streaming.stored import StoredLog
 
 
 def test_the_first_pair_of_weekdays_is_among_fourteen_rows(spark):
@@ -44,3 +47,33 @@ def test_totals_and_counts_take_one_shuffle(spark):
         count = lambda f: len({f(x) for x in own})
         assert tuple(r)[1:] == (len(own), own[0][0], own[-1][0], own[0][2], count(lambda x: x[1]), count(lambda x: x[2]), count(lambda x: x[2].year), count(lambda x: x[3]), own[0][1])
     assert not want and exchanges(derive.artist_totals(sessions)) == 1 and exchanges(genres.calendar_counts(sessions)) == 1
+
+
+def test_small_and_large_batches_are_one_build(spark, tmp_path):
+    rng = random.Random(4)
+    raw = spark.createDataFrame([(rng.randrange(0, 200 * 86400, 60), rng.randrange(12), rng.randrange(40), rng.choice([None, 1, 2])) for _ in range(1500)], "ts long, artist_id long, track_id long, album_id long").localCheckpoint()
+    stored = StoredLog(spark, str(tmp_path / "log"), min_shared=1)
+    late = F.col("ts") / 60 % 25 == 0
+    stored.merge(raw.where(~late))
+    assert stored.store.numbers("totals", stored.version)[0] is None  # of all plays, so made when it is read
+    stored.merge(raw.where(late))
+    assert all(stored.store.numbers(n, stored.version)[0] for n in ("totals", "entrances", "pairs", "sizes"))  # a small batch is brought in at once
+    sessions = derive.sessionize(ingest(raw)).localCheckpoint()
+    for got, want in ((stored.stats, derive.artist_stats(sessions)), (stored.gateway, derive.gateway(sessions)), (stored.links, derive.co_links(sessions, min_shared=1))):
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_plays_without_an_album_do_not_meet_in_one_task(spark):
+    rows = spark.range(1000).select(F.col("id").alias("ts"), (F.col("id") % 9).alias("artist_id"), F.col("id").alias("track_id"), F.when(F.col("id") % 2 == 0, F.col("id") % 100).alias("album_id"))
+    facts = spark.range(0, 60).select(F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = left_by(rows, facts, "album_id", "from_id")
+        want = rows.join(facts, F.col("album_id") == F.col("from_id"), "left")
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        most = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        assert most(got) < 400 < most(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from playlog.model import ingest
+from playlog.model import ingest, left_by
 
 KINDS = ("alias", "hide", "dismiss", "loved", "track_edition", "album_edition", "merge")
 _SCHEMA = "seq long, at long, kind string, key string, value long, removed boolean"
@@ -106,7 +106,8 @@ def merged_plays(plays: DataFrame, rules: DataFrame, tracks: DataFrame, albums:
     Plays that then have one minute and one track are one play.  tracks and albums are titles_after().
     """
     to = lambda rows, item: rows.select(item, F.col("into_id").alias(f"{item}_into"))
-    rows = plays.join(rules, F.col("artist_id") == F.col("from_id"), "left").join(to(tracks, "track_id"), "track_id", "left").join(to(albums, "album_id"), "album_id", "left")
+    rows = plays.join(rules, F.col("artist_id") == F.col("from_id"), "left").join(to(tracks, "track_id"), "track_id", "left")
+    rows = left_by(rows, to(albums, "album_id"), "album_id")
     return ingest(rows.select("ts", F.coalesce("to_id", "artist_id").alias("artist_id"), F.coalesce("track_id_into", "track_id").alias("track_id"), F.coalesce("album_id_into", "album_id").alias("album_id")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from playlog.model import ingest, left_by
 from playlog.operators import derive, genres, library
+from playlog.store import size_of
 from playlog.streaming.stored import StoredLog
 
 
@@ -49,6 +50,25 @@ def test_totals_and_counts_take_one_shuffle(spark):
     assert not want and exchanges(derive.artist_totals(sessions)) == 1 and exchanges(genres.calendar_counts(sessions)) == 1
 
 
+def test_counts_by_calendar_are_sorted_in_tasks_of_the_data(spark, tmp_path):
+    rng = random.Random(5)
+    rows = ingest(spark.createDataFrame([(rng.randrange(0, 900 * 86400, 60), rng.randrange(50), rng.randrange(9), None) for _ in range(2000)], "ts long, artist_id long, track_id long, album_id long"))
+    rows.write.partitionBy("lhour").parquet(str(tmp_path / "plays of a log"))
+    plays = spark.read.parquet(str(tmp_path / "plays of a log"))
+    assert size_of(plays) == sum(f.stat().st_size for f in (tmp_path / "plays of a log").rglob("*.parquet")) > 0
+    few, many = genres.calendar_counts(plays), genres.calendar_counts(plays, 21)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "HashAggregate" not in plan and exchanges(many) == 1  # cells are not held in a hash table
+    assert many.rdd.getNumPartitions() == 21
+    want = {}
+    for r in plays.collect():
+        d = r.lday
+        for key in (("month", d.year, d.month), ("season", d.year + (d.month == 12), d.month % 12 // 3), ("daypart", d.year, r.lhour // 6), ("weekpart", d.year, int(r.lwday >= 5))):
+            want[r.artist_id, *key] = want.get((r.artist_id, *key), 0) + 1
+    for got in (few, many):
+        assert {tuple(r)[:4]: r.n for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_small_and_large_batches_are_one_build(spark, tmp_path):
     rng = random.Random(4)
     raw = spark.createDataFrame([(rng.randrange(0, 200 * 86400, 60), rng.randrange(12), rng.randrange(40), rng.choice([None, 1, 2])) for _ in range(1500)], "ts long, artist_id long, track_id long, album_id long").localCheckpoint()

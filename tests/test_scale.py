@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from playlog.functions.text import keyed
+from playlog.functions.titles import loose_title
 from playlog.model import ingest, left_by
-from playlog.operators import derive, genres, library
+from playlog.operators import derive, editions, genres, library, resolve
 from playlog.store import size_of
 from playlog.streaming.stored import StoredLog
 
@@ -97,3 +99,22 @@ def test_plays_without_an_album_do_not_meet_in_one_task(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_titles_are_worked_on_once_where_a_filter_or_a_join_follows(spark, tmp_path):
+    rows = [(t, t // 9, f"Song {t % 3}" + " (Remastered 2011)" * (t % 2)) for t in range(90)]
+    spark.createDataFrame(rows, "track_id long, artist_id long, title string").write.parquet(str(tmp_path / "tracks"))
+    tracks = spark.read.parquet(str(tmp_path / "tracks"))
+    entries = spark.createDataFrame([("a", "song 0 (live)", 1), ("b", "sung", 2), ("c", "", 3)], "artist_key string, title_key string, artist_id long")
+    filtered, joined = keyed(tracks, "title", loose_title).where("key <> ''"), editions.edition_rules(editions.with_keys(tracks).groupBy(*editions.GROUP).agg(F.min("track_id").alias("target_id")), tracks, "track_id")
+    found = resolve.title_suggestions(entries, tracks, tracks)
+    for df in (filtered, joined, found):  # in the tree of the plan, every branch that has Python has the distinct titles, or pairs of them, below it
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+        python = [i for i, x in enumerate(lines) if x.lstrip(" :+-").startswith("ArrowEvalPython")]
+        assert python
+        for i in python:
+            below = lines[i + 1 : next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))]
+            assert any(x.lstrip(" :+-").startswith("Aggregate") for x in below), "\n".join(lines)
+    assert filtered.count() == 90
+    assert [tuple(r) for r in found.orderBy("artist_key", "rank").collect()] == [("a", "song 0 (live)", 1, 9, 1), ("a", "song 0 (live)", 2, 12, 1), ("a", "song 0 (live)", 3, 15, 1)]

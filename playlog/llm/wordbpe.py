@@ -18,6 +18,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ _L = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼½¾"
 _S = "\t-\r "
 _OTHER = re.compile(f"[^\x00-\x7f¡-¬®-įı-ſ‘’“”–—…]")
+_ID = attrgetter("id")
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
@@ -62,9 +64,11 @@ class WordCodec:
         for piece, i in self.tok.get_vocab(True).items():
             self.pieces[i] = piece.encode()
         self.cache: dict[str, bytes] = {}
-        self.held = 0
+        self.recent: dict[str, bytes] = {}
+        self.held = self.held_recent = 0
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # byte-level BPE: other bytes go by 256, 257, ..
-        self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        other = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.letters = [other.get(b, chr(b)) for b in range(256)]
 
     def words(self, text: str) -> list[str]:
         """The words of a text in order; a special string is a word of its own."""
@@ -83,31 +87,36 @@ class WordCodec:
         if word in self.special:
             return self.special[word].to_bytes(4, "little")
         if not (word.isascii() and word.isprintable()):
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        return array("I", map(_ID, self.model.tokenize(word))).tobytes()
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Each word's ids as little-endian unsigned 32-bit integers."""
         return list(map(self._one, words))
 
     def encode(self, text: str) -> bytes:
-        """A text's ids; words are looked up in a cache of bounded size and encoded when missing."""
-        words, cache = self.words(text), self.cache
+        """A text's ids; words are looked up in a cache of bounded size and encoded when missing.
+
+        A word is kept from the second time it is seen within a while: most words of a corpus are rare, and would else drive out those that come often.
+        """
+        words, cache, recent = self.words(text), self.cache, self.recent
         ids = list(map(cache.get, words))
-        if None in ids:
-            new: dict[str, bytes] = {}
-            for k, w in enumerate(words):
-                if ids[k] is None:
-                    if (got := new.get(w)) is None:
-                        got = new[w] = self._one(w)
-                    ids[k] = got
-            if self.held > CACHE_BYTES:
-                cache.clear()
-                self.held = 0
-            for w, i in new.items():
+        for k in [k for k, i in enumerate(ids) if i is None]:
+            w = words[k]
+            if (got := recent.get(w)) is not None:
+                if w not in cache:
+                    cache[w] = got
+                    self.held += 200 + 2 * len(w) + len(got)
+            else:
+                got = self._one(w)
                 if len(w) <= CACHED_WORD:
-                    cache[w] = i
-                    self.held += 200 + 2 * len(w) + len(i)
+                    recent[w] = got
+                    self.held_recent += 200 + 2 * len(w) + len(got)
+            ids[k] = got
+        if self.held > CACHE_BYTES // 2:  # what was kept is recent from now on
+            self.recent, self.cache, self.held_recent, self.held = cache, {}, 0, 0
+        elif self.held_recent > CACHE_BYTES // 2:
+            self.recent, self.held_recent = {}, 0
         return b"".join(ids)
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -484,3 +484,17 @@ def test_pipeline(spark):
     assert names == ["language_id", "line_dedup", "ngram_jaccard", "decontamination", "bpe_encoding"]
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert 0 < len(rows) < spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count() and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_rare_words_do_not_drive_out_frequent_ones(monkeypatch):
+    monkeypatch.setattr(wordbpe, "CACHE_BYTES", 100_000)
+    c, asked = wordbpe.WordCodec(wordbpe.tokenizer_path()), []
+    one = c._one
+    monkeypatch.setattr(c, "_one", lambda w: asked.append(w) or one(w))
+    letters = "abcdefghijklmnopqrst"
+    rare = ["".join(letters[i // 20**k % 20] for k in range(4)) + "ué" for i in range(3000)]
+    for i in range(0, 3000, 10):
+        text = " ".join(["the house Für uns"] * 3 + rare[i : i + 10])
+        assert list(np.frombuffer(c.encode(text), "<u4")) == c.tok.encode(text, add_special_tokens=False).ids
+    assert asked.count("house") == asked.count("für") == 1 and len(asked) == 3004
+    assert c.held <= 100_000 and c.held_recent <= 100_000

@@ -1,5 +1,6 @@
 """What keeps the large tables' work in proportion to them."""
 
+import datetime
 import random
 
 from pyspark.sql import functions as F
@@ -118,3 +119,16 @@ def test_titles_are_worked_on_once_where_a_filter_or_a_join_follows(spark, tmp_p
             assert any(x.lstrip(" :+-").startswith("Aggregate") for x in below), "\n".join(lines)
     assert filtered.count() == 90
     assert [tuple(r) for r in found.orderBy("artist_key", "rank").collect()] == [("a", "song 0 (live)", 1, 9, 1), ("a", "song 0 (live)", 2, 12, 1), ("a", "song 0 (live)", 3, 15, 1)]
+
+
+def test_season_artists_reads_the_plays_once(spark, tmp_path):
+    rng = random.Random(6)
+    some = [(a, datetime.date(y, rng.choice([12, 1, 2] if a == 1 and i % 2 else range(1, 13)), 5)) for a in range(1, 6) for y in (2001, 2002, 2003) for i in range(200)]
+    spark.createDataFrame(some, "artist_id long, lday date").write.parquet(str(tmp_path / "plays"))
+    plays = spark.read.parquet(str(tmp_path / "plays"))
+    got = genres.season_artists(plays)
+    assert got.inputFiles() and not set(got.inputFiles()) & set(plays.inputFiles())  # counts of it are stored, and only they are read again
+    counts = genres.dim_counts(plays, "season")
+    own = plays.select("artist_id", F.col("artist_id").alias("tag"), F.lit(1.0).alias("share")).distinct()
+    want = genres.lift(counts, own).where("lift >= 1.3 and up * 2 >= years").select("bucket", F.col("key").alias("artist_id"), "lift")
+    assert [r[:2] for r in got.collect()] == [(0, 1)] and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
